@@ -62,3 +62,13 @@ def literal_rows(spark: SparkSession, rows: list[tuple], names: list[str], types
         return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in zip(names, types, strict=True)])
     made = [F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(r, names, types, strict=True)]) for r in rows]
     return spark.range(1).select(F.inline(F.array(*made)))
+
+
+#: Up to so many ids (8 bytes each) are broadcast to select rows; more go through a shuffle join.
+BROADCAST_IDS = 1_000_000
+
+
+def only_ids(rows: DataFrame, ids: DataFrame, id_col: str, how: str, most: int = BROADCAST_IDS) -> DataFrame:
+    """rows whose id_col is in ids.id (left_semi) or isn't (left_anti); ids is broadcast if a count shows it small."""
+    ids = ids.select(F.col("id").alias("__id"))
+    return rows.join(F.broadcast(ids) if ids.count() <= most else ids, F.col(id_col) == F.col("__id"), how)

@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import language_id, quality, url_filter, winnowing
+from tidemill.llm import (
+    bpe,
+    decontamination,
+    language_id,
+    lsh_forest,
+    quality,
+    secret_scan,
+    token_tables,
+    url_filter,
+    warc,
+    winnowing,
+)
 from tidemill.llm.common import id_remainder, literal_rows, read_table, written
 
 #: The rules that the URL query applies (fixed values): host, path, verdict.
@@ -28,6 +40,40 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 75 * (x.k + y.k - m)),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT b, c FROM r JOIN both_ways ON a = r.doc_id)
+SELECT w.doc_id, coalesce(n.k, 0) AS n_shingles, min(c) AS component_id, min(c) = w.doc_id AS kept
+FROM w JOIN r ON r.doc_id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id, n.k
+"""
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(spark, read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a test item, with the items."""
+    return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op5_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_tables.round_trip(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = literal_rows(spark, URL_RULES, ["host", "path", "verdict"], ["string"] * 3)
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), rules)
@@ -51,6 +97,16 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_with_edits(read_table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scanned = secret_scan.scan(docs.select("doc_id", "text"), secret_scan.fit(docs))
+    return scanned.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, read_table(spark, sf_dir, "pages"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     # measured once, for learning and for scores: a table of thirteen numbers a document
@@ -69,8 +125,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_near_duplicates": op2_near_duplicates,
+    "op3_bpe": op3_bpe,
+    "op4_decontamination": op4_decontamination,
+    "op5_token_tables": op5_token_tables,
     "op6_url_filter": op6_url_filter,
     "op7_winnowing": op7_winnowing,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_warc": op9_warc,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL}
+ORACLES: dict[str, str] = {"op2_near_duplicates": OP2_SQL, "op6_url_filter": OP6_SQL}
