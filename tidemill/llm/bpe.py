@@ -75,11 +75,14 @@ def distinct_words(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 if len(seen) >= TASK_WORDS:
                     yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
                     seen.clear()
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+        if seen:
+            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoder(path, pattern).encode_ordinary
         for batch in batches:
+            if not len(batch):
+                continue
             batch["ids"] = [np.array(encode(w), dtype="<u4").tobytes() for w in batch["word"]]
             yield batch
 
@@ -128,8 +131,9 @@ def encode(
                 keys += [key] * len(left)
                 at += [p for p, _ in left]
                 open_words += [w for _, w in left]
-            ids = pd.Series(ids, dtype=batch["id"].dtype) if ids else batch["id"][:0]
-            yield pd.DataFrame({"id": ids, "key": keys, "at": at, "word": open_words})
+            if at:
+                ids = pd.Series(ids, dtype=batch["id"].dtype)
+                yield pd.DataFrame({"id": ids, "key": keys, "at": at, "word": open_words})
 
     open_places = keyed.mapInPandas(exploded, f"id {kind}, key long, at int, word string")
     joined = open_places.join(words.select("word", "ids"), "word")
@@ -139,6 +143,8 @@ def encode(
         """Ids of the broadcast words in their places; the open ones are marked by their lengths being 0."""
         known, packer = hot.value, zstandard.ZstdCompressor(level=3)
         for batch in batches:
+            if not len(batch):
+                continue
             lengths, ids = [], []
             for text in batch["text"]:
                 found = [known.get(w, b"") for w in words_of(text)]
