@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import written
 
 #: At most so many words, of at most HOT_LENGTH characters each, are broadcast.
-HOT_WORDS = 400_000
+HOT_WORDS = 200_000
 HOT_LENGTH = 40
+#: Rows of a batch that are worked on at once.
+SLICE = 500
 #: A task hands on its counts when it holds so many distinct words.
-TASK_WORDS = 400_000
+TASK_WORDS = 200_000
 
 # everything that any of the libraries takes for white space, followed by a blank
 _UNSAFE = re.compile(r"\s ")
@@ -123,17 +125,16 @@ def encode(
     def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The positions that the broadcast words leave open."""
         known = hot.value
-        for batch in batches:
-            ids, keys, at, open_words = [], [], [], []
-            for i, key, text in zip(batch["id"].array, batch["key"], batch["text"]):
+        for batch in _slices(batches):
+            counts, at, open_words = [], [], []
+            for text in batch["text"]:
                 left = [(p, w) for p, w in enumerate(words_of(text)) if w not in known]
-                ids += [i] * len(left)
-                keys += [key] * len(left)
+                counts.append(len(left))
                 at += [p for p, _ in left]
                 open_words += [w for _, w in left]
             if at:
-                ids = pd.Series(ids, dtype=batch["id"].dtype)
-                yield pd.DataFrame({"id": ids, "key": keys, "at": at, "word": open_words})
+                keys = batch[["id", "key"]].loc[batch.index.repeat(counts)].reset_index(drop=True)
+                yield keys.assign(at=at, word=open_words)
 
     open_places = keyed.mapInPandas(exploded, f"id {kind}, key long, at int, word string")
     joined = open_places.join(words.select("word", "ids"), "word")
@@ -142,9 +143,7 @@ def encode(
     def partly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Ids of the broadcast words in their places; the open ones are marked by their lengths being 0."""
         known, packer = hot.value, zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in _slices(batches):
             lengths, ids = [], []
             for text in batch["text"]:
                 found = [known.get(w, b"") for w in words_of(text)]
@@ -178,6 +177,12 @@ def encode(
     return met.select(F.col("id").alias(id_col), put_together("lengths", "known", "at", "ids").alias("ids"))
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for a in range(0, len(batch), SLICE):
+            yield batch.iloc[a : a + SLICE].reset_index(drop=True)
+
+
 def _planes(ids: np.ndarray) -> bytes:
     """Ids by significance of their bytes, which packs better."""
     return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()

@@ -16,6 +16,7 @@ is a byte for "has an id" and the id's 8 bytes, biased and big-endian, so that k
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -37,7 +38,7 @@ MAGIC = b"TMSSTAB1"
 BLOCK_BYTES = 128 * 1024
 SHARD_BYTES = 128 * 1024 * 1024
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
-PIECE_CACHE = 400_000
+PIECE_CACHE = 700_000
 
 _ENTRY, _INDEX, _FOOTER = struct.Struct("<BBI"), struct.Struct("<9sQIIQ"), struct.Struct("<8sQIQIQQB")
 
@@ -188,27 +189,46 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+# the tokenizer's own split for lower-case Latin-1, which its normaliser leaves as it is
+_LETTERS, _NUMBERS, _BLANKS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_LATIN_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
+
+
+def parts_of(piece: str) -> list[str]:
+    """What the tokenizer encodes separately in a piece of text; the whole piece if it is not Latin-1."""
+    try:
+        piece.encode("latin-1")
+    except UnicodeEncodeError:
+        return [piece]
+    return [piece] if "<|" in piece else _LATIN_PARTS.findall(piece.lower())
+
+
 class PieceEncoder:
     """Encodes whole texts by pieces between blanks.
 
     The word tokenizer normalises and splits without looking across a blank, drops white space and merges
-    within words only, so a text's ids are those of its pieces in turn. The library encodes each piece that
-    this worker hasn't met lately; the cache is emptied when it has grown to its bound.
+    within words only, so a text's ids are those of its pieces in turn, and a piece's those of its words and
+    marks. The library encodes each of them that this worker hasn't met lately; caches are emptied when they
+    have grown to their bound.
     """
 
     def __init__(self, path: str, id_bytes: int):
-        self.path, self.kind, self.known = path, "<u2" if id_bytes == 2 else "<u4", {}
+        self.path, self.kind, self.known, self.parts = path, "<u2" if id_bytes == 2 else "<u4", {}, {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [(t or "").split(" ") for t in texts]
-        if len(self.known) > PIECE_CACHE:
-            self.known.clear()
-        known = self.known
-        fresh = list({p for pieces in split for p in pieces if p not in known})
-        for a in range(0, len(fresh), 20_000):
-            some = fresh[a : a + 20_000]
-            for piece, e in zip(some, _tokenizer(self.path).encode_batch(some, add_special_tokens=False)):
-                known[piece] = np.array(e.ids, dtype=self.kind).tobytes()
+        for cache in (self.known, self.parts):
+            if len(cache) > PIECE_CACHE:
+                cache.clear()
+        known, parts = self.known, self.parts
+        fresh = {p: parts_of(p) for pieces in split for p in pieces if p not in known}
+        words = list({w for found in fresh.values() for w in found if w not in parts})
+        for a in range(0, len(words), 20_000):
+            some = words[a : a + 20_000]
+            for word, e in zip(some, _tokenizer(self.path).encode_batch_fast(some, add_special_tokens=False)):
+                parts[word] = np.array(e.ids, dtype=self.kind).tobytes()
+        for piece, found in fresh.items():
+            known[piece] = b"".join(map(parts.__getitem__, found))
         return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
 
 

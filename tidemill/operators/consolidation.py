@@ -176,3 +176,38 @@ def components(pairs: DataFrame, most_rounds: int = 30) -> DataFrame:
         if not step.where("moved").limit(1).count():
             break
     return labels
+
+
+def survivors(duplicates: DataFrame, by: list[str]) -> DataFrame:
+    """key and survivor of each member of a group of duplicates: mapped ones first, then the most releases,
+    then the lowest key. duplicates: by, key, is_mapped, n_releases."""
+    best = F.min_by("key", F.struct(~F.col("is_mapped"), -F.col("n_releases"), "key"))
+    return duplicates.join(duplicates.groupBy(*by).agg(best.alias("survivor")), by).select("key", "survivor")
+
+
+def merge_duplicates(claims: DataFrame, mapping: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """Claims of duplicate series folded under their survivor: re-keyed, then merged as any claims are."""
+    keyed = claims.join(mapping.withColumnRenamed("key", "series"), "series", "left")
+    identity = F.concat_ws("|", F.coalesce("survivor", "series").cast("string"), "period")
+    return merge_claims(keyed.withColumn("identity", identity).drop("series", "survivor", "period"), tolerance)
+
+
+def title_twins(aliases: DataFrame, series: DataFrame) -> DataFrame:
+    """For source titles without a mapping: the series of that currency with the same title, case aside; of
+    several the one released last, then the lowest. aliases: source_key, currency, title."""
+    named = series.groupBy(F.col("currency"), F.lower("name").alias("t")).agg(F.max_by("indicator", F.struct("last_release", -F.col("indicator"))).alias("indicator"))
+    return aliases.withColumn("t", F.lower("title")).join(named, ["currency", "t"], "left").drop("t")
+
+
+def purge_source(releases: DataFrame, observations: DataFrame, source: str) -> DataFrame:
+    """releases without those that only one source has observed."""
+    own = observations.where(F.col("source") == source).select("release_id").distinct()
+    others = observations.where(F.col("source") != source).select("release_id").distinct()
+    return releases.join(own.join(others, "release_id", "left_anti"), "release_id", "left_anti")
+
+
+def fused_releases(observations: DataFrame) -> DataFrame:
+    """Releases whose observations carry several payload ids and several actuals: two events under one key."""
+    pid, actual = F.get_json_object("raw_json", "$.payload.id"), F.get_json_object("raw_json", "$.payload.actual")
+    seen = observations.groupBy("release_id").agg(F.count_distinct(pid).alias("ids"), F.count_distinct(actual).alias("actuals"))
+    return seen.where("ids > 1 and actuals > 1")
