@@ -159,9 +159,9 @@ def asof_last_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(met.select("event_id", "user_id", "other_id", "other_value", "asof_ts"), 6, "other_value")
 
 
-@query(f"""WITH {_USERS}, m AS (SELECT p.event_id, p.ts AS at, o.other_id, o.ts AS asof_ts FROM p ASOF LEFT JOIN o ON p.user_id = o.user_id AND p.ts >= o.ts)
-SELECT event_id, CASE WHEN epoch_us(at) - epoch_us(asof_ts) <= 345600000000 THEN other_id END AS other_id,
-  CASE WHEN epoch_us(at) - epoch_us(asof_ts) <= 345600000000 THEN asof_ts END AS asof_ts FROM m""")
+@query(f"""WITH {_USERS}, m AS (SELECT p.event_id, p.ts AS asked_ts, o.other_id, o.ts AS asof_ts FROM p ASOF LEFT JOIN o ON p.user_id = o.user_id AND p.ts >= o.ts)
+SELECT event_id, CASE WHEN epoch_us(asked_ts) - epoch_us(asof_ts) <= 345600000000 THEN other_id END AS other_id,
+  CASE WHEN epoch_us(asked_ts) - epoch_us(asof_ts) <= 345600000000 THEN asof_ts END AS asof_ts FROM m""")
 def asof_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = _sides(spark, sf_dir)
     met = asof.asof_within(left, right, ["user_id"], "ts", "ts", ["other_id"], 4 * 86400, tie=["other_id"])
@@ -370,8 +370,8 @@ def journal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_OUTCOMES + """, t AS (SELECT exit_reason, exit_ts, order_id, gain AS net FROM r WHERE exit_reason <> 'open'),
-c AS (SELECT *, sum(net) OVER w AS eq FROM t WINDOW w AS (PARTITION BY exit_reason ORDER BY exit_ts, order_id)),
-d AS (SELECT *, greatest(0, max(eq) OVER (PARTITION BY exit_reason ORDER BY exit_ts, order_id)) AS pk FROM c)
+run AS (SELECT *, sum(net) OVER w AS eq FROM t WINDOW w AS (PARTITION BY exit_reason ORDER BY exit_ts, order_id)),
+d AS (SELECT *, greatest(0, max(eq) OVER (PARTITION BY exit_reason ORDER BY exit_ts, order_id)) AS pk FROM run)
 SELECT exit_reason, round(last(eq ORDER BY exit_ts, order_id), 4) AS equity, round(max(pk), 4) AS peak, round(max(pk - eq), 4) AS max_drawdown,
   first(exit_ts ORDER BY round(pk - eq, 6) DESC, exit_ts, order_id) AS max_drawdown_at FROM d GROUP BY 1""")
 def equity_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:

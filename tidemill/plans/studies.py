@@ -106,18 +106,21 @@ def _baselined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BASE = _study_sql(""", rs AS (SELECT indicator, (epoch(ts)::BIGINT // 86400) AS slot FROM releases),
-ru AS (SELECT i.indicator, s.slot, count(rs.slot) OVER (PARTITION BY i.indicator ORDER BY s.slot) AS upto, (rs.slot IS NOT NULL)::INT AS here
+ru AS MATERIALIZED (SELECT i.indicator, s.slot, count(rs.slot) OVER (PARTITION BY i.indicator ORDER BY s.slot) AS upto, (rs.slot IS NOT NULL)::INT AS here
   FROM (SELECT DISTINCT indicator FROM releases) i CROSS JOIN (SELECT unnest(generate_series((SELECT min(slot) - 450 FROM rs), (SELECT max(slot) + 450 FROM rs))) AS slot) s
   LEFT JOIN rs ON rs.indicator = i.indicator AND rs.slot = s.slot),
-hd AS (SELECT a.indicator, a.slot, horizon, days, CASE WHEN days >= 0 THEN h.upto - l.upto ELSE h.upto - l.upto END AS held, CASE WHEN days >= 0 THEN a.here ELSE 0 END AS own
-  FROM ru a CROSS JOIN lad JOIN ru h ON h.indicator = a.indicator AND h.slot = CASE WHEN days >= 0 THEN a.slot + days ELSE a.slot - 1 END
-  JOIN ru l ON l.indicator = a.indicator AND l.slot = CASE WHEN days >= 0 THEN a.slot - 1 ELSE a.slot + days - 1 END),
+hq AS MATERIALIZED (SELECT a.indicator, a.slot, a.here, horizon, days, CASE WHEN days >= 0 THEN a.slot + days ELSE a.slot - 1 END AS hi,
+  CASE WHEN days >= 0 THEN a.slot - 1 ELSE a.slot + days - 1 END AS lo FROM ru a CROSS JOIN lad),
+hd AS MATERIALIZED (SELECT q.indicator, q.slot, horizon, days, h.upto - l.upto AS held, CASE WHEN days >= 0 THEN q.here ELSE 0 END AS own
+  FROM hq q JOIN ru h ON h.indicator = q.indicator AND h.slot = q.hi JOIN ru l ON l.indicator = q.indicator AND l.slot = q.lo),
 cand AS (SELECT hd.indicator, rt.symbol, hd.horizon, hd.slot, held, ret FROM hd JOIN pairs ON pairs.indicator = hd.indicator
   JOIN rt ON rt.symbol = pairs.symbol AND rt.slot = hd.slot AND rt.horizon = hd.horizon WHERE ret IS NOT NULL),
 ask AS (SELECT w.*, hd.held - hd.own AS allowed FROM w JOIN hd ON hd.indicator = w.indicator AND hd.slot = w.slot AND hd.horizon = w.horizon WHERE usable),
+tq AS MATERIALIZED (SELECT a.*, wk, turn, shift, a.slot - 7 * wk + shift AS c_slot
+  FROM ask a CROSS JOIN range(1, 49) t(wk) CROSS JOIN (VALUES (0, 0), (1, -1), (2, 1), (3, -2), (4, 2)) s(turn, shift)),
+cm AS MATERIALIZED (SELECT * FROM cand),
 tr AS (SELECT a.indicator, a.symbol, a.slot, a.horizon, wk, c.ret, row_number() OVER (PARTITION BY a.indicator, a.symbol, a.slot, a.horizon, wk ORDER BY turn) AS k
-  FROM ask a CROSS JOIN range(1, 49) t(wk) CROSS JOIN (VALUES (0, 0), (1, -1), (2, 1), (3, -2), (4, 2)) s(turn, shift)
-  JOIN cand c ON c.indicator = a.indicator AND c.symbol = a.symbol AND c.horizon = a.horizon AND c.slot = a.slot - 7 * wk + shift
+  FROM tq a JOIN cm c ON c.indicator = a.indicator AND c.symbol = a.symbol AND c.horizon = a.horizon AND c.slot = a.c_slot
   WHERE (shift = 0 OR (c.slot + 3) % 7 < 5) AND c.slot + greatest(0, a.days) < a.slot AND c.held <= a.allowed),
 tk AS (SELECT *, row_number() OVER (PARTITION BY indicator, symbol, slot, horizon ORDER BY wk) AS n FROM tr WHERE k = 1),
 bs AS (SELECT indicator, symbol, slot, horizon, count(*) AS bn, avg(ret) AS bm, stddev_samp(ret) AS bsd, avg(abs(ret)) AS ba FROM tk WHERE n <= 12 GROUP BY ALL),
@@ -218,11 +221,11 @@ def _grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _GRADE = f"""WITH {H1}, rl AS (SELECT event_type AS indicator, ts, (user_id % 3)::INT AS importance, epoch(ts)::BIGINT // 3600 AS hour FROM events WHERE json_extract_string(props, '$.k')::INT >= 90),
 rg AS (SELECT symbol, epoch(bar_ts)::BIGINT // 3600 AS hour, ln(high / low) AS r FROM h1),
-sp AS (SELECT indicator, ts, hour, o AS offset_h, hour + o AS at FROM rl CROSS JOIN range(-3, 4) t(o)),
+sp AS (SELECT indicator, ts, hour, o AS offset_h, hour + o AS spot FROM rl CROSS JOIN range(-3, 4) t(o)),
 bk AS (SELECT sp.indicator, sp.ts, sp.offset_h, r, row_number() OVER (PARTITION BY sp.indicator, sp.ts, offset_h ORDER BY wk) AS k FROM sp CROSS JOIN range(1, 41) t(wk)
-  JOIN rg ON rg.symbol = sp.indicator AND rg.hour = at - 168 * wk WHERE NOT EXISTS (SELECT 1 FROM rl x WHERE x.indicator = sp.indicator AND x.hour = at - 168 * wk)),
+  JOIN rg ON rg.symbol = sp.indicator AND rg.hour = spot - 168 * wk WHERE NOT EXISTS (SELECT 1 FROM rl x WHERE x.indicator = sp.indicator AND x.hour = spot - 168 * wk)),
 nm AS (SELECT indicator, ts, offset_h, CASE WHEN count(*) >= 2 THEN quantile_cont(r, 0.5) END AS normal FROM bk WHERE k <= 12 GROUP BY ALL),
-rt AS (SELECT sp.indicator, sp.ts, sp.hour, sp.offset_h, CASE WHEN normal > 0 THEN rg.r / normal END AS ratio FROM sp LEFT JOIN rg ON rg.symbol = sp.indicator AND rg.hour = at LEFT JOIN nm USING (indicator, ts, offset_h)),
+rt AS (SELECT sp.indicator, sp.ts, sp.hour, sp.offset_h, CASE WHEN normal > 0 THEN rg.r / normal END AS ratio FROM sp LEFT JOIN rg ON rg.symbol = sp.indicator AND rg.hour = spot LEFT JOIN nm USING (indicator, ts, offset_h)),
 be AS (SELECT indicator, ts, hour, max(ratio) FILTER (offset_h = 0) AS ratio, max(ratio) AS best, first(offset_h ORDER BY ratio DESC NULLS LAST, offset_h) AS o FROM rt GROUP BY ALL),
 im AS (SELECT DISTINCT indicator, hour, importance FROM rl),
 bl AS (SELECT DISTINCT a.indicator, a.hour, s.o FROM im a CROSS JOIN range(-3, 4) s(o) JOIN im b ON b.hour = a.hour + s.o AND b.indicator <> a.indicator AND b.importance >= a.importance WHERE s.o <> 0),
