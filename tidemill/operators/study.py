@@ -19,6 +19,8 @@ from tidemill.functions.literals import literal_table
 DAY = 86400
 #: The ladder's rungs of a day or more, in seconds (fixed values).
 DAY_LADDER = {"-5d": -5 * DAY, "-1d": -DAY, "+1d": DAY, "+3d": 3 * DAY, "+1w": 7 * DAY, "+2w": 14 * DAY, "+1M": 30 * DAY}
+#: Squares are summed exactly: a difference of running sums of doubles leaves noise where it should be 0.
+SQUARES = "decimal(24,18)"
 SHIFTS = (0, -1, 1, -2, 2)
 MIN_COVERAGE, MIN_POOL, POWER = 0.6, 20, 2.8
 
@@ -50,7 +52,7 @@ def grid(bars: DataFrame, reach: int) -> DataFrame:
         F.last("open", ignorenulls=True).over(upto).alias("open"),
         F.last("close", ignorenulls=True).over(upto).alias("close"),
         F.count("close").over(upto).alias("bars_upto"),
-        F.coalesce(F.sum(step * step).over(upto), F.lit(0.0)).alias("squares_upto"),
+        F.coalesce(F.sum((step * step).cast(SQUARES)).over(upto), F.lit(0).cast(SQUARES)).alias("squares_upto"),
         "high",
         "low",
     )
@@ -83,7 +85,7 @@ def returns_by_slot(slots: DataFrame, ladder: dict[str, int]) -> DataFrame:
         "symbol", "slot", "horizon", "seconds",
         raw_return(F.col("open"), F.col("o_open"), F.col("o_close"), F.col("seconds")).alias("ret"),
         (late - F.coalesce("p_bars", F.lit(0))).alias("n_bars"),
-        F.sqrt(F.greatest(F.lit(0.0), late_sq - F.coalesce("p_sq", F.lit(0.0)))).alias("realized_vol"),
+        F.sqrt(F.greatest(F.lit(0.0), (late_sq - F.coalesce("p_sq", F.lit(0).cast(SQUARES))).cast("double"))).alias("realized_vol"),
     )
 
 

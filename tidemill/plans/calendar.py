@@ -19,12 +19,12 @@ CONCEPT_RULES = [
 ]
 
 
-@query("""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN printf('%.1f', o_totalprice) || 'K' WHEN 1 THEN '$' || printf('%d', o_totalprice::BIGINT)
+@query("""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN o_totalprice::DECIMAL(18,2)::DECIMAL(18,1)::VARCHAR || 'K' WHEN 1 THEN '$' || printf('%d', o_totalprice::BIGINT)
   WHEN 2 THEN '<' || printf('%.2f', o_totalprice / 1000) || '%' WHEN 3 THEN 'n/a' WHEN 4 THEN printf('%d', o_totalprice::BIGINT // 1000) || ',' || lpad((o_totalprice::BIGINT % 1000)::VARCHAR, 3, '0')
-  ELSE '-' || printf('%.1f', o_totalprice) || 'm' END AS txt FROM orders),
+  ELSE '-' || o_totalprice::DECIMAL(18,2)::DECIMAL(18,1)::VARCHAR || 'm' END AS txt FROM orders),
 p AS (SELECT o_orderkey, regexp_extract(replace(txt, '$', ''), '^\\s*[<>~]?\\s*(-?[0-9][0-9,]*\\.?[0-9]*)\\s*([KMBTkmbt]?)\\s*%?\\s*$', 1) AS num,
   upper(regexp_extract(replace(txt, '$', ''), '^\\s*[<>~]?\\s*(-?[0-9][0-9,]*\\.?[0-9]*)\\s*([KMBTkmbt]?)\\s*%?\\s*$', 2)) AS u FROM t)
-SELECT o_orderkey, round(nullif(replace(num, ',', ''), '')::DOUBLE * CASE u WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 WHEN 'B' THEN 1e9 WHEN 'T' THEN 1e12 ELSE 1 END, 4) AS value FROM p""")
+SELECT o_orderkey, round((nullif(replace(num, ',', ''), '')::DECIMAL(18,2) * (CASE u WHEN 'K' THEN 1000 WHEN 'M' THEN 1000000 WHEN 'B' THEN 1000000000 WHEN 'T' THEN 1000000000000 ELSE 1 END)::DECIMAL(14,0))::DOUBLE, 4) AS value FROM p""")
 def parse_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures written in six ways and read again."""
     o = tables.table(spark, sf_dir, "orders")

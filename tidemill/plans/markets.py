@@ -26,10 +26,10 @@ def ticks_to_bars_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(h1(spark, sf_dir), 6, "open", "high", "low", "close", "spread_mean", "spread_last")
 
 
-@query(f"WITH {D1} SELECT symbol, bar_ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, "
+@query(f"WITH {D1} SELECT symbol, bar_ts, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, "
        "round(volume, 4) AS volume, tick_count FROM d1")
 def deals_to_bars_d1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rounded(d1(spark, sf_dir), 6, "open", "high", "low", "close"), 4, "volume")
+    return rounded(rounded(d1(spark, sf_dir), 8, "open", "high", "low", "close"), 4, "volume")
 
 
 _RESAMPLED = (

@@ -75,9 +75,9 @@ _STUDY = f"""WITH {D1}, {RELEASES}, {PAIRS}, lad(horizon, seconds, days) AS (VAL
 b AS (SELECT *, (epoch(bar_ts)::BIGINT // 86400) AS slot FROM d1), sp AS (SELECT symbol, min(slot) AS a, max(slot) + 31 AS z FROM b GROUP BY 1),
 g0 AS (SELECT symbol, unnest(generate_series(a, z)) AS slot FROM sp),
 g AS (SELECT g0.symbol, g0.slot, last_value(open IGNORE NULLS) OVER w AS o, last_value(close IGNORE NULLS) OVER w AS c, count(close) OVER w AS nb,
-  coalesce(sum(ln(close / open) ** 2) OVER w, 0) AS sq FROM g0 LEFT JOIN b USING (symbol, slot) WINDOW w AS (PARTITION BY g0.symbol ORDER BY g0.slot)),
+  coalesce(sum((ln(close / open) ** 2)::DECIMAL(24,18)) OVER w, 0) AS sq FROM g0 LEFT JOIN b USING (symbol, slot) WINDOW w AS (PARTITION BY g0.symbol ORDER BY g0.slot)),
 rt AS (SELECT g.symbol, g.slot, horizon, seconds, days, CASE WHEN days >= 0 THEN ln(f.c / g.o) ELSE ln(g.o / f.o) END AS ret,
-  greatest(g.nb, f.nb) - coalesce(p.nb, 0) AS n_bars, sqrt(greatest(0, greatest(g.sq, f.sq) - coalesce(p.sq, 0))) AS rv
+  greatest(g.nb, f.nb) - coalesce(p.nb, 0) AS n_bars, sqrt(greatest(0, (greatest(g.sq, f.sq) - coalesce(p.sq, 0))::DOUBLE)) AS rv
   FROM g CROSS JOIN lad LEFT JOIN g f ON f.symbol = g.symbol AND f.slot = g.slot + days LEFT JOIN g p ON p.symbol = g.symbol AND p.slot = least(g.slot, g.slot + days) - 1),
 os AS (SELECT DISTINCT ts, horizon, days FROM releases CROSS JOIN lad),
 ev0 AS (SELECT r.indicator, pairs.symbol, r.ts, (epoch(r.ts)::BIGINT // 86400) AS slot, lad.horizon, lad.seconds, lad.days FROM releases r JOIN pairs USING (indicator) CROSS JOIN lad),
@@ -146,7 +146,7 @@ im AS (SELECT aw.*, (SELECT first('window contains: ' || label ORDER BY sslot) F
   coalesce(nd >= 5 AND d / nullif(s, 0) > 10, false) AS far FROM aw JOIN mm USING (indicator, symbol, horizon))"""
 
 
-@query(_IMPACTS + """ SELECT indicator, symbol, ts, horizon, round(ab, 6) AS abnormal_ret, round(ae, 6) AS abs_excess, round(ab / nullif(bsd, 0), 4) AS standardised,
+@query(_IMPACTS + """ SELECT indicator, symbol, ts, horizon, round(ab, 6) + 0.0::DOUBLE AS abnormal_ret, round(ae, 6) + 0.0::DOUBLE AS abs_excess, round(ab / nullif(bsd, 0), 4) + 0.0::DOUBLE AS standardised,
   coalesce(shock, CASE WHEN far THEN 'far from the median' END) AS outlier_reason FROM im""")
 def event_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _impacts(spark, sf_dir).select("indicator", "symbol", "ts", "horizon", "abnormal_ret", "abs_excess", "standardised", "outlier_reason")

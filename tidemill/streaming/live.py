@@ -10,8 +10,11 @@ LAG = "2 seconds"
 
 
 def tick_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Ticks that arrive as files, with event times that a watermark accepts."""
-    return spark.readStream.schema(schema).parquet(path)
+    """Ticks that arrive as files, with event times that a watermark accepts.
+
+    path may be a folder or one file: it is given as a pattern, as streams otherwise take folders alone.
+    """
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def closed_candles(ticks: DataFrame, width: str, lag: str = LAG, tie: str = "id") -> DataFrame:
