@@ -52,9 +52,8 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
     closed = live.run_available(live.sessions(_stream(spark, sf_dir)), f"{folder}/out", f"{folder}/state")
     t = tables.ticks(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    whole = live.sessions(t)
-    open_ones = whole.join(closed.select("symbol", "first_ts"), ["symbol", "first_ts"], "left_anti")
-    return closed.unionByName(open_ones)
+    # no anti join: it would be pushed below the merging of session windows and bring back parts of sessions
+    return closed.unionByName(live.sessions(t)).distinct()
 
 
 @query(f"""WITH {TICKS}, i AS (SELECT *, epoch_ms(ts) // 3600000 AS ms FROM ticks), n AS (SELECT id, symbol, ts, row_number() OVER (PARTITION BY symbol, epoch_ms(ts) ORDER BY id) AS seq FROM i),
