@@ -19,8 +19,8 @@ CONCEPT_RULES = [
 ]
 
 
-@query("""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN o_totalprice::DECIMAL(18,2)::DECIMAL(18,1)::VARCHAR || 'K' WHEN 1 THEN '$' || printf('%d', o_totalprice::BIGINT)
-  WHEN 2 THEN '<' || printf('%.2f', o_totalprice / 1000) || '%' WHEN 3 THEN 'n/a' WHEN 4 THEN printf('%d', o_totalprice::BIGINT // 1000) || ',' || lpad((o_totalprice::BIGINT % 1000)::VARCHAR, 3, '0')
+@query("""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN o_totalprice::DECIMAL(18,2)::DECIMAL(18,1)::VARCHAR || 'K' WHEN 1 THEN '$' || printf('%d', o_totalprice::DECIMAL(18,2)::DECIMAL(18,0)::BIGINT)
+  WHEN 2 THEN '<' || (o_totalprice::DECIMAL(18,2) * 0.001)::DECIMAL(18,2)::VARCHAR || '%' WHEN 3 THEN 'n/a' WHEN 4 THEN printf('%d', o_totalprice::DECIMAL(18,2)::DECIMAL(18,0)::BIGINT // 1000) || ',' || lpad((o_totalprice::DECIMAL(18,2)::DECIMAL(18,0)::BIGINT % 1000)::VARCHAR, 3, '0')
   ELSE '-' || o_totalprice::DECIMAL(18,2)::DECIMAL(18,1)::VARCHAR || 'm' END AS txt FROM orders),
 p AS (SELECT o_orderkey, regexp_extract(replace(txt, '$', ''), '^\\s*[<>~]?\\s*(-?[0-9][0-9,]*\\.?[0-9]*)\\s*([KMBTkmbt]?)\\s*%?\\s*$', 1) AS num,
   upper(regexp_extract(replace(txt, '$', ''), '^\\s*[<>~]?\\s*(-?[0-9][0-9,]*\\.?[0-9]*)\\s*([KMBTkmbt]?)\\s*%?\\s*$', 2)) AS u FROM t)
