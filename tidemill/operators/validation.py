@@ -32,7 +32,7 @@ def blocked_offsets(releases: DataFrame, neighbours: int = NEIGHBOURS) -> DataFr
     asked = own.withColumn("offset", F.explode(F.array(*[F.lit(i) for i in steps]))).withColumn("there", F.col("hour") + F.col("offset"))
     other = own.select(F.col("indicator").alias("o_indicator"), F.col("importance").alias("o_importance"), F.col("hour").alias("there"))
     heavier = (asked["there"] == other["there"]) & (F.col("o_indicator") != F.col("indicator")) & (F.col("o_importance") >= F.col("importance"))
-    return asked.join(other, heavier, "left_semi").select("indicator", "hour", "offset")
+    return asked.join(other, heavier, "left_semi").select("indicator", "hour", "offset").distinct()
 
 
 def grade(

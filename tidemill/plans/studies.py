@@ -52,7 +52,7 @@ def mad_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH g AS (SELECT o_custkey, count(*) AS n, count_if(o_orderstatus = 'F')::BIGINT AS w FROM orders GROUP BY 1), z AS (SELECT *, w / n AS p, 1.959964::DOUBLE AS z FROM g)
-SELECT o_custkey, n, w, round((p + z*z/(2*n)) / (1 + z*z/n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n)) / (1 + z*z/n), 6) AS low,
+SELECT o_custkey, n, w, round((p + z*z/(2*n)) / (1 + z*z/n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n)) / (1 + z*z/n), 6) + 0.0::DOUBLE AS low,
  round((p + z*z/(2*n)) / (1 + z*z/n) + z*sqrt(p*(1-p)/n + z*z/(4*n*n)) / (1 + z*z/n), 6) AS high FROM z""")
 def wilson_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = tables.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("w"))
