@@ -161,6 +161,19 @@ def test_edits_and_next_documents(spark, odd_docs, no_docs):
     assert len(alone) == 1 and alone[0]["near_next"] == 1.0
 
 
+def test_short_texts_and_texts_without_blanks_keep_hashes_through_an_edit(spark):
+    rng = random.Random(8)
+    word = lambda n=5: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    short = [" ".join(word() for _ in range(n)) for n in range(3, 16)] * 3
+    blobs = [word(n) for n in (16, 17, 100, 511, 512, 513, 3000)] + ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n)) for n in (16, 40, 700)]
+    edges = [" ".join(word(n) for _ in range(700 // n)) for n in (15, 16, 17)] + ["\U0001f600" * 3 + word(600)]
+    texts = [" ".join(word(2) for _ in range(200)) if i % 2 else t for t in [*short, *blobs, *edges] for i in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = winnowing.compare_with_edits(docs).collect()
+    assert len(got) == len(texts) and [r["doc_id"] for r in got if r["near_edited"] == 0] == []
+    assert max(r["near_edited"] for r in got) < 1
+
+
 def test_archives_round_trip(spark):
     big = "<p>" + "x" * 300_000
     rows = [(4, "http://b.example.com/x", "same"), (2, "http://a.example.com/y?q#f", "same"), (3, None, None), (7, "http://a.example.com/y?q", ""), (None, "http://c.org", "same"),

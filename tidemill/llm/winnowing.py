@@ -1,32 +1,51 @@
 """Document fingerprints by winnowing, in built-in functions only.
 
-A text's words (the pieces between runs of white space) are hashed, every k neighbours give one k-gram
-hash, and of every w neighbouring k-grams the smallest hash is chosen, the rightmost of equal ones. Any
-run of w + k - 1 words that two texts share therefore puts at least one common hash into both
-fingerprints; positions (the number of the k-gram's first word) are kept.
+A text's units are hashed, every k neighbours give one k-gram hash, and of every w neighbouring k-grams the
+smallest hash is chosen, the rightmost of equal ones. Any run of w + k - 1 units that two texts share
+therefore puts at least one common hash into both fingerprints; positions (the number of the k-gram's first
+unit) are kept.
+
+Units are words (the pieces between runs of white space); a word of more than LONG_WORD code points, as
+texts without blanks have, is as many units as it has code points. A run of (w + k) * (LONG_WORD + 1) code
+points therefore holds w + k - 1 whole units. Comparisons of texts of up to SHORT_TEXT code points take the
+k-grams of their code points as well, so that w + k - 1 common code points are enough.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import let, literal_rows
 
 K, W = 5, 8
+LONG_WORD, SHORT_TEXT = 16, 512
 #: A chosen k-gram is one long: 39 bits of hash above 24 bits that fall as the position rises.
 POSITION_BITS = 24
 _POSITIONS = (1 << POSITION_BITS) - 1
 _HASH_MASK = (1 << 39) - 1
 
 
-def chosen_grams(text: Column, k: int = K, w: int = W) -> Column:
+def units(text: Column) -> Column:
+    """Hashes of the words of a text, and of the code points of long words."""
+    words = F.split(text, r"\s+")
+    cut = F.flatten(F.transform(words, lambda x: F.when(F.char_length(x) > LONG_WORD, F.split(x, "")).otherwise(F.array(x))))
+    return F.transform(cut, lambda x: F.xxhash64(x))
+
+
+def code_points(text: Column) -> Column:
+    """Hashes of the code points of a text, other ones than those of words of one letter."""
+    return F.transform(F.split(text, ""), lambda x: F.xxhash64(x, F.lit("code point")))
+
+
+def chosen_grams(text: Column, k: int = K, w: int = W, of: Callable[[Column], Column] = units) -> Column:
     """The chosen k-grams of a text as packed longs, in the order of their positions.
 
-    A text of fewer than k words has one k-gram (all its words); one of fewer than w k-grams has one
-    window (all its k-grams). Ties across a multiple of 2**24 words go to the left of it. w is a power of 2.
+    A text of fewer than k units has one k-gram (all its units); one of fewer than w k-grams has one
+    window (all its k-grams). Ties across a multiple of 2**24 units go to the left of it. w is a power of 2.
     """
-    words = F.split(F.coalesce(text, F.lit("")), r"\s+")
 
     def grams(h: Column) -> Column:
         def gram(i: Column) -> Column:
@@ -46,7 +65,7 @@ def chosen_grams(text: Column, k: int = K, w: int = W) -> Column:
     def windows(g: Column) -> Column:
         return F.array_distinct(F.slice(minima(g), F.lit(1), F.greatest(F.size(g) - (w - 1), F.lit(1))))
 
-    return let(let(F.transform(words, lambda x: F.xxhash64(x)), grams), windows)
+    return let(let(of(F.coalesce(text, F.lit(""))), grams), windows)
 
 
 def hashes(chosen: Column) -> Column:
@@ -54,6 +73,13 @@ def hashes(chosen: Column) -> Column:
     return F.array_distinct(F.transform(chosen, lambda x: F.shiftright(x, POSITION_BITS)))
 
 
+def compared_hashes(text: Column, k: int = K, w: int = W) -> Column:
+    """The distinct hashes by which texts are compared: of units, and of code points where the text is short."""
+    whole = hashes(chosen_grams(text, k, w))
+    both = F.array_union(whole, hashes(chosen_grams(text, k, w, code_points)))
+    return F.when(F.char_length(text) <= SHORT_TEXT, both).otherwise(whole)
+
+
 def positions(chosen: Column) -> Column:
     """Their positions (modulo 2**24)."""
     return F.transform(chosen, lambda x: F.lit(_POSITIONS) - x.bitwiseAND(F.lit(_POSITIONS)))
@@ -131,12 +157,12 @@ def compare_with_edits(
 
     The edited text replaces the last floor(n_chars / 4) code points by the first as many (or all) of the
     next document's text. Columns: id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next, n_chosen. Null texts count as empty; one document alone is its own next.
+    near_edited, near_next, n_chosen. Texts of 16 code points or more keep a hash through the edit. Null texts count as empty; one document alone is its own next.
     """
     spark = docs.sparkSession
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ready = plain.withColumn("hashes", hashes(chosen_grams(F.col("text"), k, w)))
+    ready = plain.withColumn("hashes", compared_hashes(F.col("text"), k, w))
     both = with_next(ready, ranges)
     both = both.withColumn("n_chars", F.char_length("text"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
@@ -146,7 +172,7 @@ def compare_with_edits(
     both = both.withColumn("edited", edited)
     both = both.select(
         "id", "n_chars", "hashes", "next_hashes", F.sha2("edited", 256).alias("edited_sha256"),
-        hashes(chosen_grams(F.col("edited"), k, w)).alias("edited_hashes"),
+        compared_hashes(F.col("edited"), k, w).alias("edited_hashes"),
     )
     return both.select(
         F.col("id").alias(id_col),
