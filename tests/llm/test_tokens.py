@@ -75,6 +75,14 @@ def test_token_tables_round_trip(spark, odd_docs, no_docs, documents):
     assert token_tables.read_tables(none).count() == 0
 
 
+def test_ids_beside_null_ids_are_found(spark):
+    docs = spark.createDataFrame([(None, "a b c")] * 3 + [(i, "d e f") for i in range(-2, 6)], "doc_id long, text string")
+    ask = spark.createDataFrame([(i,) for i in range(-3, 7)], "doc_id long")
+    for partitions in (1, 3):
+        manifest = token_tables.write_tables(docs, WORDS, new_folder(spark, "sst"), partitions=partitions)
+        assert sorted(r["doc_id"] for r in token_tables.find(manifest, ask).collect()) == list(range(-2, 6))
+
+
 def test_shard_file(tmp_path):
     path = tmp_path / "x.sst"
     writer = token_tables.ShardWriter(open(path, "wb"), 2)

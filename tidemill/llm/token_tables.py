@@ -323,10 +323,12 @@ def read_tables(manifest: DataFrame, partitions: int | None = None) -> DataFrame
 def find(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc_id and ids of the wanted ids that are there, by range of shard, Bloom filter and binary search."""
     spans = Window.orderBy("part", "number")
-    shards = manifest.select("path", F.col("first_id").alias("lo"), F.lead("first_id").over(spans).alias("hi"))
-    shards = shards.where("lo is not null")
+    following = F.lead(F.struct("first_id")).over(spans)
+    shards = manifest.select("path", F.col("first_id").alias("lo"), following.alias("next")).select("path", "lo", "next.first_id", "next")
+    # nulls come first: a shard that begins with one may go on with the smallest ids, unless the next begins with one too
+    shards = shards.where("lo is not null or next is null or first_id is not null").withColumnRenamed("first_id", "hi").drop("next")
     asked = wanted.select(F.col(id_col).cast("bigint").alias("id")).where("id is not null").distinct()
-    hit = asked.join(F.broadcast(shards), (F.col("id") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("id") <= F.col("hi"))))
+    hit = asked.join(F.broadcast(shards), (F.col("lo").isNull() | (F.col("id") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("id") <= F.col("hi"))))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
