@@ -3,10 +3,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemill.llm import bpe, token_tables
@@ -42,17 +42,35 @@ def test_bpe_round_trip(spark, odd_docs, no_docs, documents):
     for docs in (odd_docs, some):
         for hot in (0, 50, bpe.HOT_WORDS):
             got = bpe.encode(docs, RANKS, P.PATTERN, hot_words=hot)
-            rows = got.withColumn("back", bpe.decoded(F.col("ids"), RANKS)).collect()
-            have = sorted((str(r["doc_id"]), bytes(r["ids"]), bytes(r["back"])) for r in rows)
+            rows = bpe.decode(got, RANKS, ["doc_id", "ids_bytes", "ids"]).collect()
+            assert all(np.array(r["ids"], dtype="<u4").tobytes() == bytes(r["ids_bytes"]) for r in rows)
+            have = sorted((str(r["doc_id"]), bytes(r["ids_bytes"]), bytes(r["decoded"])) for r in rows)
             want = sorted((str(r["doc_id"]), wanted(r["text"]), (r["text"] or "").encode()) for r in docs.collect())
             assert have == want
     assert bpe.encode(no_docs, RANKS, P.PATTERN).count() == 0
 
 
+def test_slices_are_shuffled_once(spark, documents):
+    got = bpe.encode(spark.createDataFrame(documents[["doc_id", "text"]]), RANKS, P.PATTERN)
+    got.collect()
+    assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hot_words_are_bounded(spark):
-    words = spark.createDataFrame([(f"w{i}", i + 1, b"1234") for i in range(100)], "word string, n long, ids binary")
-    assert len(bpe.frequent_words(words, 10)) == 0 and len(bpe.frequent_words(words, 40)) == 37
-    assert len(bpe.frequent_words(words, 100)) == 100
+    words = spark.createDataFrame([(f"w{i}", i + 1) for i in range(100)], "word string, n long")
+    assert bpe.frequent_words(words, 10).count() == 0 and bpe.frequent_words(words, 40).count() == 37
+    assert bpe.frequent_words(words, 100).count() == 100
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab.é \n\u3000")), max_size=12) | st.none(), max_size=9))
+@settings(max_examples=200, deadline=None)
+def test_cutting_many_texts_is_cutting_each(texts):
+    words, numbers, counts = bpe.cut(pa.array(texts, pa.string()))
+    ends = np.cumsum(counts)
+    words = words.to_pylist()
+    for text, a, b in zip(texts, ends - counts, ends):
+        assert "".join(words[n] for n in numbers[a:b]) == (text or "")
+        assert [i for n in numbers[a:b] for i in ENC.encode_ordinary(words[n])] == ENC.encode_ordinary(text or "")
 
 
 def test_token_tables_round_trip(spark, odd_docs, no_docs, documents):

@@ -1,39 +1,50 @@
-"""Byte-level BPE encoding and decoding around one global table of distinct words.
+"""Byte-level BPE encoding and decoding around one global shuffle of distinct words.
 
 Texts are cut into words before every blank that follows something other than white space. No pre-token
-reaches across such a cut, so each word can be encoded by itself. Words are counted per task, meet in one
-shuffle, and each distinct word is encoded once, by the tokenizer library. Ids are joined back in two ways:
-the most frequent words (a bounded number, which would be the hot keys of a join) are broadcast and fill
-their positions at once; all others leave their text as (document, position, word), are joined by word, and
-return to their document, where ids are put together by position. Decoding joins the table of token bytes.
+reaches across such a cut, so each word can be encoded by itself. Three passes:
+
+1. Words are counted over all texts. The most frequent ones, which would be the hot keys of a shuffle, are
+   encoded and broadcast: HOT_WORDS words of HOT_LENGTH characters at most, whatever the corpus.
+2. Every text is cut once. Its broadcast words are numbers already; its other words leave as (slice,
+   position, word), a slice being some MB of neighbouring texts. They are dealt out and sorted by word, each
+   distinct word is encoded once, and its ids go back to the slices.
+3. Slices meet the ids of their words and put them together by position.
+
+Decoding explodes ids with their positions, joins the table of token bytes (as large as the vocabulary) and
+puts the bytes of each text together by position.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from collections import Counter
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import written
 
 #: At most so many words, of at most HOT_LENGTH characters each, are broadcast.
-HOT_WORDS = 200_000
+HOT_WORDS = 400_000
 HOT_LENGTH = 40
-#: Rows of a batch that are worked on at once.
-SLICE = 500
+#: Only words that one task has met so often can be hot. Any word above a share s of all words has this share in some task.
+HOT_IN_TASK = 3
 #: A task hands on its counts when it holds so many distinct words.
-TASK_WORDS = 200_000
+TASK_WORDS = 400_000
+#: Texts are worked on in slices of so many bytes, and at least one text.
+SLICE_BYTES = 8 << 20
 
 # everything that any of the libraries takes for white space, followed by a blank
-_UNSAFE = re.compile(r"\s ")
+_UNSAFE = "[\t-\r\x1c-\x20\x85\xa0  -     　] "
 _SAFE_BLANK = re.compile(r"(?<=\S) ")
 
 
@@ -41,13 +52,74 @@ def words_of(text: str | None) -> list[str]:
     """The words of a text; joined they give the text again. Null and empty texts have none."""
     if not text:
         return []
-    if not _UNSAFE.search(text):
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
     cuts = [0, *[m.start() for m in _SAFE_BLANK.finditer(text)], len(text)]
     return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words that occur in the texts, the number of each word in turn, and how many words each text has.
+
+    A word may have two numbers. Nulls count as empty, and an empty text may have an empty word.
+    """
+    texts = pc.fill_null(texts, "")
+    odd = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)
+    pieces = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+    flat, sizes = pieces.flatten(), pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
+    later, begin = flat.dictionary_encode(), np.cumsum(sizes) - sizes
+    first = flat.take(pa.array(begin)).dictionary_encode()
+    plain = np.array(later.indices, dtype=np.int32)
+    plain[begin] = np.array(first.indices) + len(later.dictionary)
+
+    others = [words_of(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+    rest = pa.array([w for words in others for w in words], pa.string()).dictionary_encode()
+    vocabulary = pa.concat_arrays([pc.binary_join_element_wise("", later.dictionary, " "), first.dictionary, rest.dictionary])
+    counts = np.zeros(len(texts), np.int64)
+    counts[~odd], counts[odd] = sizes, [len(words) for words in others]
+    numbers, of_odd = np.empty(counts.sum(), np.int32), np.repeat(odd, counts)
+    numbers[~of_odd] = plain
+    numbers[of_odd] = np.array(rest.indices, dtype=np.int32) + (len(later.dictionary) + len(first.dictionary))
+    return vocabulary, numbers, counts
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_BYTES, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers by significance of their bytes, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _joined(words: pa.Array) -> bytes:
+    """Words with their lengths before them."""
+    sizes = pc.binary_length(words).to_numpy().astype("<u4")
+    return struct.pack("<I", len(words)) + sizes.tobytes() + "".join(words.to_pylist()).encode()
+
+
+def _parted(raw: bytes) -> pa.Array:
+    (n,) = struct.unpack_from("<I", raw)
+    ends = np.concatenate(([0], np.cumsum(np.frombuffer(raw, "<u4", n, 4)))).astype(np.int32)
+    return pa.StringArray.from_buffers(n, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[4 + 4 * n :]))
+
+
+def _laid_out(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all members of runs, run by run."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """The ranks of a vocabulary file: a token in base64 and its id on each line."""
     with open(path, "rb") as f:
@@ -61,40 +133,38 @@ def _encoder(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
-@lru_cache(maxsize=2)
-def _token_bytes(path: str) -> dict[int, bytes]:
-    return {i: token for token, i in read_ranks(path).items()}
-
-
-def distinct_words(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """word, n (occurrences) and ids (little-endian unsigned 32-bit integers) of every distinct word."""
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                seen.update(words_of(text))
-                if len(seen) >= TASK_WORDS:
-                    yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-                    seen.clear()
-        if seen:
-            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(path, pattern).encode_ordinary
-        for batch in batches:
-            if not len(batch):
-                continue
-            batch["ids"] = [np.array(encode(w), dtype="<u4").tobytes() for w in batch["word"]]
-            yield batch
+def word_counts(docs: DataFrame, least: int = HOT_IN_TASK) -> DataFrame:
+    """word and n, its occurrences in those tasks that have met it ``least`` times; covers all texts."""
 
-    words = docs.select("text").mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return words.mapInPandas(encoded, "word string, n long, ids binary")
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
+        def summed() -> pa.Table:
+            table = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+            return table.rename_columns(["word", "n"])
 
-def frequent_words(words: DataFrame, most: int = HOT_WORDS) -> dict[str, bytes]:
-    """Words at or above the lowest power of two of occurrences that at most ``most`` words reach."""
-    short = words.where(F.length("word") <= HOT_LENGTH)
+        for batch in _slices(batches):
+            vocabulary, numbers, _ = cut(batch.column("text"))
+            n = np.bincount(numbers, minlength=len(vocabulary))
+            held.append(pa.table({"word": vocabulary.filter(pa.array(n > 0)), "n": n[n > 0]}))
+            size += len(held[-1])
+            if size > 2 * TASK_WORDS:
+                held = [summed()]
+                size = len(held[0])
+                if size > TASK_WORDS:
+                    yield from held.pop().filter(pc.field("n") >= least).to_batches()
+                    size = 0
+            pa.default_memory_pool().release_unused()
+        if held:
+            yield from summed().filter(pc.field("n") >= least).to_batches()
+
+    found = docs.select("text").mapInArrow(counted, "word string, n long")
+    return found.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(counts: DataFrame, most: int = HOT_WORDS) -> DataFrame:
+    """The words at or above the lowest power of two of occurrences that at most ``most`` words reach."""
+    short = counts.where(F.length("word") <= HOT_LENGTH)
     sizes = short.groupBy(F.floor(F.log2(F.col("n") + 0.5)).alias("b")).agg(F.count("*").alias("k")).collect()
     total, floor = 0, None
     for r in sorted(sizes, key=lambda r: -r["b"]):
@@ -102,113 +172,178 @@ def frequent_words(words: DataFrame, most: int = HOT_WORDS) -> dict[str, bytes]:
         if total > most:
             break
         floor = r["b"]
-    if floor is None:
-        return {}
-    hot = short.where(F.col("n") >= (1 << floor)).select("word", "ids")
-    return {r["word"]: bytes(r["ids"]) for r in hot.toLocalIterator()}
+    return short.where(F.col("n") >= (1 << floor)) if floor is not None else short.limit(0)
+
+
+def _encoded_words(words: DataFrame, path: str, pattern: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """A bounded table of words on the driver: words, numbers of ids, and all ids."""
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoder(path, pattern).encode_ordinary
+        for batch in batches:
+            ids = [encode(w) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "ids": pa.array(ids, pa.list_(pa.int32()))})
+
+    found = words.orderBy(F.desc("n"), "word").select("word").mapInArrow(encoded, "word string, ids array<int>").toArrow().combine_chunks()
+    if not len(found):
+        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    ids = found.column("ids").combine_chunks()
+    return found.column("word").combine_chunks(), pc.list_value_length(ids).to_numpy().astype(np.int64), ids.flatten().to_numpy()
 
 
 def encode(
     docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS
 ) -> DataFrame:
-    """One row per row of docs: id and ids (binary, little-endian unsigned 32-bit integers).
+    """One row per row of docs: id, ids (array of int) and ids_bytes (the same, little-endian in 32 bits each).
 
     The ids are those of the tokenizer library for the whole text without special tokens. Null and empty
     texts have no ids. Repeated rows stay, null ids too. Other columns are not read.
     """
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keyed = plain.withColumn("key", F.xxhash64("text"))
-    words = written(distinct_words(plain, path, pattern), "bpe-words")
-    hot = docs.sparkSession.sparkContext.broadcast(frequent_words(words, hot_words))
+    counts = written(word_counts(plain), "bpe-counts")
+    hot = docs.sparkSession.sparkContext.broadcast(_encoded_words(frequent_words(counts, hot_words), path, pattern))
     kind = plain.schema["id"].dataType.simpleString()
 
-    def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The positions that the broadcast words leave open."""
-        known = hot.value
-        for batch in _slices(batches):
-            counts, at, open_words = [], [], []
-            for text in batch["text"]:
-                left = [(p, w) for p, w in enumerate(words_of(text)) if w not in known]
-                counts.append(len(left))
-                at += [p for p, _ in left]
-                open_words += [w for _, w in left]
-            if at:
-                keys = batch[["id", "key"]].loc[batch.index.repeat(counts)].reset_index(drop=True)
-                yield keys.assign(at=at, word=open_words)
-
-    open_places = keyed.mapInPandas(exploded, f"id {kind}, key long, at int, word string")
-    joined = open_places.join(words.select("word", "ids"), "word")
-    filled = joined.groupBy("id", "key").agg(F.collect_list(F.struct("at", "ids")).alias("places"))
-
-    def partly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Ids of the broadcast words in their places; the open ones are marked by their lengths being 0."""
-        known, packer = hot.value, zstandard.ZstdCompressor(level=3)
-        for batch in _slices(batches):
-            lengths, ids = [], []
-            for text in batch["text"]:
-                found = [known.get(w, b"") for w in words_of(text)]
-                lengths.append(packer.compress(np.array([len(x) >> 2 for x in found], dtype="<u4").astype("<u2").tobytes()))
-                own = np.frombuffer(b"".join(found), dtype="<u4")
-                ids.append(packer.compress(_planes(own)))
-            yield pd.DataFrame({"id": batch["id"], "key": batch["key"], "lengths": lengths, "known": ids})
-
-    parts = keyed.mapInPandas(partly, f"id {kind}, key long, lengths binary, known binary")
-    on = parts["id"].eqNullSafe(filled["id"]) & (parts["key"] == filled["key"])
-    met = parts.join(filled, on, "left").select(parts["id"], "lengths", "known", "places.at", "places.ids")
-
-    def whole(lengths: pd.Series, known: pd.Series, at: pd.Series, ids: pd.Series) -> pd.Series:
-        packer, out = zstandard.ZstdDecompressor(), []
-        for n, own, places, late in zip(lengths, known, at, ids):
-            n = np.frombuffer(packer.decompress(n), dtype="<u2")
-            own = _unplaned(packer.decompress(own)).tobytes()
-            if places is None or not len(places):
-                out.append(own)
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, part = hot.value[0], TaskContext.get().partitionId()
+        for number, batch in enumerate(_slices(batches)):
+            texts, ids = batch.column("text"), batch.column("id")
+            vocabulary, at, counts = cut(texts)
+            rank = pc.fill_null(pc.index_in(vocabulary, value_set=known), -1).to_numpy(zero_copy_only=False)
+            is_open = (rank < 0) & (np.bincount(at, minlength=len(vocabulary)) > 0)
+            place = rank[at]
+            opens = (np.cumsum(is_open) - 1)[at[place < 0]]
+            words = vocabulary.filter(pa.array(is_open))
+            # places count within these very words: should a lost task come out otherwise, its slices have other names
+            name = xxhash.xxh64_intdigest("\n".join([str(part), str(number), *words.to_pylist()]).encode()) - (1 << 63)
+            packed = {"counts": [_packed(counts)], "ranks": [_packed(place + 1)], "opens": [_packed(np.diff(opens, prepend=0))]}
+            both = {"id": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "words": [zstandard.compress(_joined(words))]}
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([name], pa.int64()), **packed, **both})
+            del batch, texts, vocabulary, at, rank, place, opens, words
+            pa.default_memory_pool().release_unused()
+
+    cut_schema = f"slice long, counts binary, ranks binary, opens binary, id array<{kind}>, words binary"
+    # both readers take all columns, so Spark shuffles the slices once and reuses the exchange
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = plain.mapInArrow(sliced, cut_schema).repartition(partitions, "slice")
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch.column("slice"), batch.column("words")):
+                words = _parted(zstandard.decompress(raw.as_py()))
+                for a in range(0, len(words), 10_000):
+                    some = words[a : a + 10_000]
+                    at = pa.array(np.arange(a, a + len(some), dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), name.as_py())), at, some], names=["slice", "at", "word"])
+
+    def by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each distinct word is encoded once: its rows follow each other."""
+        encode, last, made = _encoder(path, pattern).encode_ordinary, None, []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            by_place = dict(zip(places, late))
-            ends = np.cumsum(n, dtype=np.int64) * 4
-            made, done = [], 0
-            for p in sorted(by_place):
-                made += [own[done : ends[p]], by_place[p]]
-                done = ends[p]
-            out.append(b"".join([*made, own[done:]]))
-        return pd.Series(out)
-
-    put_together = F.pandas_udf(whole, "binary")
-    return met.select(F.col("id").alias(id_col), put_together("lengths", "known", "at", "ids").alias("ids"))
-
-
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for a in range(0, len(batch), SLICE):
-            yield batch.iloc[a : a + SLICE].reset_index(drop=True)
-
-
-def _planes(ids: np.ndarray) -> bytes:
-    """Ids by significance of their bytes, which packs better."""
-    return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _unplaned(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+            coded = batch.column("word").dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            found = [made if w == last else encode(w) for w in words]
+            last, made = words[-1], found[-1]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            flat, starts = np.array([i for x in found for i in x], dtype=np.int64), np.cumsum(sizes) - sizes
+            home, at = batch.column("slice").to_numpy(), batch.column("at").to_numpy()
+            order = np.lexsort((at, home))
+            which, bounds = coded.indices.to_numpy()[order], np.flatnonzero(np.diff(home[order], prepend=-1, append=-1))
+            rows = []
+            for a, b in zip(bounds, bounds[1:]):
+                w = which[a:b]
+                places = np.diff(at[order[a:b]], prepend=0)
+                rows.append((int(home[order[a]]), _packed(places), _packed(sizes[w]), _packed(flat[_laid_out(starts[w], sizes[w])])))
+            yield pa.RecordBatch.from_pydict(dict(zip(("slice", "at", "n", "ids"), map(list, zip(*rows)))))
+
+    places = slices.mapInArrow(exploded, "slice long, at int, word string")
+    filled = places.repartition("word").sortWithinPartitions("word").mapInArrow(by_word, "slice long, at binary, n binary, ids binary")
+    filled = filled.groupBy("slice").agg(F.collect_list(F.struct("at", "n", "ids")).alias("filled"))
+    met = slices.join(filled, "slice", "left")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, hot_sizes, hot_ids = hot.value
+        hot_starts = np.cumsum(hot_sizes) - hot_sizes
+        for batch in batches:
+            for row in range(batch.num_rows):
+                counts, ranks, opens = (_unpacked(batch.column(c)[row].as_py()) for c in ("counts", "ranks", "opens"))
+                opens = np.cumsum(opens.astype(np.uint32).view(np.int32).astype(np.int64))
+                late = batch.column("filled")[row].as_py() or []
+                at = [np.cumsum(_unpacked(x["at"])) for x in late]
+                order = np.argsort(np.concatenate(at)) if at else np.zeros(0, np.int64)
+                sizes = np.concatenate([_unpacked(x["n"]) for x in late]) if late else np.zeros(0, np.int64)
+                if len(order) != int(np.max(opens, initial=-1)) + 1:
+                    raise RuntimeError("a slice met other words than its own; run the job again")
+                starts = np.cumsum(sizes) - sizes
+                flat = np.concatenate([*[_unpacked(x["ids"]) for x in late], hot_ids])
+                word = ranks - 1 + len(order)
+                word[ranks == 0] = opens
+                all_sizes = np.concatenate((sizes[order], hot_sizes))
+                all_starts = np.concatenate((starts[order], hot_starts + (len(flat) - len(hot_ids))))
+                ids = flat[_laid_out(all_starts[word], all_sizes[word])].astype(np.int32)
+                ends = np.concatenate(([0], np.cumsum(all_sizes[word])))[np.concatenate(([0], np.cumsum(counts)))].astype(np.int32)
+                raw = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((ends * 4).tobytes()), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id")[row].values, "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), "ids_bytes": raw})
+
+    encoded = met.mapInArrow(whole, f"id {kind}, ids array<int>, ids_bytes binary")
+    return encoded.withColumnRenamed("id", id_col)
+
+
+def decode(encoded: DataFrame, path: str, keep: list[str], ids_col: str = "ids") -> DataFrame:
+    """The kept columns and decoded (binary) of each row: ids are joined with the table of token bytes.
+
+    Rows without ids have no bytes. An id that the table lacks ends the job. The join broadcasts the table
+    and leaves rows in their order; the positions that come back are checked.
+    """
+    ranks = read_ranks(path)
+    table = encoded.sparkSession.createDataFrame(pa.table({"__token": pa.array(ranks.values(), pa.int32()), "__bytes": pa.array(ranks.keys(), pa.binary())}))
+    # what is kept goes along with the first token only
+    held = F.struct(*[F.col(c).alias(f"k{n}") for n, c in enumerate(keep)])
+    open_ids = encoded.select(held.alias("__head"), F.posexplode_outer(ids_col).alias("__at", "__token"))
+    head = F.when(F.coalesce("__at", F.lit(0)) == 0, F.col("__head")).alias("__head")
+    found = open_ids.select(head, "__at", "__token").join(F.broadcast(table), "__token", "left").select("__head", "__at", "__bytes")
+    head_type = ", ".join(f"k{n}: {encoded.schema[c].dataType.simpleString()}" for n, c in enumerate(keep))
 
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, parts, expected = None, [], 0
 
-def decoded(ids: Column, path: str) -> Column:
-    """The bytes of encoded texts: each id is looked up in the table of token bytes (as large as the vocabulary)."""
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([head, pa.array([b"".join(parts)], pa.binary())], names=["head", "decoded"])
 
-    def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = _token_bytes(path)
         for batch in batches:
-            yield pd.Series([b"".join(map(table.__getitem__, np.frombuffer(x, dtype="<u4").tolist())) for x in batch])
-
-    return F.pandas_udf(look_up, "binary")(ids)
+            if not batch.num_rows:
+                continue
+            at = pc.fill_null(batch.column("__at"), 0).to_numpy(zero_copy_only=False)
+            begins = np.flatnonzero(at == 0)
+            follows = np.concatenate(([expected], at[:-1] + 1))
+            data = batch.column("__bytes")
+            missing = pc.and_not(pc.is_valid(batch.column("__at")), pc.is_valid(data))
+            if ((at != 0) & (at != follows)).any() or pc.any(missing).as_py():
+                raise ValueError("ids out of order, or not in the table of token bytes")
+            expected = int(at[-1]) + 1
+            _, offsets, raw = data.buffers()
+            offsets = np.frombuffer(offsets, np.int32)[data.offset : data.offset + len(data) + 1]
+            raw = memoryview(raw or b"")
+            bounds = [0, *begins.tolist(), len(at)]
+            parts.append(bytes(raw[offsets[0] : offsets[bounds[1]]]))
+            done = []
+            for a, b in zip(bounds[1:-1], bounds[2:]):
+                if head is not None:
+                    done.append(closed())
+                head, parts = batch.column("__head").slice(a, 1), [bytes(raw[offsets[a] : offsets[b]])]
+            yield from done
+        if head is not None:
+            yield closed()
+
+    back = found.mapInArrow(joined, f"head struct<{head_type}>, decoded binary")
+    return back.select(*[F.col(f"head.k{n}").alias(c) for n, c in enumerate(keep)], "decoded")
 
 
 def digests(spark: SparkSession, docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes, decodes, and gives id, n_tokens, ids_sha256 and decoded_sha256."""
-    both = encode(docs, path, pattern, id_col, text_col).withColumn("decoded", decoded(F.col("ids"), path))
-    return both.select(
-        id_col,
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    encoded = encode(docs, path, pattern, id_col, text_col)
+    told = encoded.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_bytes", 256).alias("ids_sha256"), "ids")
+    back = decode(told, path, [id_col, "n_tokens", "ids_sha256"])
+    return back.select(id_col, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
