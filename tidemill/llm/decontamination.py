@@ -26,9 +26,11 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.6
 GRAM = 5
-BLOCK_ITEMS = 16
+BLOCK_ITEMS = 8
 #: One index holds so many items at most, and is broadcast; more items make more indexes and more passes.
 ITEMS_PER_INDEX = 20_000
+#: Indexes are built on the driver: test sets of more text than this are refused, not cut.
+MOST_TEST_CHARS = 100_000_000
 LEAST_STRIDE = 32
 _SLICE = 64  # passages that are scored at once
 
@@ -131,20 +133,23 @@ class ItemIndex:
         key = np.unique(passage[passage >= 0] * size + known[passage >= 0])
         passage, known = key // size, key % size
         wanted = np.unique(passage[self.essential[known]])
+        items = len(self.items)
         for a in range(0, len(wanted), _SLICE):
             some = wanted[a : a + _SLICE]
-            keep = np.isin(passage, some)
-            p, t = np.searchsorted(some, passage[keep]), known[keep]
+            keep = slice(np.searchsorted(passage, some[0]), np.searchsorted(passage, some[-1], "right")) if len(wanted) > _SLICE else slice(None)
+            row = np.searchsorted(some, passage[keep])
+            asked = some[np.minimum(row, len(some) - 1)] == passage[keep]
+            row, t = row[asked], known[keep][asked]
             owner, entry = self._spread(t, self.block_ptr)
-            bound = np.bincount(p[owner] * self.blocks + self.block_of[entry], self.maxima[entry], len(some) * self.blocks)
-            for cell in np.flatnonzero(bound >= self.threshold - 1e-9):
-                row, block = divmod(int(cell), self.blocks)
-                hit = entry[(p[owner] == row) & (self.block_of[entry] == block)]
-                scores: dict[int, float] = defaultdict(float)
-                for e in hit:
-                    for x in range(self.starts[e], self.starts[e + 1]):
-                        scores[int(self.item_of[x])] += float(self.weight[x])
-                found += [(int(some[row]), n, s) for n, s in scores.items() if s >= self.threshold - 1e-9]
+            cell = row[owner] * self.blocks + self.block_of[entry]
+            bound = np.bincount(cell, self.maxima[entry], len(some) * self.blocks)
+            # only the blocks whose maxima can reach the threshold are scored
+            hit = bound[cell] >= self.threshold - 1e-9
+            owner, at = self._spread(entry[hit], self.starts)
+            pair, place = np.unique((cell[hit] // self.blocks)[owner] * items + self.item_of[at], return_inverse=True)
+            scores = np.bincount(place, self.weight[at], len(pair))
+            for k in np.flatnonzero(scores >= self.threshold - 1e-9).tolist():
+                found.append((int(some[pair[k] // items]), int(pair[k] % items), float(scores[k])))
         return found
 
     def leaks(self, text: str | None, least: float = OVERLAP) -> list[tuple[int, float, float, float]]:
@@ -167,9 +172,13 @@ class ItemIndex:
 def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD) -> list[ItemIndex]:
     """Indexes of all items, ITEMS_PER_INDEX in each; statistics cover all items.
 
-    Items with a null id, a null text or no word are left out; items with equal ids count separately.
+    Items with a null id, a null text or no word are left out; items with equal ids count separately. More
+    than MOST_TEST_CHARS characters of items end the call.
     """
     rows = benchmark.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).dropna()
+    size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    if size > MOST_TEST_CHARS:
+        raise ValueError(f"{size} characters of test items; the indexes are built for {MOST_TEST_CHARS} at most")
     frequency, n, total, items = Counter(), 0, 0, []
     for r in rows.orderBy("i", "t").toLocalIterator():  # test items, not the corpus
         words = words_of(r["t"])
