@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemill.functions import clock
 
 STALE_SECONDS = 5
-FLAG_OK, FLAG_BAD, FLAG_WIDE, FLAG_GAP, FLAG_JUMP = range(5)
+# The flags of stored ticks.
+FLAG_OK, FLAG_WIDE, FLAG_BAD, FLAG_GAP, FLAG_JUMP = range(5)
 
 
 def bucket(ts: Column, seconds: int) -> Column:
@@ -93,26 +94,31 @@ def canonical(bars: DataFrame, by: list[str], ts: str, arrival: str) -> DataFram
 
 
 def clean_ticks(ticks: DataFrame, wide: float = 10.0, sigmas: float = 5.0, tie: str = "id") -> DataFrame:
-    """Flags per tick: bad price, spread above wide times the day's median, gap of more than five seconds in
-    an open market, mid further than some deviations from the centred median of a thousand.
+    """Flags per tick of a UTC day: a bad price; else a spread above ``wide`` times the median of the day's
+    ticks that are not bad; else a gap of more than five seconds outside the weekend (Friday 22:00 to Sunday);
+    else a mid further than ``sigmas`` deviations from the centred median of a thousand.
 
-    Of ticks at one moment the last stays. Windows are a symbol's day.
+    Of ticks at one moment the last stays, after the median is taken. Windows are a symbol's day.
     """
-    day = F.to_date("ts")
-    w_same = Window.partitionBy("symbol", "ts").orderBy(F.col(tie).desc())
-    kept = ticks.withColumn("__n", F.row_number().over(w_same)).where("__n = 1").drop("__n").withColumn("day", day)
+    finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    bad = ~(finite("bid") & finite("ask") & (F.col("ask") >= F.col("bid")) & (F.col("ask") > 0) & (F.col("bid") > 0))
     spread = F.col("ask") - F.col("bid")
-    middle = kept.groupBy("symbol", "day").agg(F.percentile(spread, 0.5).alias("__mid_spread"))
-    kept = kept.join(middle, ["symbol", "day"]).withColumn("mid", (F.col("ask") + F.col("bid")) / 2)
+    told = ticks.withColumn("day", F.to_date("ts")).withColumn("__bad", bad)
+    middle = told.groupBy("symbol", "day").agg(F.percentile(F.when(~F.col("__bad"), spread), 0.5).alias("__mid_spread"))
+    w_same = Window.partitionBy("symbol", "ts").orderBy(F.col(tie).desc())
+    kept = told.withColumn("__n", F.row_number().over(w_same)).where("__n = 1").drop("__n").join(middle, ["symbol", "day"])
+    mid = (F.col("ask") + F.col("bid")) / 2
+    kept = kept.withColumn("mid", F.when(finite("ask") & finite("bid"), mid))
     order = Window.partitionBy("symbol", "day").orderBy("ts")
     around = order.rowsBetween(-500, 499)
     gap = clock.epoch_micros(F.col("ts")) - clock.epoch_micros(F.lag("ts").over(order))
+    weekend = (F.weekday("ts") >= 5) | ((F.weekday("ts") == 4) & (F.hour("ts") >= 22))
     away = F.abs(F.col("mid") - F.percentile("mid", 0.5).over(around))
     flag = (
-        F.when((F.col("bid") <= 0) | (F.col("ask") < F.col("bid")), FLAG_BAD)
+        F.when(F.col("__bad"), FLAG_BAD)
         .when(spread > wide * F.col("__mid_spread"), FLAG_WIDE)
+        .when((gap > STALE_SECONDS * 1_000_000) & ~weekend, FLAG_GAP)
         .when(away > sigmas * F.stddev_samp("mid").over(around), FLAG_JUMP)
-        .when((gap > STALE_SECONDS * 1_000_000) & (F.weekday("ts") < 5), FLAG_GAP)
         .otherwise(FLAG_OK)
     )
     return kept.select("id", "symbol", "day", "ts", "bid", "ask", flag.alias("flag"))

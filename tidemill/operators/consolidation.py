@@ -162,6 +162,8 @@ def components(pairs: DataFrame, most_rounds: int = 30) -> DataFrame:
     """
     sc = pairs.sparkSession.sparkContext
     if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
@@ -174,8 +176,8 @@ def components(pairs: DataFrame, most_rounds: int = 30) -> DataFrame:
         step = labels.join(hop, "component", "left").join(near, "node").select("node", least.alias("component"), (least < F.col("component")).alias("moved")).checkpoint()
         labels = step.select("node", "component")
         if not step.where("moved").limit(1).count():
-            break
-    return labels
+            return labels
+    raise RuntimeError("components have not settled")
 
 
 def survivors(duplicates: DataFrame, by: list[str]) -> DataFrame:

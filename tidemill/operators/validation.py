@@ -83,13 +83,13 @@ def grade(
 def verdicts(grades: DataFrame, by: list[str], bins: int = 2 * NEIGHBOURS + 1) -> DataFrame:
     """One verdict per group: modal offset, its share and chance, and the status before the sweep's correction."""
     voted = grades.withColumn("vote", F.when(F.col("status") == "confirmed_hour", 0).when(F.col("status") == "offset", F.col("offset_min")))
-    counts = voted.where("vote is not null").groupBy(*by, "vote").agg(F.count("*").alias("k"))
+    counts = voted.where("vote is not null").groupBy(*by, "vote").agg(F.count("*").alias("__k"))
     modal = counts.groupBy(*by).agg(
-        F.min_by("vote", F.struct(-F.col("k"), F.abs("vote"), "vote")).alias("modal_offset"),
-        F.max("k").alias("modal_n"),
-        F.sum("k").alias("spiked"),
-        F.sum(F.when(F.col("vote") == 0, F.col("k"))).alias("confirmed"),
-        F.max(F.when(F.col("vote") != 0, F.col("k"))).alias("best_off"),
+        F.min_by("vote", F.struct(-F.col("__k"), F.abs("vote"), "vote")).alias("modal_offset"),
+        F.max("__k").alias("modal_n"),
+        F.sum("__k").alias("spiked"),
+        F.sum(F.when(F.col("vote") == 0, F.col("__k"))).alias("confirmed"),
+        F.max(F.when(F.col("vote") != 0, F.col("__k"))).alias("best_off"),
     )
     rated = F.when((F.col("vote").isNotNull()) | (F.col("status") == "no_spike"), F.col("ratio"))
     rest = voted.groupBy(*by).agg(

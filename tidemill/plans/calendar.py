@@ -91,13 +91,13 @@ def cross_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(consolidation.cross_source(tables.claims(spark, sf_dir)).drop("field"), 6, "lowest", "highest")
 
 
-@query("""WITH n AS (SELECT p_brand, p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9%]+', ' ', 'g'), ' +', ' ', 'g')) AS normal FROM part)
+@query("""WITH n AS (SELECT p_brand, p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9/ ]+', ' ', 'g'), ' +', ' ', 'g')) AS normal FROM part)
 SELECT p_brand, normal, count(*) AS n, min(p_partkey) AS survivor FROM n WHERE normal <> '' GROUP BY ALL HAVING count(*) > 1""")
 def duplicates_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidation.exact_duplicates(tables.table(spark, sf_dir, "part"), "p_brand", "p_name", "p_partkey")
 
 
-@query("""WITH t AS (SELECT p_brand, p_partkey, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_type || ' ' || p_name), '[^a-z0-9%]+', ' ', 'g')), ' '), lambda x: x <> '')) AS t FROM part),
+@query("""WITH t AS (SELECT p_brand, p_partkey, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_type || ' ' || p_name), '[^a-z0-9/ ]+', ' ', 'g')), ' '), lambda x: x NOT IN ('', 'the', 'of', 'a', 'an', 'and', 'for'))) AS t FROM part),
 j AS (SELECT a.p_brand, a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) + len(b.t) AS s FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey)
 SELECT p_brand, a, b, round(i / (s - i), 6) AS score FROM j WHERE i / (s - i) >= 0.6""")
 def duplicates_similar(spark: SparkSession, sf_dir: str) -> DataFrame:

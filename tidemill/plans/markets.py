@@ -96,13 +96,13 @@ def missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.missing_days(d1(spark, sf_dir))
 
 
-_CLEAN = f"""WITH {TICKS}, k AS (SELECT *, ts::DATE AS day, (ask + bid) / 2 AS mid FROM ticks QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY id DESC) = 1),
-s AS (SELECT symbol, day, quantile_cont(ask - bid, 0.5) AS ms FROM k GROUP BY ALL),
+_CLEAN = f"""WITH {TICKS}, s AS (SELECT symbol, ts::DATE AS day, quantile_cont(ask - bid, 0.5) FILTER (ask >= bid AND ask > 0 AND bid > 0) AS ms FROM ticks GROUP BY ALL),
+k AS (SELECT *, ts::DATE AS day, (ask + bid) / 2 AS mid FROM ticks QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY id DESC) = 1),
 w AS (SELECT k.*, ms, (epoch_us(ts) - epoch_us(lag(ts) OVER o)) AS gap, median(mid) OVER c AS mm, stddev_samp(mid) OVER c AS sd
   FROM k JOIN s USING (symbol, day) WINDOW o AS (PARTITION BY symbol, day ORDER BY ts),
   c AS (PARTITION BY symbol, day ORDER BY ts ROWS BETWEEN 500 PRECEDING AND 499 FOLLOWING)),
-f AS (SELECT id, symbol, day, ts, round(bid, 6) AS bid, round(ask, 6) AS ask, CASE WHEN bid <= 0 OR ask < bid THEN 1 WHEN ask - bid > 10 * ms THEN 2
-  WHEN abs(mid - mm) > 5 * sd THEN 4 WHEN gap > 5000000 AND isodow(ts) < 6 THEN 3 ELSE 0 END AS flag FROM w)"""
+f AS (SELECT id, symbol, day, ts, round(bid, 6) AS bid, round(ask, 6) AS ask, CASE WHEN NOT (ask >= bid AND ask > 0 AND bid > 0) THEN 2 WHEN ask - bid > 10 * ms THEN 1
+  WHEN gap > 5000000 AND NOT (isodow(ts) > 5 OR (isodow(ts) = 5 AND hour(ts) >= 22)) THEN 3 WHEN abs(mid - mm) > 5 * sd THEN 4 ELSE 0 END AS flag FROM w)"""
 
 
 @query(_CLEAN + " SELECT * FROM f")
@@ -278,12 +278,21 @@ def previous_day_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(market.previous_day_levels(h1(spark, sf_dir)), 6, "prev_high", "prev_low", "range_high", "range_low")
 
 
-@query(f"""WITH {H1}, {_LEVELS}, m AS (SELECT h.symbol, lv.day, prev_high, min(bar_ts) FILTER (high > prev_high AND close <= prev_high) AS s,
-  min(bar_ts) FILTER (close > prev_high) AS b FROM h1 h JOIN lv ON lv.symbol = h.symbol AND lv.day = {_FX_DAY} WHERE prev_high IS NOT NULL GROUP BY ALL)
-SELECT symbol, day, round(prev_high, 6) AS prev_high, CASE WHEN b IS NULL OR s < b THEN s END AS sweep_ts, b AS break_ts FROM m""")
+_M15 = TICKS + """, m15 AS (SELECT symbol, to_timestamp(floor(epoch(ts) / 900) * 900)::TIMESTAMP AS bar_ts, max(bid) AS high, min(bid) AS low, last(bid ORDER BY ts, id) AS close FROM ticks GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {H1}, {_M15[len(TICKS) + 2:]}, {_LEVELS}, ll AS (SELECT symbol, 'sell' AS side, prev_high AS price, day AS known FROM lv WHERE prev_high IS NOT NULL
+  UNION ALL SELECT symbol, 'buy', prev_low, day FROM lv WHERE prev_low IS NOT NULL),
+mt AS (SELECT ll.*, bar_ts, CASE side WHEN 'sell' THEN high ELSE low END AS extreme, CASE side WHEN 'sell' THEN high > price ELSE low < price END AS through,
+  CASE side WHEN 'sell' THEN close > price ELSE close < price END AS beyond FROM ll JOIN m15 ON m15.symbol = ll.symbol AND bar_ts >= known AND bar_ts < known + INTERVAL 5 DAY),
+br AS (SELECT symbol, side, known, min(bar_ts) FILTER (beyond) AS b FROM mt GROUP BY ALL)
+SELECT symbol, side, known AS known_ts, round(price, 6) AS price, bar_ts, round(extreme, 6) AS extreme, beyond AS broke FROM mt JOIN br USING (symbol, side, known)
+WHERE (beyond OR through) AND (b IS NULL OR bar_ts <= b)""")
 def sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = h1(spark, sf_dir)
-    return rounded(market.sweeps(b, market.previous_day_levels(b)), 6, "prev_high")
+    """Sweeps and breaks of the previous market day's high and low on 15-minute bars, for five days."""
+    quarter = bars.ticks_to_bars(tables.ticks(spark, sf_dir), 900)
+    levels = market.day_edges(market.previous_day_levels(h1(spark, sf_dir)), days=5)
+    return rounded(market.track_levels(levels, quarter).drop("expires_ts"), 6, "price", "extreme")
 
 
 @query(f"""WITH {H1}, o AS (SELECT symbol, bar_ts, (epoch(bar_ts)::BIGINT // 3600) AS slot, tick_count::DOUBLE AS v FROM h1),
@@ -312,21 +321,31 @@ def point_of_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(market.point_of_control(_profile(spark, sf_dir)), 6, "volume")
 
 
-@query(f"""WITH {H1}, x AS (SELECT symbol, bar_ts, abs(close - open) AS body FROM h1)
-SELECT symbol, bar_ts, round(body, 6) AS body, body > 1.5 * CASE WHEN count(*) OVER w = 20 THEN avg(body) OVER w END AS is_wide FROM x
-WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""")
+@query(f"""WITH {H1}, x AS (SELECT symbol, bar_ts, close - open AS body, high - low AS rng, close - low AS up, high - close AS dn, avg(abs(close - open)) OVER w AS normal FROM h1
+  WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+SELECT symbol, bar_ts, round(body, 6) AS body, CASE WHEN rng > 0 AND abs(body) >= 1.2 * normal AND body > 0 AND dn <= 0.4 * rng THEN 'buy'
+  WHEN rng > 0 AND abs(body) >= 1.2 * normal AND body < 0 AND up <= 0.4 * rng THEN 'sell' END AS wide_side FROM x""")
 def wide_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(market.wide_candles(h1(spark, sf_dir)), 6, "body")
 
 
+@query(f"""WITH {H1}, o AS (SELECT symbol, bar_ts, open, high, low, close, (epoch(bar_ts)::BIGINT // 3600) AS slot, tick_count::DOUBLE AS v FROM h1),
+x AS (SELECT a.symbol, a.slot, avg(b.v) AS m, count(*) AS n FROM o a, (SELECT -24 * d + k AS s FROM range(1, 6) t(d), range(-2, 3) u(k)) st
+  JOIN o b ON b.symbol = a.symbol AND b.slot = a.slot + st.s GROUP BY ALL)
+SELECT o.symbol, o.bar_ts, coalesce(n >= 5 AND v / m >= 1.5, false) AND high > low AND abs(close - open) <= 0.35 * (high - low) AS absorbed FROM o LEFT JOIN x USING (symbol, slot)""")
+def absorption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = h1(spark, sf_dir)
+    return market.absorbing(b, market.relative_volume(b, 3600))
+
+
 @query(f"""WITH {H1}, x AS (SELECT *, abs(close - open) AS body FROM h1),
-y AS (SELECT symbol, bar_ts, coalesce(avg(CASE WHEN close > open THEN body END) OVER w, 0.0) AS u, coalesce(avg(CASE WHEN close < open THEN body END) OVER w, 0.0) AS d,
-  count(CASE WHEN high - greatest(open, close) > body THEN 1 END) OVER w AS a, count(CASE WHEN least(open, close) - low > body THEN 1 END) OVER w AS b
+y AS (SELECT symbol, bar_ts, count(*) OVER w AS k, coalesce(avg(CASE WHEN close > open THEN body END) OVER w, 0.0) AS u, coalesce(avg(CASE WHEN close < open THEN body END) OVER w, 0.0) AS d,
+  count(CASE WHEN close > open AND high - close > body THEN 1 END) OVER w AS a, count(CASE WHEN close < open AND close - low > body THEN 1 END) OVER w AS b
   FROM x WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
-SELECT symbol, bar_ts, round(u, 6) AS bull_body, round(d, 6) AS bear_body, a AS upper_rejections, b AS lower_rejections,
-  CASE WHEN u > d AND b >= a THEN 'buyers' WHEN d > u AND a >= b THEN 'sellers' ELSE 'mixed' END AS verdict FROM y""")
+SELECT symbol, bar_ts, k AS candles, round(u, 6) AS up_body, round(d, 6) AS down_body, a AS up_rejections, b AS down_rejections,
+  CASE WHEN u < 0.5 * d AND a >= 3 THEN 'sellers stronger' WHEN d < 0.5 * u AND b >= 3 THEN 'buyers stronger' ELSE 'no clear side' END AS reading FROM y""")
 def candle_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(market.candle_read(h1(spark, sf_dir)), 6, "bull_body", "bear_body")
+    return rounded(market.candle_read(h1(spark, sf_dir)), 6, "up_body", "down_body")
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:

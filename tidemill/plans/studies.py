@@ -154,7 +154,7 @@ def event_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _POOL = _IMPACTS + """, pl AS (SELECT indicator, symbol, horizon, days, count(*) AS n, quantile_cont(nullif(baseline_n, 0), 0.5)::INT AS baseline_n, avg(ab) AS ma, stddev_samp(ab) AS sd, avg((ab > 0)::INT) AS hr,
-  avg(ae) AS me, stddev_samp(ae) AS sde, sum(abs(ret)) / nullif(sum(ba), 0) AS ratio FROM im WHERE ab IS NOT NULL GROUP BY ALL),
+  avg(ae) AS me, stddev_samp(ae) AS sde, sum(abs(ret)) FILTER (ba <> 0) / nullif(sum(ba) FILTER (ba <> 0), 0) AS ratio FROM im WHERE ab IS NOT NULL GROUP BY ALL),
 pt AS (SELECT *, CASE WHEN n >= 2 AND sd > 0 THEN sd / sqrt(n) END AS se, CASE WHEN n >= 2 AND sde > 0 THEN sde / sqrt(n) END AS ase FROM pl),
 pv AS (SELECT *, (SELECT """ + _P + """ FROM (SELECT me / ase AS t, (n - 1)::INT AS v)) AS ap FROM pt),
 rk AS (SELECT *, row_number() OVER (PARTITION BY indicator, symbol ORDER BY ap) AS k, count(ap) OVER (PARTITION BY indicator, symbol) AS m FROM pv),
@@ -219,7 +219,7 @@ def _grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.grade(r, h1(spark, sf_dir), pairs, least=2)
 
 
-_GRADE = f"""WITH {H1}, rl AS (SELECT event_type AS indicator, ts, (user_id % 3)::INT AS importance, epoch(ts)::BIGINT // 3600 AS hour FROM events WHERE json_extract_string(props, '$.k')::INT >= 90),
+_GRADE = f"""WITH {H1}, rl AS (SELECT event_type AS indicator, ts, (user_id % 3)::INT AS importance, floor(epoch(ts))::BIGINT // 3600 AS hour FROM events WHERE json_extract_string(props, '$.k')::INT >= 90),
 rg AS (SELECT symbol, epoch(bar_ts)::BIGINT // 3600 AS hour, ln(high / low) AS r FROM h1),
 sp AS (SELECT indicator, ts, hour, o AS offset_h, hour + o AS spot FROM rl CROSS JOIN range(-3, 4) t(o)),
 bk AS (SELECT sp.indicator, sp.ts, sp.offset_h, r, row_number() OVER (PARTITION BY sp.indicator, sp.ts, offset_h ORDER BY wk) AS k FROM sp CROSS JOIN range(1, 41) t(wk)
@@ -244,7 +244,7 @@ def offset_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.offset_histogram(_grades(spark, sf_dir))
 
 
-@query("WITH rl AS (SELECT DISTINCT event_type AS indicator, (user_id % 3)::INT AS importance, epoch(ts)::BIGINT // 3600 AS hour FROM events WHERE json_extract_string(props, '$.k')::INT >= 90) "
+@query("WITH rl AS (SELECT DISTINCT event_type AS indicator, (user_id % 3)::INT AS importance, floor(epoch(ts))::BIGINT // 3600 AS hour FROM events WHERE json_extract_string(props, '$.k')::INT >= 90) "
        "SELECT DISTINCT a.indicator, a.hour, s.o::INT AS \"offset\" FROM rl a CROSS JOIN range(-3, 4) s(o) JOIN rl b ON b.hour = a.hour + s.o AND b.indicator <> a.indicator AND b.importance >= a.importance WHERE s.o <> 0")
 def blocked_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.blocked_offsets(_alarms(spark, sf_dir)).distinct()
