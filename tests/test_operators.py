@@ -286,7 +286,43 @@ def test_a_tick_that_meets_both_closes_at_the_stop(spark):
     got = {r["order_id"]: r for r in execution.bracket_outcomes(orders, ticks).collect()}
     assert got[1]["entry_price"] == 100.1 and got[1]["exit_reason"] == "stop" and got[1]["exit_price"] == 98.0
     assert got[2]["exit_reason"] == "target" and got[2]["gain"] == pytest.approx(1.9)
-    assert 3 not in got
+    assert got[3]["exit_reason"] == "pending" and got[3]["entry_ts"] is None
+
+
+def test_orders_against_a_walk_over_ticks(spark):
+    import random
+
+    rng, at, mid, ticks = random.Random(6), T0, 100.0, []
+    for i in range(3000):
+        at += timedelta(seconds=rng.choice([0, 1, 7, 40, 900, 20_000 if i % 50 == 0 else 3]))
+        mid += rng.gauss(0, 1)
+        ticks.append((i, "X", at, mid, mid + rng.choice([0.1, 0.5])))
+    orders = []
+    for n in range(120):
+        placed = rng.choice(ticks[:2900])
+        orders.append((n, "X", rng.choice([1, -1]), placed[2], rng.choice([2.0, 8.0, 40.0]), rng.choice([3.0, 12.0, 60.0]), rng.choice([None, "market", "stop", "limit"]), placed[3] + rng.gauss(0, 6)))
+
+    def walk(o):
+        _, _, side, placed, stop, target, kind, price = o
+        entry = None
+        for _, _, ts, bid, ask in ticks:
+            if entry is None and ts > placed:
+                px = ask if side > 0 else bid
+                if kind in (None, "market") or ((px >= price) if (side > 0) == (kind == "stop") else (px <= price)):
+                    entry = (ts, px)
+            if entry is not None and ts >= entry[0]:
+                px = bid if side > 0 else ask
+                if (px <= entry[1] - stop) if side > 0 else (px >= entry[1] + stop):
+                    return (*entry, ts, px, "stop")
+                if (px >= entry[1] + target) if side > 0 else (px <= entry[1] - target):
+                    return (*entry, ts, px, "target")
+        return (None, None, None, None, "pending") if entry is None else (*entry, None, None, "open")
+
+    t = spark.createDataFrame(ticks, "id int, symbol string, ts timestamp_ntz, bid double, ask double")
+    o = spark.createDataFrame(orders, "order_id int, symbol string, side int, placed_ts timestamp_ntz, stop double, target double, kind string, price double")
+    got = {r["order_id"]: (r["entry_ts"], r["entry_price"], r["exit_ts"], r["exit_price"], r["exit_reason"]) for r in execution.bracket_outcomes(o, t).collect()}
+    want = {x[0]: walk(x) for x in orders}
+    assert {x[-1] for x in want.values()} == {"stop", "target", "open", "pending"} and got == want
 
 
 def test_journal(spark):

@@ -5,38 +5,102 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions import clock
 from tidemill.functions.statistics import wilson
 
 
-def bracket_outcomes(orders: DataFrame, ticks: DataFrame, horizon_days: int = 3) -> DataFrame:
-    """Market orders with stop and target: entry at the next tick, exit at the first tick that meets either.
+#: Seconds of the blocks in which ticks are summed up: minutes, hours, days, months of thirty days.
+BLOCKS = (60, 3600, 86400, 30 * 86400)
 
-    orders: order_id, symbol, side (1 buys, -1 sells), placed_ts, stop and target as distances. A buy enters
-    at the ask and leaves at the bid, a sale the other way. A tick that meets both closes at the stop; an
-    order does not see the tick at which it was placed. Orders and ticks meet by day: each order is spread
-    over the days it may last, so a symbol's ticks are not one group.
+
+def _block(ts: str, seconds: int) -> Column:
+    return F.floor(clock.epoch(F.col(ts)) / seconds)
+
+
+def _extremes(ticks: DataFrame) -> DataFrame:
+    """Of every block: symbol, level (the place of its size in BLOCKS), block, in_block (the one it lies in), and
+    the lowest and highest bid and ask."""
+    held = [f(c).alias(f"{c}_{e}") for c in ("bid", "ask") for f, e in ((F.min, "low"), (F.max, "high"))]
+    minutes = ticks.groupBy("symbol", _block("ts", BLOCKS[0]).alias("minute")).agg(*held)
+    spots = []
+    for n, seconds in enumerate(BLOCKS):
+        block = lambda s: F.floor(F.col("minute") * BLOCKS[0] / s).cast("long")
+        above = block(BLOCKS[n + 1]) if n + 1 < len(BLOCKS) else F.lit(0).cast("long")
+        spots.append(F.struct(F.lit(n).alias("level"), block(seconds).alias("block"), above.alias("in_block")))
+    again = [(F.min if e == "low" else F.max)(f"{c}_{e}").alias(f"{c}_{e}") for c in ("bid", "ask") for e in ("low", "high")]
+    return minutes.select("*", F.inline(F.array(*spots))).groupBy("symbol", "level", "block", "in_block").agg(*again)
+
+
+def first_touch(asked: DataFrame, ticks: DataFrame) -> DataFrame:
+    """id, ts, bid and ask of the first tick at or after from_ts at which a price reaches a level.
+
+    asked: id, symbol, from_ts, of ("bid" or "ask"), below and above (either may be null). Blocks of time are
+    searched by their extremes: the rest of the minute, of the hour, of the day and of the month, then later
+    months; the first that reaches a level is searched by its own blocks, down to the ticks of one minute. So
+    an order meets some dozens of rows at each level, however long it waits and however dense the ticks are.
     """
-    day = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01"))
-    spread = orders.withColumn("day", F.explode(F.sequence(day("placed_ts"), day("placed_ts") + horizon_days)))
-    seen = ticks.withColumn("day", day("ts"))
-    met = spread.join(seen, ["symbol", "day"]).where("ts > placed_ts")
-    key = ["order_id", "symbol", "side", "placed_ts", "stop", "target"]
-    quote = F.when(F.col("side") > 0, F.col("ask")).otherwise(F.col("bid"))
-    entered = met.groupBy(*key).agg(F.min_by(F.struct("ts", quote.alias("price")), F.struct("ts", "id")).alias("e"))
-    entered = entered.select(*key, F.col("e.ts").alias("entry_ts"), F.col("e.price").alias("entry_price"))
-    held = entered.withColumn("day", F.explode(F.sequence(day("placed_ts"), day("placed_ts") + horizon_days)))
-    path = held.join(seen, ["symbol", "day"]).where("ts >= entry_ts")
-    leave = F.when(F.col("side") > 0, F.col("bid")).otherwise(F.col("ask"))
-    move = (leave - F.col("entry_price")) * F.col("side")
-    hit = F.when(move <= -F.col("stop"), "stop").when(move >= F.col("target"), "target")
-    exits = path.withColumn("reason", hit).where("reason is not null").groupBy("order_id").agg(
-        F.min_by(F.struct("ts", leave.alias("price"), "reason"), F.struct("ts", "id")).alias("x")
+    key = ["id", "symbol", "from_ts", "of", "below", "above"]
+    blocks = _extremes(ticks)
+    low, high = F.when(F.col("of") == "bid", F.col("bid_low")).otherwise(F.col("ask_low")), F.when(F.col("of") == "bid", F.col("bid_high")).otherwise(F.col("ask_high"))
+    reached = F.coalesce(low <= F.col("below"), F.lit(False)) | F.coalesce(high >= F.col("above"), F.lit(False))
+    own = [_block("from_ts", s) for s in BLOCKS]
+    spots = [F.struct(F.lit(n).alias("level"), o.alias("own"), (own[n + 1] if n + 1 < len(own) else F.lit(0).cast("long")).alias("in_block")) for n, o in enumerate(own)]
+    met = asked.select(*key, F.inline(F.array(*spots))).join(blocks, ["symbol", "level", "in_block"], "left")
+    # the finest level with a hit is the earliest
+    hit = F.min(F.when((F.col("block") > F.col("own")) & reached, F.struct("level", "block")))
+    best = met.groupBy(*key).agg(hit.alias("hit")).select(*key, "hit.level", "hit.block")
+    for n in range(len(BLOCKS) - 1, 0, -1):
+        children = blocks.where(F.col("level") == n - 1).withColumn("level", F.lit(n)).withColumnRenamed("block", "child").withColumnRenamed("in_block", "block")
+        met = best.join(children, ["symbol", "level", "block"], "left")
+        best = met.groupBy(*key).agg(F.min(F.when(reached, F.col("child"))).alias("child"), F.first("level").alias("level"), F.first("block").alias("block"))
+        best = best.select(*key, F.when(F.col("level") == n, n - 1).otherwise(F.col("level")).alias("level"), F.coalesce("child", "block").alias("block"))
+    # the minute of from_ts itself is looked at in any case
+    minute = best.select(*key, F.explode(F.array_distinct(F.array_compact(F.array("block", own[0])))).alias("block"))
+    at = ticks.select("symbol", "ts", F.col("id").alias("tick"), "bid", "ask", _block("ts", BLOCKS[0]).alias("block"))
+    price = F.when(F.col("of") == "bid", F.col("bid")).otherwise(F.col("ask"))
+    there = F.coalesce(price <= F.col("below"), F.lit(False)) | F.coalesce(price >= F.col("above"), F.lit(False))
+    met = minute.join(at, ["symbol", "block"]).where((F.col("ts") >= F.col("from_ts")) & there)
+    first = met.groupBy("id").agg(F.min_by(F.struct("ts", "bid", "ask"), F.struct("ts", "tick")).alias("t"))
+    return first.select("id", "t.ts", "t.bid", "t.ask")
+
+
+def bracket_outcomes(orders: DataFrame, ticks: DataFrame) -> DataFrame:
+    """Every order with its entry and exit: market, stop and limit orders with a stop loss and a target.
+
+    orders: order_id (unique), symbol, side (1 buys, -1 sells), placed_ts, stop and target as distances from the entry,
+    and optionally kind (market, stop, limit; null is market) and price. An order sees ticks after the one at
+    which it was placed. A buy enters at the ask and leaves at the bid, a sale the other way. Market orders
+    enter at the next tick; a stop order once the market is at its price or worse, a limit order at its price
+    or better, each at that tick's price. A tick that meets stop loss and target closes at the stop loss, and
+    the tick of the entry may close. exit_reason is stop, target, open (not closed yet) or pending (no entry).
+    """
+    kind = F.coalesce("kind", F.lit("market")) if "kind" in orders.columns else F.lit("market")
+    price = F.col("price").cast("double") if "price" in orders.columns else F.lit(None).cast("double")
+    own = orders.select("order_id", "symbol", "side", "placed_ts", "stop", "target", kind.alias("kind"), price.alias("price"))
+    buys, endless = F.col("side") > 0, F.lit(float("inf"))
+    rises = buys == (F.col("kind") == "stop")  # buy stops and sell limits wait for a rise
+    waits = F.col("kind") != "market"
+    entries = own.select(
+        F.col("order_id").alias("id"), "symbol", (F.col("placed_ts") + F.expr("INTERVAL '0.000001' SECOND")).alias("from_ts"),
+        F.when(buys, "ask").otherwise("bid").alias("of"),
+        F.when(~waits, endless).when(~rises, F.col("price")).alias("below"), F.when(waits & rises, F.col("price")).alias("above"),
+    )
+    entered = first_touch(entries, ticks).select(F.col("id").alias("order_id"), F.col("ts").alias("entry_ts"), F.col("bid").alias("__bid"), F.col("ask").alias("__ask"))
+    held = own.join(entered, "order_id").withColumn("entry_price", F.when(buys, F.col("__ask")).otherwise(F.col("__bid"))).drop("__bid", "__ask")
+    exits = held.select(
+        F.col("order_id").alias("id"), "symbol", F.col("entry_ts").alias("from_ts"), F.when(buys, "bid").otherwise("ask").alias("of"),
+        (F.col("entry_price") - F.when(buys, F.col("stop")).otherwise(F.col("target"))).alias("below"),
+        (F.col("entry_price") + F.when(buys, F.col("target")).otherwise(F.col("stop"))).alias("above"),
     )
-    done = entered.join(exits, "order_id", "left")
-    gain = (F.col("x.price") - F.col("entry_price")) * F.col("side")
+    left = first_touch(exits, ticks).select(F.col("id").alias("order_id"), F.col("ts").alias("exit_ts"), F.col("bid").alias("__bid"), F.col("ask").alias("__ask"))
+    done = own.join(held.select("order_id", "entry_ts", "entry_price"), "order_id", "left").join(left, "order_id", "left")
+    done = done.withColumn("exit_price", F.when(buys, F.col("__bid")).otherwise(F.col("__ask")))
+    gain = (F.col("exit_price") - F.col("entry_price")) * F.col("side")
+    stopped = F.when(buys, F.col("exit_price") <= F.col("entry_price") - F.col("stop")).otherwise(F.col("exit_price") >= F.col("entry_price") + F.col("stop"))
+    reason = F.when(F.col("entry_ts").isNull(), "pending").when(F.col("exit_ts").isNull(), "open").when(stopped, "stop").otherwise("target")
     return done.select(
-        "order_id", "symbol", "side", "entry_ts", "entry_price", F.col("x.ts").alias("exit_ts"), F.col("x.price").alias("exit_price"),
-        F.coalesce("x.reason", F.lit("open")).alias("exit_reason"), gain.alias("gain"), (gain / F.col("stop")).alias("r_multiple"),
+        "order_id", "symbol", "side", "entry_ts", "entry_price", "exit_ts", "exit_price", reason.alias("exit_reason"),
+        gain.alias("gain"), (gain / F.col("stop")).alias("r_multiple"),
     )
 
 

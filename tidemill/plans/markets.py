@@ -351,18 +351,26 @@ def candle_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.table(spark, sf_dir, "events").where("event_type = 'purchase'")
     side = F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1)
-    return e.select(F.col("event_id").alias("order_id"), F.col("event_type").alias("symbol"), side.alias("side"), F.col("ts").alias("placed_ts"), F.lit(20.0).alias("stop"), F.lit(30.0).alias("target"))
+    kind = F.when(F.col("event_id") % 5 == 1, "stop").when(F.col("event_id") % 5 == 2, "limit").otherwise("market")
+    price = F.lit(100.0) + F.col("value") + (F.col("event_id") % 7 - 3) * F.lit(10.0)
+    return e.select(
+        F.col("event_id").alias("order_id"), F.col("event_type").alias("symbol"), side.alias("side"), F.col("ts").alias("placed_ts"),
+        F.lit(20.0).alias("stop"), F.lit(30.0).alias("target"), kind.alias("kind"), price.alias("price"),
+    )
 
 
-_OUTCOMES = f"""WITH {TICKS}, o AS (SELECT event_id AS order_id, event_type AS symbol, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS side, ts AS placed_ts
+_OUTCOMES = f"""WITH {TICKS}, o AS (SELECT event_id AS order_id, event_type AS symbol, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS side, ts AS placed_ts,
+  CASE WHEN event_id % 5 = 1 THEN 'stop' WHEN event_id % 5 = 2 THEN 'limit' ELSE 'market' END AS kind, 100.0::DOUBLE + value + (event_id % 7 - 3) * 10.0::DOUBLE AS price
   FROM events WHERE event_type = 'purchase'),
-c AS (SELECT o.*, t.ts, t.id, t.bid, t.ask FROM o JOIN ticks t ON t.symbol = o.symbol AND t.ts > o.placed_ts AND date_diff('day', o.placed_ts::DATE, t.ts::DATE) <= 3),
-e AS (SELECT order_id, symbol, side, first(ts ORDER BY ts, id) AS entry_ts, first(CASE WHEN side > 0 THEN ask ELSE bid END ORDER BY ts, id) AS entry_price FROM c GROUP BY 1, 2, 3),
-m AS (SELECT c.order_id, c.ts, c.id, CASE WHEN c.side > 0 THEN bid ELSE ask END AS px, (CASE WHEN c.side > 0 THEN bid ELSE ask END - entry_price) * c.side AS mv
-  FROM c JOIN e USING (order_id) WHERE c.ts >= entry_ts),
-x AS (SELECT order_id, first(ts ORDER BY ts, id) AS exit_ts, first(px ORDER BY ts, id) AS exit_price, first(CASE WHEN mv <= -20 THEN 'stop' ELSE 'target' END ORDER BY ts, id) AS reason
-  FROM m WHERE mv <= -20 OR mv >= 30 GROUP BY 1),
-r AS (SELECT e.*, exit_ts, exit_price, coalesce(reason, 'open') AS exit_reason, (exit_price - entry_price) * side AS gain FROM e LEFT JOIN x USING (order_id))"""
+c AS (SELECT o.*, t.ts, t.id, CASE WHEN side > 0 THEN ask ELSE bid END AS px FROM o JOIN ticks t ON t.symbol = o.symbol AND t.ts > o.placed_ts),
+e AS (SELECT order_id, first(ts ORDER BY ts, id) AS entry_ts, first(px ORDER BY ts, id) AS entry_price FROM c
+  WHERE kind = 'market' OR CASE WHEN (side > 0) = (kind = 'stop') THEN px >= price ELSE px <= price END GROUP BY 1),
+m AS (SELECT o.order_id, t.ts, t.id, CASE WHEN side > 0 THEN bid ELSE ask END AS px, CASE WHEN side > 0 THEN bid <= entry_price - 20 ELSE ask >= entry_price + 20 END AS sl,
+  CASE WHEN side > 0 THEN bid >= entry_price + 30 ELSE ask <= entry_price - 30 END AS tp FROM o JOIN e USING (order_id) JOIN ticks t ON t.symbol = o.symbol AND t.ts >= entry_ts),
+x AS (SELECT order_id, first(ts ORDER BY ts, id) AS exit_ts, first(px ORDER BY ts, id) AS exit_price, first(CASE WHEN sl THEN 'stop' ELSE 'target' END ORDER BY ts, id) AS reason
+  FROM m WHERE sl OR tp GROUP BY 1),
+r AS (SELECT o.order_id, symbol, side, entry_ts, entry_price, exit_ts, exit_price, CASE WHEN entry_ts IS NULL THEN 'pending' ELSE coalesce(reason, 'open') END AS exit_reason,
+  (exit_price - entry_price) * side AS gain FROM o LEFT JOIN e USING (order_id) LEFT JOIN x USING (order_id))"""
 
 
 @query(_OUTCOMES + """ SELECT order_id, symbol, side, entry_ts, round(entry_price, 6) AS entry_price, exit_ts, round(exit_price, 6) AS exit_price, exit_reason,
@@ -373,11 +381,11 @@ def bracket_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = execution.bracket_outcomes(_orders(spark, sf_dir), tables.ticks(spark, sf_dir)).where("exit_reason <> 'open'")
+    done = execution.bracket_outcomes(_orders(spark, sf_dir), tables.ticks(spark, sf_dir)).where("exit_reason not in ('open', 'pending')")
     return done.select("order_id", "exit_ts", "exit_reason", F.weekday("entry_ts").alias("weekday"), F.col("gain").alias("net"), F.col("r_multiple").alias("r"))
 
 
-@query(_OUTCOMES + """, t AS (SELECT isodow(entry_ts) - 1 AS weekday, gain AS net, gain / 20 AS r FROM r WHERE exit_reason <> 'open'),
+@query(_OUTCOMES + """, t AS (SELECT isodow(entry_ts) - 1 AS weekday, gain AS net, gain / 20 AS r FROM r WHERE exit_reason NOT IN ('open', 'pending')),
 s AS (SELECT weekday, count(*) AS n, count_if(net > 0)::BIGINT AS wins, sum(net) AS net, avg(r) AS mean_r, median(r) AS median_r,
   coalesce(sum(net) FILTER (net > 0), 0) / nullif(sum(-net) FILTER (net < 0), 0) AS pf FROM t GROUP BY 1), z AS (SELECT *, wins / n AS p, 1.959964::DOUBLE AS z FROM s)
 SELECT weekday::INT AS weekday, n, wins, round(net, 4) AS net, round(mean_r, 6) AS mean_r, round(median_r, 6) AS median_r, round(pf, 6) AS profit_factor, round(p, 6) AS win_rate,
@@ -388,7 +396,7 @@ def journal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(out, 6, "mean_r", "median_r", "profit_factor", "win_rate", "win_low", "win_high"), 4, "net")
 
 
-@query(_OUTCOMES + """, t AS (SELECT exit_reason, exit_ts, order_id, gain AS net FROM r WHERE exit_reason <> 'open'),
+@query(_OUTCOMES + """, t AS (SELECT exit_reason, exit_ts, order_id, gain AS net FROM r WHERE exit_reason NOT IN ('open', 'pending')),
 run AS (SELECT *, sum(net) OVER w AS eq FROM t WINDOW w AS (PARTITION BY exit_reason ORDER BY exit_ts, order_id)),
 d AS (SELECT *, greatest(0, max(eq) OVER (PARTITION BY exit_reason ORDER BY exit_ts, order_id)) AS pk FROM run)
 SELECT exit_reason, round(last(eq ORDER BY exit_ts, order_id), 4) AS equity, round(max(pk), 4) AS peak, round(max(pk - eq), 4) AS max_drawdown,
