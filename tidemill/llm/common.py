@@ -68,7 +68,15 @@ def literal_rows(spark: SparkSession, rows: list[tuple], names: list[str], types
 BROADCAST_IDS = 1_000_000
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores before it as long as a column is called so or begins so."""
+    while any(c.lower().startswith(name.lower()) for c in taken):
+        name = f"_{name}"
+    return name
+
+
 def only_ids(rows: DataFrame, ids: DataFrame, id_col: str, how: str, most: int = BROADCAST_IDS) -> DataFrame:
     """rows whose id_col is in ids.id (left_semi) or isn't (left_anti); ids is broadcast if a count shows it small."""
-    ids = ids.select(F.col("id").alias("__id"))
-    return rows.join(F.broadcast(ids) if ids.count() <= most else ids, F.col(id_col) == F.col("__id"), how)
+    name = free_name("__id", rows.columns)
+    ids = ids.select(F.col("id").alias(name))
+    return rows.join(F.broadcast(ids) if ids.count() <= most else ids, F.col(id_col) == F.col(name), how)

@@ -182,7 +182,7 @@ def fit(
     for lang, n in sizes.items():
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_per_language / n))).otherwise(rate)
     drawn = rows.where(draw < rate).mapInPandas(sampled, "id long, lang string, places array<int>, counts array<int>")
-    taken = sorted(drawn.limit(2 * sample_per_language * len(languages)).collect(), key=lambda r: (r["id"], r["lang"]))
+    taken = sorted(drawn.orderBy(F.xxhash64("id", "lang", "places")).limit(2 * sample_per_language * len(languages)).collect(), key=lambda r: (r["id"], r["lang"]))
     number = {x: i for i, x in enumerate(languages)}
     made = [(number[r["lang"]], np.array(r["places"], np.int32), np.array(r["counts"])) for r in taken]
     held = [r for i, r in enumerate(made) if i % 5 == 4]
