@@ -42,6 +42,10 @@ HOT_IN_TASK = 3
 TASK_WORDS = 400_000
 #: Texts are worked on in slices of so many bytes, and at least one text.
 SLICE_BYTES = 8 << 20
+#: Words of a slice whose ids are put together at once.
+SLICE_WORDS = 300_000
+#: Texts are decoded in lots of so many ids, and at least one text.
+LOT_IDS = 1 << 20
 
 # everything that any of the libraries takes for white space, followed by a blank
 _UNSAFE = "[\t-\r\x1c-\x20\x85\xa0  -     　] "
@@ -81,12 +85,12 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return vocabulary, numbers, counts
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         a = 0
         while a < batch.num_rows:
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_BYTES, "right")))
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
             yield batch.slice(a, b - a)
             a = b
 
@@ -140,10 +144,10 @@ def word_counts(docs: DataFrame, least: int = HOT_IN_TASK) -> DataFrame:
         held, size = [], 0
 
         def summed() -> pa.Table:
-            table = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+            table = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
             return table.rename_columns(["word", "n"])
 
-        for batch in _slices(batches):
+        for batch in _slices(batches, SLICE_BYTES // 8):
             vocabulary, numbers, _ = cut(batch.column("text"))
             n = np.bincount(numbers, minlength=len(vocabulary))
             held.append(pa.table({"word": vocabulary.filter(pa.array(n > 0)), "n": n[n > 0]}))
@@ -157,6 +161,8 @@ def word_counts(docs: DataFrame, least: int = HOT_IN_TASK) -> DataFrame:
             pa.default_memory_pool().release_unused()
         if held:
             yield from summed().filter(pc.field("n") >= least).to_batches()
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     found = docs.select("text").mapInArrow(counted, "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
@@ -257,6 +263,7 @@ def encode(
                 places = np.diff(at[order[a:b]], prepend=0)
                 rows.append((int(home[order[a]]), _packed(places), _packed(sizes[w]), _packed(flat[_laid_out(starts[w], sizes[w])])))
             yield pa.RecordBatch.from_pydict(dict(zip(("slice", "at", "n", "ids"), map(list, zip(*rows)))))
+        pa.default_memory_pool().release_unused()
 
     places = slices.mapInArrow(exploded, "slice long, at int, word string")
     filled = places.repartition("word").sortWithinPartitions("word").mapInArrow(by_word, "slice long, at binary, n binary, ids binary")
@@ -282,60 +289,94 @@ def encode(
                 word[ranks == 0] = opens
                 all_sizes = np.concatenate((sizes[order], hot_sizes))
                 all_starts = np.concatenate((starts[order], hot_starts + (len(flat) - len(hot_ids))))
-                ids = flat[_laid_out(all_starts[word], all_sizes[word])].astype(np.int32)
-                ends = np.concatenate(([0], np.cumsum(all_sizes[word])))[np.concatenate(([0], np.cumsum(counts)))].astype(np.int32)
-                raw = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((ends * 4).tobytes()), pa.py_buffer(ids.tobytes())])
-                yield pa.RecordBatch.from_pydict({"id": batch.column("id")[row].values, "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), "ids_bytes": raw})
+                bounds, own, a = np.concatenate(([0], np.cumsum(counts))), batch.column("id")[row].values, 0
+                while a < len(counts):  # some texts at a time
+                    b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + SLICE_WORDS, "right")) - 1)
+                    some = word[bounds[a] : bounds[b]]
+                    ids = flat[_laid_out(all_starts[some], all_sizes[some])].astype(np.int32)
+                    cuts = np.concatenate(([0], np.cumsum(all_sizes[some])))[bounds[a : b + 1] - bounds[a]].astype(np.int32)
+                    raw = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((cuts * 4).tobytes()), pa.py_buffer(ids.tobytes())])
+                    yield pa.RecordBatch.from_pydict({"id": own.slice(a, b - a), "ids": pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids)), "ids_bytes": raw})
+                    a = b
 
     encoded = met.mapInArrow(whole, f"id {kind}, ids array<int>, ids_bytes binary")
     return encoded.withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, keep: list[str], ids_col: str = "ids") -> DataFrame:
-    """The kept columns and decoded (binary) of each row: ids are joined with the table of token bytes.
+    """The kept columns and decoded (binary) of each row of encoded.
 
-    Rows without ids have no bytes. An id that the table lacks ends the job. The join broadcasts the table
-    and leaves rows in their order; the positions that come back are checked.
+    Rows are taken together by some million ids; the distinct ids of each lot are exploded and joined with
+    the table of token bytes, and the texts are put together by position. Rows without ids have no bytes. An
+    id that the table lacks ends the job. The join broadcasts the table and leaves rows in their order; the
+    positions that come back are checked.
     """
     ranks = read_ranks(path)
     table = encoded.sparkSession.createDataFrame(pa.table({"__token": pa.array(ranks.values(), pa.int32()), "__bytes": pa.array(ranks.keys(), pa.binary())}))
-    # what is kept goes along with the first token only
-    held = F.struct(*[F.col(c).alias(f"k{n}") for n, c in enumerate(keep)])
-    open_ids = encoded.select(held.alias("__head"), F.posexplode_outer(ids_col).alias("__at", "__token"))
-    head = F.when(F.coalesce("__at", F.lit(0)) == 0, F.col("__head")).alias("__head")
-    found = open_ids.select(head, "__at", "__token").join(F.broadcast(table), "__token", "left").select("__head", "__at", "__bytes")
+    rows = encoded.select(F.struct(*[F.col(c).alias(f"k{n}") for n, c in enumerate(keep)]).alias("head"), F.col(ids_col).alias("ids"))
     head_type = ", ".join(f"k{n}: {encoded.schema[c].dataType.simpleString()}" for n, c in enumerate(keep))
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, parts, expected = None, [], 0
+    def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, a = np.cumsum(sizes), 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + LOT_IDS, "right")))
+                some = batch.slice(a, b - a)
+                ids = some.column("ids").flatten().to_numpy()
+                heads = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), some.column("head"))
+                parts = {"head": heads, "sizes": [sizes[a:b].astype("<u4").tobytes()], "ids": [ids.astype("<u4").tobytes()]}
+                yield pa.RecordBatch.from_pydict({**parts, "distinct": pa.array([np.flatnonzero(np.bincount(ids)).astype(np.int32)], pa.list_(pa.int32()))})
+                a = b
+
+    packed = rows.mapInArrow(lots, f"head array<struct<{head_type}>>, sizes binary, ids binary, distinct array<int>")
+    # a lot's texts go along with its first id only
+    tokens = packed.select(F.struct("head", "sizes", "ids").alias("lot"), F.posexplode_outer("distinct").alias("__at", "__token"))
+    lot = F.when(F.coalesce("__at", F.lit(0)) == 0, F.col("lot")).alias("lot")
+    found = tokens.select(lot, "__at", "__token").join(F.broadcast(table), "__token", "left").select("lot", "__at", "__token", "__bytes")
 
-        def closed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([head, pa.array([b"".join(parts)], pa.binary())], names=["head", "decoded"])
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot, ids, parts = None, [], []
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            distinct = np.concatenate(ids)
+            known = pa.concat_arrays(parts)
+            if known.null_count and len(distinct):
+                raise ValueError("an id is not in the table of token bytes")
+            place = np.zeros(int(distinct.max(initial=0)) + 1, np.int64)
+            place[distinct] = np.arange(len(distinct))
+            _, offsets, raw = known.buffers()
+            offsets = np.frombuffer(offsets, np.int32)[known.offset : known.offset + len(known) + 1].astype(np.int64)
+            raw, width = np.frombuffer(raw or b"", np.uint8), np.diff(offsets)
+            sizes = np.frombuffer(lot.field("sizes")[0].as_py(), "<u4").astype(np.int64)
+            at = place[np.frombuffer(lot.field("ids")[0].as_py(), "<u4")]
+            ends, heads, a = np.cumsum(sizes), lot.field("head")[0].values, 0
+            while a < len(sizes):
+                begin = ends[a - 1] if a else 0
+                b = max(a + 1, int(np.searchsorted(ends, begin + LOT_IDS // 8, "right")))
+                some = at[begin : ends[b - 1]]
+                grown = np.concatenate(([0], np.cumsum(width[some])))
+                data = raw[_laid_out(offsets[some], width[some])]
+                cuts = grown[np.concatenate(([0], ends[a:b] - begin))].astype(np.int32)
+                back = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data.tobytes())])
+                yield pa.RecordBatch.from_arrays([heads.slice(a, b - a), back], names=["head", "decoded"])
+                a = b
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
             at = pc.fill_null(batch.column("__at"), 0).to_numpy(zero_copy_only=False)
-            begins = np.flatnonzero(at == 0)
-            follows = np.concatenate(([expected], at[:-1] + 1))
-            data = batch.column("__bytes")
-            missing = pc.and_not(pc.is_valid(batch.column("__at")), pc.is_valid(data))
-            if ((at != 0) & (at != follows)).any() or pc.any(missing).as_py():
-                raise ValueError("ids out of order, or not in the table of token bytes")
-            expected = int(at[-1]) + 1
-            _, offsets, raw = data.buffers()
-            offsets = np.frombuffer(offsets, np.int32)[data.offset : data.offset + len(data) + 1]
-            raw = memoryview(raw or b"")
-            bounds = [0, *begins.tolist(), len(at)]
-            parts.append(bytes(raw[offsets[0] : offsets[bounds[1]]]))
-            done = []
-            for a, b in zip(bounds[1:-1], bounds[2:]):
-                if head is not None:
-                    done.append(closed())
-                head, parts = batch.column("__head").slice(a, 1), [bytes(raw[offsets[a] : offsets[b]])]
-            yield from done
-        if head is not None:
-            yield closed()
+            bounds = [0, *np.flatnonzero(at == 0).tolist(), batch.num_rows]
+            for n, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                if n:  # a lot begins
+                    if lot is not None:
+                        yield from closed()
+                    lot, ids, parts = batch.column("lot").slice(a, 1), [], []
+                if a < b:
+                    if (at[a:b] != sum(map(len, ids)) + np.arange(b - a)).any():
+                        raise ValueError("ids out of order")
+                    ids.append(pc.fill_null(batch.column("__token").slice(a, b - a), 0).to_numpy(zero_copy_only=False)[: b - a if batch.column("__at")[a].is_valid else 0])
+                    parts.append(batch.column("__bytes").slice(a, b - a))
+        if lot is not None:
+            yield from closed()
 
     back = found.mapInArrow(joined, f"head struct<{head_type}>, decoded binary")
     return back.select(*[F.col(f"head.k{n}").alias(c) for n, c in enumerate(keep)], "decoded")
