@@ -190,5 +190,35 @@ def test_archives_round_trip(spark):
     assert warc.surt("http://A.Example.com:8080/x?y#z") == "com,example,a:8080)/x?y"
 
 
+def test_pages_go_through_the_index_and_frequent_payloads_keep_their_response(spark):
+    import base64
+    import hashlib
+
+    html = lambda i: "common" if i % 2 else "é" * (i % 37) if i % 3 else None
+    rows = [(i, None if i % 5 == 0 else f"http://h{i % 3}.org/{i % 11}#{i}" if i % 4 else "http://hot.org/", html(i)) for i in range(2600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    first = {}
+    for i, _, h in rows:
+        first.setdefault(h or "", i)
+    sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    want = [(i, len(b := (h or "").encode()), sha(b), "response" if first[h or ""] == i else "revisit", None if first[h or ""] == i else first[h or ""]) for i, _, h in rows]
+    assert sorted(tuple(r) for r in warc.round_trip(spark, pages).collect()) == want
+    assert warc.round_trip(spark, pages.limit(0)).count() == 0
+
+
+def test_tokens_behind_a_cue_may_be_tagged(spark):
+    held = lambda text: [t[i] for t, _, numbers in secret_scan.candidate_runs(text) for i in numbers]
+    assert held("send Bearer abcdefghIJKLMNOP now") == ["abcdefghIJKLMNOP"]
+    assert held("password: correcthorse") == ["correcthorse"] and held("pin key 12345678") == ["12345678"]
+    assert held("nothing to be tagged here whatever") == [] and held("abcd1234efgh") == ["abcd1234efgh"]
+    rng = random.Random(5)
+    key = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOP") for _ in range(24))
+    texts = [f"token = {key()}\nplain words behind the secret garden" for _ in range(150)] + ["the secret garden was pleasant and the keynote speakers agreed"] * 50
+    model = secret_scan.fit(spark.createDataFrame([(i, t + f" {i}") for i, t in enumerate(texts)], "doc_id long, text string"))
+    found = key()
+    assert [s[2] for s in model.spans(f"token {found}")] == ["crf"]
+    assert model.spans("the secret garden was pleasant and the keynote speakers agreed") == []
+
+
 def test_literal_rows(spark):
     assert literal_rows(spark, [], ["a"], ["int"]).count() == 0

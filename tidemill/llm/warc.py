@@ -18,11 +18,11 @@ import re
 import struct
 import uuid
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import new_folder, written
@@ -30,6 +30,9 @@ from tidemill.llm.token_tables import local_uri, open_fs
 
 FILE_BYTES = 256 * 1024 * 1024
 BLOCK_LINES = 1000
+#: Repeated payloads that are broadcast, and index files whose ranges are (one for each task that writes the index).
+MOST_HOT = 10_000
+MOST_FILES = 1_000_000
 _FOOTER = struct.Struct("<8sQI")
 _MAGIC = b"TMCDXIX1"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -96,8 +99,16 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, le
     marked = plain.withColumn("digest", F.sha1("html"))
     # summed per task before the shuffle: a payload that fills a third of the table is one row of each task
     firsts = marked.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    firsts = firsts.where("n > 1").select("digest", "first")
-    joined = marked.join(firsts, "digest", "left")
+    firsts = written(firsts.where("n > 1"), "warc-repeated")
+    # payloads that hold at least one in 10,000 of the repeated rows: at most 10,000 of them, so they may be broadcast;
+    # their pages, html included, stay where they are, and in the join by digest each goes with a key that meets nothing
+    least = max(1000, -(-(firsts.agg(F.sum("n")).first()[0] or 0) // MOST_HOT))
+    hot = firsts.where(F.col("n") >= least).select(F.col("digest").alias("hot_digest"), F.col("first").alias("hot_first"))
+    rest = firsts.where(F.col("n") < least).select(F.col("digest").alias("key"), "first")
+    spread = marked.join(F.broadcast(hot), F.col("digest") == F.col("hot_digest"), "left")
+    own = F.concat(F.lit("-"), F.xxhash64("id", "url").cast("string"))
+    spread = spread.withColumn("key", F.when(F.col("hot_digest").isNull(), F.col("digest")).otherwise(own))
+    joined = spread.join(rest, "key", "left").withColumn("first", F.coalesce("first", "hot_first"))
     other = F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") != F.col("first")))
     return joined.select("id", "url", "html", F.when(other, F.col("first")).alias("refers_to"))
 
@@ -202,16 +213,23 @@ class IndexFile:
         if magic != _MAGIC:
             raise ValueError(f"{uri} is no capture index")
         self.directory = json.loads(zlib.decompress(self.stream.read_at(n, at)))
+        self.first_keys = [d[0] for d in self.directory]
+        self.held: tuple[int, list[list], list[str]] = (-1, [], [])
 
     def block(self, number: int) -> list[list]:
         _, offset, size = self.directory[number]
         return [json.loads(x) for x in zlib.decompress(self.stream.read_at(size, offset)).decode().split("\n")]
 
     def look_up(self, key: str) -> list[list]:
-        number = max(bisect_left([d[0] for d in self.directory], key) - 1, 0)
+        number = max(bisect_left(self.first_keys, key) - 1, 0)
         found: list[list] = []
-        while number < len(self.directory) and self.directory[number][0] <= key:
-            found += [line for line in self.block(number) if line[0] == key]
+        while number < len(self.directory) and self.first_keys[number] <= key:
+            # keys that are asked in order find their block in memory
+            if self.held[0] != number:
+                lines = self.block(number)
+                self.held = number, lines, [line[0] for line in lines]
+            _, lines, keys = self.held
+            found += lines[bisect_left(keys, key) : bisect_right(keys, key)]
             number += 1
         return found
 
@@ -263,24 +281,47 @@ def fetch(captures: DataFrame) -> DataFrame:
 
 
 def look_up(manifest: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """The captures of some URLs, with key, file, offset and length."""
-    spans = Window.orderBy("part")
-    files = manifest.select("path", F.col("first_key").alias("lo"), F.col("last_key").alias("hi"), F.row_number().over(spans).alias("n"))
-    asked = urls.select(F.udf(surt, "string")(F.col(url_col)).alias("key")).distinct()
-    # one row for each index file
-    hit = asked.join(F.broadcast(files), (F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi")))
+    """The captures of some URLs, with key, file, offset and length.
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Equal URLs, and URLs with one key, are asked once; a null URL asks for the empty key. A key that fills
+    several index files is asked in each of them.
+    """
+    spark = manifest.sparkSession
+    # one row an index file, of which write_archives makes one a task
+    files = sorted((r["first_key"], r["last_key"], r["path"]) for r in manifest.select("first_key", "last_key", "path").limit(MOST_FILES + 1).collect())
+    if len(files) > MOST_FILES:
+        raise ValueError(f"the manifest names more than {MOST_FILES} index files")
+    shared = spark.sparkContext.broadcast(files)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        starts, ends = [f[0] for f in shared.value], [f[1] for f in shared.value]
         for batch in batches:
-            for path, group in batch.groupby("path"):
-                index = IndexFile(path)
-                found = [line for key in group["key"] for line in index.look_up(key)]
-                yield pd.DataFrame(found, columns=["key", "file", "offset", "length"])
+            keys = {surt(u if isinstance(u, str) else None) for u in batch["url"]}
+            # files are ranges in order: those of a key lie side by side
+            at = [(k, shared.value[i][2]) for k in keys for i in range(bisect_left(ends, k), bisect_right(starts, k))]
+            yield pd.DataFrame(at, columns=["key", "path"])
 
-    return hit.select("key", "path").repartition("path").mapInPandas(look, "key string, file string, offset long, length int")
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path, index = "", None
+        for batch in batches:
+            found = []
+            for asked, key in zip(batch["path"], batch["key"]):
+                if asked != path:
+                    path, index = asked, IndexFile(asked)
+                found += index.look_up(key)
+                if len(found) > 10_000:
+                    yield pd.DataFrame(found, columns=["key", "file", "offset", "length"])
+                    found = []
+            yield pd.DataFrame(found, columns=["key", "file", "offset", "length"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = urls.select(F.col(url_col).alias("url")).distinct().mapInPandas(assign, "key string, path string").distinct()
+    ordered = asked.repartitionByRange(n, "path", "key").sortWithinPartitions("path", "key")
+    return ordered.mapInPandas(look, "key string, file string, offset long, length int")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Writes archives to the shared folder, reads them back by their index and gives a row for each page."""
+    """Writes archives to the shared folder, looks every URL of the pages up in their index, reads the records
+    that it finds and gives a row for each page."""
     manifest = write_archives(pages, new_folder(spark, "warc"))
-    return fetch(captures_of(manifest)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return fetch(look_up(manifest, pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
