@@ -343,3 +343,30 @@ def test_no_look_ahead_and_restart(spark):
     assert a == sorted(map(tuple, live.forming(early, clock_at, 3600).collect())) and {r[-1] for r in a} == {True, False}
     same = spark.createDataFrame([(1, "X", T0, 1.0, 1.1), (2, "X", T0, 1.0, 1.1), (3, "X", T0, 1.0, 1.1)], ticks.schema)
     assert [r["id"] for r in live.after_restart(same, same.where("id < 3")).collect()] == [3]
+
+
+def test_summary_operators_on_odd_rows(spark):
+    from tidemill.functions import text
+    from tidemill.operators import summaries
+
+    days = [("EU", "a", "2024-01-01 10:00:00"), ("EU", "b", "2024-01-01 10:05:00"), ("EU", "c", "2024-01-01 10:05:01"), ("EU", "c", "2024-01-01 09:00:00"),
+            ("JP", "c", "2024-01-01 10:00:00"), ("JP", "z", "2024-01-02 10:00:00"), ("US", "b", None)]
+    d = spark.createDataFrame(days, "k string, source string, last string").selectExpr("k", "source", "cast(last as timestamp_ntz) as last_ts")
+    got = {r["k"]: r["source"] for r in summaries.best_source(d, ["k"], ["a", "b", "c"]).collect()}
+    assert got == {"EU": "c", "JP": "c", "US": "b"}
+    assert summaries.best_source(d.limit(0), ["k"], ["a", "b", "c"]).count() == 0
+
+    ts = "cast('2024-01-01' as timestamp_ntz) as ts"
+    r = spark.createDataFrame([("x",), ("y",), ("x",), (None,)], "indicator string").selectExpr("indicator", ts)
+    assert sorted((q["indicator"], q["neighbour"], q["n"]) for q in summaries.co_timed(r).collect()) == [("x", "y", 1), ("y", "x", 1)]
+
+    quotes = spark.createDataFrame([(1, "EU", 1.5, 1.75), (2, "EU", 1.25, 1.5)], "id long, symbol string, bid double, ask double").selectExpr("*", ts)
+    held = spark.createDataFrame([("EU", 1, 2.0, 1.0), ("EU", -1, 2.0, 1.0), ("JP", 1, 1.0, 1.0)], "symbol string, side int, lots double, entry double")
+    book = sorted((q["symbol"], q["side"], q["mark"], q["profit"]) for q in summaries.open_book(held, quotes, "2024-01-02 00:00:00", 0.01, 100).collect())
+    assert book == [("EU", -1, 1.5, -100.0), ("EU", 1, 1.25, 50.0), ("JP", 1, None, None)]
+
+    names = spark.createDataFrame([("Core CPI m/m", None), ("", None), ("the of", ""), ("Home Sales", "HOME_SALES_LONG"), (None, None)], "name string, canon string")
+    codes = [q[0] for q in names.select(text.short_code(F.lit("US"), F.col("name"), F.col("canon"))).collect()]
+    assert codes == ["US CPI", "US ", "US THE", "HOME_SALES_L", "US"]
+    figures = spark.createDataFrame([(x,) for x in (0.0, 1.5, 142000.0, 7180000.0, -2500.0, 350.4, 1e12, None)], "v double")
+    assert [q[0] for q in figures.select(text.compact(F.col("v"))).collect()] == ["0", "1.5", "142K", "7.2M", "-2.5K", "350", "1T", None]

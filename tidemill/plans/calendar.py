@@ -204,7 +204,8 @@ def top_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.orderBy(F.col("total").desc(), "c_mktsegment").limit(3)
 
 
-_EDGES = f"""WITH RECURSIVE {RELEASES}, sz AS (SELECT indicator, count(*) AS n FROM releases GROUP BY 1),
+# months of each indicator, those of the less important on the second day
+_EDGES = f"""WITH RECURSIVE {RELEASES.replace('releases AS', 'every_release AS')}, releases AS (SELECT DISTINCT indicator, date_trunc('month', ts) + to_days((importance > 3)::INT) AS ts FROM every_release), sz AS (SELECT indicator, count(*) AS n FROM releases GROUP BY 1),
 p AS (SELECT a.indicator AS a, b.indicator AS b, count(*) AS m FROM releases a JOIN releases b ON a.ts = b.ts AND a.indicator < b.indicator GROUP BY ALL),
 e AS (SELECT a, b FROM p JOIN sz x ON x.indicator = a JOIN sz y ON y.indicator = b WHERE m / least(x.n, y.n) >= 0.9),
 w AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, c) AS (SELECT a, a FROM w UNION SELECT b, c FROM r JOIN w ON a = node)
@@ -214,7 +215,8 @@ SELECT node AS indicator, min(c) AS release_group FROM r GROUP BY node"""
 @query(_EDGES)
 def release_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indicators that are published together: shared instants over the smaller series, then components."""
-    r = tables.releases(spark, sf_dir).select("indicator", "ts")
+    month = F.date_add(F.trunc("ts", "month"), (F.col("importance") > 3).cast("int"))
+    r = tables.releases(spark, sf_dir).select("indicator", month.alias("ts")).distinct()
     sizes = r.groupBy("indicator").agg(F.count("*").alias("n"))
     a, b = r.withColumnRenamed("indicator", "a"), r.withColumnRenamed("indicator", "b")
     shared = a.join(b, "ts").where("a < b").groupBy("a", "b").agg(F.count("*").alias("m"))

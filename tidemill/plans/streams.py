@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators import bars
 from tidemill.plans.registry import H1, TICKS, query, rounded
 from tidemill.sources import tables
 from tidemill.streaming import live
@@ -18,14 +17,24 @@ def _folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: When the tick comes that closes all windows before it.
+CLOSING_TS = "2200-01-01 00:00:00"
+
+
+def _stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The ticks as a stream, with one far later tick of a symbol of its own; it moves the watermark past all others."""
     path = f"{sf_dir}/events.parquet"
-    raw = live.tick_stream(spark, path, spark.read.parquet(path).schema)
+    schema = spark.read.parquet(path).schema
+    last = {"event_type": F.lit("closing"), "ts": F.lit(CLOSING_TS), "value": F.lit(0), "props": F.lit("{}")}
+    spark.range(1).select(*[last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(f"{folder}/closing")
+    raw = live.tick_stream(spark, path, schema).unionByName(spark.readStream.schema(schema).parquet(f"{folder}/closing"))
     k = F.get_json_object("props", "$.k").cast("int")
     bid = F.lit(100.0) + F.col("value")
     return raw.select(F.col("event_id").alias("id"), F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), bid.alias("bid"), (bid + (k + 1) / F.lit(1000.0)).alias("ask"))
@@ -33,12 +42,10 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {H1} SELECT symbol, bar_ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, tick_count FROM h1")
 def stream_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly candles of the stream, and those that are still forming when it ends."""
+    """Hourly candles, from the stream alone."""
     folder = _folder(spark)
-    closed = live.run_available(live.closed_candles(_stream(spark, sf_dir), "1 hour"), f"{folder}/out", f"{folder}/state")
-    whole = bars.ticks_to_bars(tables.ticks(spark, sf_dir), 3600).select(*closed.columns)
-    open_ones = whole.join(closed.select("symbol", "bar_ts"), ["symbol", "bar_ts"], "left_anti")
-    return rounded(closed.unionByName(open_ones), 6, "open", "high", "low", "close")
+    closed = live.run_available(live.closed_candles(_stream(spark, sf_dir, folder), "1 hour"), f"{folder}/out", f"{folder}/state")
+    return rounded(closed, 6, "open", "high", "low", "close")
 
 
 _SESSIONS = f"""WITH {TICKS}, m AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 180000000, true)::INT AS new FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, id)),
@@ -48,12 +55,9 @@ SELECT symbol, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM c GRO
 
 @query(_SESSIONS)
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stretches without three minutes of silence; the last one of a symbol from the batch form."""
+    """Stretches without three minutes of silence, from the stream alone."""
     folder = _folder(spark)
-    closed = live.run_available(live.sessions(_stream(spark, sf_dir)), f"{folder}/out", f"{folder}/state")
-    t = tables.ticks(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    # no anti join: it would be pushed below the merging of session windows and bring back parts of sessions
-    return closed.unionByName(live.sessions(t)).distinct()
+    return live.run_available(live.sessions(_stream(spark, sf_dir, folder)), f"{folder}/out", f"{folder}/state")
 
 
 @query(f"""WITH {TICKS}, i AS (SELECT *, epoch_ms(ts) // 3600000 AS ms FROM ticks), n AS (SELECT id, symbol, ts, row_number() OVER (PARTITION BY symbol, epoch_ms(ts) ORDER BY id) AS seq FROM i),
