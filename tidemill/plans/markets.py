@@ -321,6 +321,25 @@ def point_of_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(market.point_of_control(_profile(spark, sf_dir)), 6, "volume")
 
 
+_VALUE_AREA = f"""WITH RECURSIVE {H1}, b AS (SELECT symbol, {_FX_DAY}::TIMESTAMP AS period, low, high, tick_count::DOUBLE AS v FROM h1),
+s AS (SELECT symbol, period, min(low) AS lo, max(high) AS hi, greatest(1, ceil((max(high) - min(low)) / 0.01::DOUBLE / 80)) * 0.01::DOUBLE AS step FROM b GROUP BY ALL HAVING count(*) >= 5),
+t AS (SELECT *, floor(lo / step + 1e-9) * step AS base FROM s), u AS (SELECT *, floor((hi - base) / step + 1e-9)::INT AS last FROM t),
+e AS (SELECT symbol, period, floor((low - base) / step + 1e-9)::INT AS a, floor((high - base) / step + 1e-9)::INT AS z, v FROM b JOIN u USING (symbol, period)),
+f AS (SELECT symbol, period, r, round(sum(v / (z - a + 1)), 9) AS v FROM (SELECT *, unnest(generate_series(a, z))::INT AS r FROM e) GROUP BY ALL),
+g AS (SELECT symbol, period, base, step, last, unnest(generate_series(0, last))::INT AS r FROM u),
+d AS (SELECT symbol, period, base, step, last, list(coalesce(v, 0) ORDER BY r) AS vol FROM g LEFT JOIN f USING (symbol, period, r) GROUP BY ALL),
+p AS (SELECT *, list_position(vol, list_max(vol)) - 1 AS poc, 0.7::DOUBLE * list_sum(vol) AS want FROM d),
+w AS (SELECT symbol, period, base, step, last, vol, poc, want, poc AS lo, poc AS hi, list_max(vol) AS acc FROM p UNION ALL
+ SELECT symbol, period, base, step, last, vol, poc, want, CASE WHEN up >= dn THEN lo ELSE greatest(lo - 2, 0) END, CASE WHEN up >= dn THEN least(hi + 2, last) ELSE hi END, acc + greatest(up, dn) FROM
+ (SELECT *, CASE WHEN hi < last THEN coalesce(list_sum(vol[hi + 2:hi + 3]), 0) ELSE -1 END AS up, CASE WHEN lo > 0 THEN coalesce(list_sum(vol[greatest(lo - 2, 0) + 1:lo]), 0) ELSE -1 END AS dn FROM w WHERE acc < want AND (lo > 0 OR hi < last)))
+SELECT symbol, period, round(base + (poc + 0.5) * step, 6) AS poc, round(base + (max(hi) + 1) * step, 6) AS high_edge, round(base + min(lo) * step, 6) AS low_edge FROM w GROUP BY symbol, period, base, step, poc"""
+
+
+@query(_VALUE_AREA)
+def value_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(market.value_area(h1(spark, sf_dir), clock.fx_day_start(F.col("bar_ts")), 0.01), 6, "poc", "high_edge", "low_edge")
+
+
 @query(f"""WITH {H1}, x AS (SELECT symbol, bar_ts, close - open AS body, high - low AS rng, close - low AS up, high - close AS dn, avg(abs(close - open)) OVER w AS normal FROM h1
   WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
 SELECT symbol, bar_ts, round(body, 6) AS body, CASE WHEN rng > 0 AND abs(body) >= 1.2 * normal AND body > 0 AND dn <= 0.4 * rng THEN 'buy'

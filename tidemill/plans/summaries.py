@@ -174,12 +174,12 @@ def pip_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_month.groupBy("symbol").agg(F.round(0.01 / F.max_by("mid", "m"), 9).alias("pip_value"))
 
 
-@query(f"WITH {PAIRS}, {RELEASES} SELECT symbol, indicator FROM pairs EXCEPT SELECT symbol, indicator FROM pairs JOIN releases USING (indicator) WHERE actual > 3 * previous")
+@query(f"WITH {PAIRS}, {RELEASES} SELECT symbol, indicator FROM pairs EXCEPT SELECT symbol, indicator FROM pairs JOIN releases USING (indicator) WHERE importance <= 2")
 def pairings_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairings without a measured jump."""
+    """Pairings of which nothing is measured; measured are those of important indicators."""
     pairs = spark.createDataFrame(tables.PAIRINGS, "symbol string, indicator string")
-    jumps = tables.releases(spark, sf_dir).where(F.col("actual") > 3 * F.col("previous")).select("indicator").distinct()
-    return pairs.exceptAll(pairs.join(jumps, "indicator", "left_semi").select("symbol", "indicator"))
+    measured = tables.releases(spark, sf_dir).where("importance <= 2").select("indicator").distinct()
+    return pairs.exceptAll(pairs.join(measured, "indicator", "left_semi").select("symbol", "indicator"))
 
 
 @query(f"WITH {PAIRS}, {RELEASES} SELECT indicator, ts, importance FROM releases WHERE indicator IN (SELECT indicator FROM pairs WHERE symbol = 'AO') QUALIFY row_number() OVER (PARTITION BY indicator ORDER BY ts DESC) <= 8")
