@@ -200,3 +200,35 @@ def thinnest_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = c.withColumn("expected", F.floor((seconds(F.col("last_ts")) - seconds(F.col("first_ts"))) / 3600) + 1)
     c = c.withColumn("completeness", F.round(F.col("bars") * 100.0 / F.col("expected"), 4))
     return c.withColumn("thinnest", F.row_number().over(Window.orderBy("bars", "symbol"))).where("thinnest <= 10")
+
+
+@query(f"""WITH {RELEASES} SELECT count(*) AS releases, count(DISTINCT indicator) AS indicators, count(forecast) AS with_forecast, count_if(importance <= 2)::BIGINT AS high, min(ts) AS earliest, max(ts) AS latest,
+CASE WHEN count(*) > 0 THEN round(count_if(importance <= 2) * 100.0::DOUBLE / count(*), 4) END AS high_share FROM releases""")
+def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the whole calendar; shares are null where there is nothing to divide by."""
+    high, n = F.count_if(F.col("importance") <= 2), F.count("*")
+    return tables.releases(spark, sf_dir).agg(
+        n.alias("releases"), F.count_distinct("indicator").alias("indicators"), F.count("forecast").alias("with_forecast"), high.alias("high"),
+        F.min("ts").alias("earliest"), F.max("ts").alias("latest"), F.round(F.try_divide(high * 100.0, n), 4).alias("high_share"),
+    )
+
+
+@query("""SELECT o_orderkey AS trade, c_mktsegment AS session, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS snapshots,
+(SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS returned FROM orders JOIN customer ON o_custkey = c_custkey""")
+def trades_with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades with two counts of what belongs to them, counted once for all before they are joined."""
+    n = tables.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("trade"))
+    n = n.agg(F.count("*").alias("snapshots"), F.count_if(F.col("l_returnflag") == "R").alias("returned"))
+    c = tables.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("session"))
+    o = tables.table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("trade"), "session")
+    return o.join(n, "trade", "left").fillna(0, ["snapshots", "returned"])
+
+
+@query("""WITH s AS (SELECT DISTINCT event_type AS symbol, 'h1' AS timeframe, 1 AS rank FROM events UNION ALL SELECT DISTINCT event_type, 'd1', 2 FROM events UNION ALL SELECT DISTINCT l_returnflag || l_linestatus, 'd1', 2 FROM lineitem)
+SELECT symbol, arg_min(timeframe, rank) AS finest FROM s GROUP BY symbol""")
+def finest_timeframe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The finest bars that are stored for each symbol."""
+    events = tables.table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.explode(F.array(F.lit("h1"), F.lit("d1"))).alias("timeframe"))
+    stored = events.unionByName(tables.deals(spark, sf_dir).select("symbol", F.lit("d1").alias("timeframe")))
+    rank = F.array_position(F.array(*[F.lit(t) for t in ("m1", "m15", "h1", "d1")]), F.col("timeframe"))
+    return stored.groupBy("symbol").agg(F.min_by("timeframe", rank).alias("finest"))
