@@ -101,7 +101,7 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, le
     firsts = marked.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     firsts = written(firsts.where("n > 1"), "warc-repeated")
     # payloads that hold at least one in 10,000 of the repeated rows: at most 10,000 of them, so they may be broadcast;
-    # their pages, html included, stay where they are, and in the join by digest each goes with a key that meets nothing
+    # in the join by digest each of their pages goes with a key of its own that meets nothing, so tasks share them
     least = max(1000, -(-(firsts.agg(F.sum("n")).first()[0] or 0) // MOST_HOT))
     hot = firsts.where(F.col("n") >= least).select(F.col("digest").alias("hot_digest"), F.col("first").alias("hot_first"))
     rest = firsts.where(F.col("n") < least).select(F.col("digest").alias("key"), "first")
