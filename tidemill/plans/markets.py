@@ -76,7 +76,7 @@ def _open_seconds(ts: str) -> str:
     opened = FROM_NY.format(f"({sunday}::TIMESTAMP + INTERVAL 17 HOUR)")
     return (
         f"((date_diff('day', DATE '1969-12-28', {sunday}) // 7) * 432000 + "
-        f"greatest(0, least(432000, epoch({ts})::BIGINT - epoch({opened})::BIGINT)))"
+        f"greatest(0, least(432000, floor(epoch({ts}))::BIGINT - epoch({opened})::BIGINT)))"
     )
 
 
@@ -455,7 +455,13 @@ def gap_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.track_areas(areas, b, 3600).select("area_id", "side", "visits", "until", "end")
 
 
-@query()
+@query(f"""WITH {H1}, n AS (SELECT symbol, bar_ts, high, low, close, max(high) OVER b AS hb, max(high) OVER a AS ha, min(low) OVER b AS lb, min(low) OVER a AS la, count(*) OVER b AS nb, count(*) OVER a AS na FROM h1
+  WINDOW b AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)),
+k AS (SELECT symbol, bar_ts, close, lag(CASE WHEN nb = 2 AND na = 2 AND high > hb AND high >= ha THEN high END, 3) OVER w AS nh, lag(CASE WHEN nb = 2 AND na = 2 AND low < lb AND low <= la THEN low END, 3) OVER w AS nl
+  FROM n WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts)),
+g AS (SELECT symbol, bar_ts, close, last_value(nh IGNORE NULLS) OVER w AS hi, count(nh) OVER w AS hn, last_value(nl IGNORE NULLS) OVER w AS lo, count(nl) OVER w AS ln FROM k WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts)),
+f AS (SELECT symbol, min(bar_ts) AS bar_ts, 0 AS turn, 'buy' AS side, any_value(hi) AS level FROM g WHERE close > hi GROUP BY symbol, hn UNION ALL SELECT symbol, min(bar_ts), 1, 'sell', any_value(lo) FROM g WHERE close < lo GROUP BY symbol, ln)
+SELECT symbol, bar_ts, CASE WHEN lag(side) OVER (PARTITION BY symbol ORDER BY bar_ts, turn) <> side THEN 'CHoCH' ELSE 'BOS' END AS kind, side, round(level, 6) AS level FROM f""")
 def structure_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breaks of structure on hourly bars; a walk over all bars of a symbol, held against a plain one in the tests."""
+    """Breaks of structure on hourly bars."""
     return rounded(market.structure(h1(spark, sf_dir)), 6, "level")

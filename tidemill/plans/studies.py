@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import statistics
 from tidemill.functions.literals import literal_table
-from tidemill.operators import study, validation
+from tidemill.operators import bars, study, validation
 from tidemill.plans.markets import d1, h1
-from tidemill.plans.registry import D1, H1, PAIRS, RELEASES, query, rounded
+from tidemill.plans.registry import D1, H1, PAIRS, RELEASES, TICKS, query, rounded
 from tidemill.sources import tables
 
 _P = """CASE WHEN v < 1 OR t IS NULL THEN NULL WHEN v % 2 = 1 THEN 1 - (2 / pi()) * (atan(abs(t) / sqrt(v)) + sin(atan(abs(t) / sqrt(v))) *
@@ -97,7 +97,48 @@ w AS (SELECT indicator, symbol, ts, slot, horizon, seconds, days, n_bars, bars_e
  CASE WHEN usable AND n_bars > 1 THEN round(rv, 6) END AS realized_vol, usable FROM w"""))
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = study.event_windows(d1(spark, sf_dir), tables.releases(spark, sf_dir), _pairs(spark))
-    return rounded(out.drop("slot", "seconds"), 6, "ret", "realized_vol")
+    return rounded(out.drop("slot", "seconds", "mfe", "mae"), 6, "ret", "realized_vol")
+
+
+def _inner_sql(step: int, rungs: dict[str, int]) -> str:
+    """Windows by their definition: bars of the closed interval, prices as of its ends."""
+    from tidemill.plans.markets import _open_seconds
+
+    unit = {3600: "hour", 60: "minute"}[step]
+    ladder = ", ".join(f"('{n}', {s})" for n, s in rungs.items())
+    return f"""WITH {TICKS}, b AS (SELECT symbol, date_trunc('{unit}', ts)::TIMESTAMP AS bar_ts, first(bid ORDER BY ts, id) AS open, max(bid) AS high, min(bid) AS low, last(bid ORDER BY ts, id) AS close FROM ticks GROUP BY ALL),
+lad(horizon, seconds) AS (VALUES {ladder}), ev AS (SELECT DISTINCT event_type AS indicator, event_type AS symbol, ts::TIMESTAMP AS ts FROM events WHERE json_extract_string(props, '$.k')::INT >= 90),
+e0 AS (SELECT *, ts + seconds * INTERVAL 1 SECOND AS far, least(ts, far) AS t1, greatest(ts, far) AS t2 FROM ev CROSS JOIN lad),
+e1 AS (SELECT e0.*, a.open AS a_open FROM e0 ASOF LEFT JOIN b a ON a.symbol = e0.symbol AND e0.ts >= a.bar_ts),
+e2 AS (SELECT e1.*, o.open AS o_open, o.close AS o_close FROM e1 ASOF LEFT JOIN b o ON o.symbol = e1.symbol AND e1.far >= o.bar_ts),
+n AS (SELECT e0.symbol, e0.ts, e0.horizon, count(b.symbol) AS n_bars, max(high) AS top, min(low) AS bottom, sqrt(sum(ln(close / open) ** 2)) AS rv FROM e0 LEFT JOIN b ON b.symbol = e0.symbol AND b.bar_ts BETWEEN t1 AND t2 GROUP BY ALL),
+w AS (SELECT e2.*, n_bars, top, bottom, rv, greatest(1, ({_open_seconds('t2')} - {_open_seconds('t1')}) // {step})::BIGINT AS bars_expected, CASE WHEN seconds >= 0 THEN ln(o_close / a_open) ELSE ln(a_open / o_open) END AS r FROM e2 JOIN n USING (symbol, ts, horizon)),
+u AS (SELECT *, coalesce(r IS NOT NULL AND n_bars >= 0.6 * bars_expected, false) AS usable FROM w)
+SELECT indicator, symbol, ts, horizon, n_bars, bars_expected, CASE WHEN usable THEN round(r, 6) END AS ret, CASE WHEN usable AND n_bars > 1 THEN round(rv, 6) END AS realized_vol,
+CASE WHEN usable AND n_bars > 0 THEN round(ln(top / a_open), 6) END AS mfe, CASE WHEN usable AND n_bars > 0 THEN round(ln(bottom / a_open), 6) END AS mae, usable FROM u"""
+
+
+def _inner(spark: SparkSession, sf_dir: str, step: int, rungs: dict[str, int]) -> DataFrame:
+    b = bars.ticks_to_bars(tables.ticks(spark, sf_dir), step)
+    r = _alarms(spark, sf_dir).select("indicator", "ts").distinct()
+    pairs = literal_table(spark, _GRADE_PAIRS, ["indicator", "symbol"], ["string", "string"])
+    return rounded(study.event_windows(b, r, pairs, rungs, step).drop("slot", "seconds"), 6, "ret", "realized_vol", "mfe", "mae")
+
+
+_HOUR_RUNGS = study.supported(study.HOUR)
+_MINUTE_RUNGS = {n: s for n, s in study.LADDER.items() if abs(s) < study.HOUR}
+
+
+@query(_inner_sql(study.HOUR, _HOUR_RUNGS))
+def event_windows_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rungs that hourly bars can answer, with the best and worst price of each window."""
+    return _inner(spark, sf_dir, study.HOUR, _HOUR_RUNGS)
+
+
+@query(_inner_sql(study.MINUTE, _MINUTE_RUNGS))
+def event_windows_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rungs below an hour, on minute bars."""
+    return _inner(spark, sf_dir, study.MINUTE, _MINUTE_RUNGS)
 
 
 def _baselined(spark: SparkSession, sf_dir: str) -> DataFrame:
