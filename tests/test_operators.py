@@ -370,3 +370,38 @@ def test_summary_operators_on_odd_rows(spark):
     assert codes == ["US CPI", "US ", "US THE", "HOME_SALES_L", "US"]
     figures = spark.createDataFrame([(x,) for x in (0.0, 1.5, 142000.0, 7180000.0, -2500.0, 350.4, 1e12, None)], "v double")
     assert [q[0] for q in figures.select(text.compact(F.col("v"))).collect()] == ["0", "1.5", "142K", "7.2M", "-2.5K", "350", "1T", None]
+
+
+def test_numbers_as_text(spark):
+    from decimal import Decimal
+
+    from tidemill.functions import text
+
+    rows = [(Decimal(v), n) for v, n in (("7180000", ""), ("272000", "Payrolls"), ("0.4", "CPI m/m"), ("-7600000000", ""), ("1234.5", ""), ("0", "Bank Rate"))]
+    got = spark.createDataFrame(rows, "v decimal(24,6), n string").select(text.marker_number(F.col("v")).alias("m"), text.calendar_number(F.col("v"), F.col("n")).alias("c")).collect()
+    assert [r["m"] for r in got] == ["7.18M", "272K", "0.4", "-7.6B", "1.23K", "0"]
+    assert [r["c"] for r in got] == ["7.18M", "272K", "0.4%", "-7.6B", "1234.5", "0%"]
+
+
+def test_structure_turns(spark):
+    from tidemill.operators import market
+
+    closes = [1, 2, 5, 2, 1, 2, 6, 3, 1, 2, 3, 0.5, 0.4]
+    rows = [("s", T0 + timedelta(hours=i), c, c + 0.1, c - 0.1, float(c)) for i, c in enumerate(map(float, closes))]
+    got = market.structure(spark.createDataFrame(rows, "symbol string, bar_ts timestamp_ntz, open double, high double, low double, close double")).orderBy("bar_ts").collect()
+    assert [(r["kind"], r["side"]) for r in got] == [("BOS", "buy"), ("CHoCH", "sell")]
+    assert [round(r["level"], 1) for r in got] == [5.1, 0.9]
+
+
+def test_windows_below_a_day(spark):
+    at = datetime(2024, 6, 5, 12)
+    rows = [("s", at + timedelta(hours=i), 100.0 + i, 101.0 + i, 99.0 + i, 100.5 + i) for i in range(-6, 7)]
+    b = spark.createDataFrame(rows, "symbol string, bar_ts timestamp_ntz, open double, high double, low double, close double")
+    r = spark.createDataFrame([("i", at), ("i", at + timedelta(minutes=30))], "indicator string, ts timestamp_ntz")
+    pairs = spark.createDataFrame([("i", "s")], "indicator string, symbol string")
+    got = {(x["ts"].minute, x["horizon"]): x for x in study.event_windows(b, r, pairs, {"+4h": 14400, "-1h": -3600}, 3600).collect()}
+    whole, within, before = got[0, "+4h"], got[30, "+4h"], got[30, "-1h"]
+    assert (whole["n_bars"], within["n_bars"], before["n_bars"]) == (5, 4, 1)
+    assert math.isclose(whole["mfe"], math.log(105 / 100)) and math.isclose(whole["mae"], math.log(99 / 100))
+    assert math.isclose(within["mfe"], math.log(105 / 100)) and math.isclose(within["mae"], math.log(100 / 100), abs_tol=1e-12)
+    assert math.isclose(before["ret"], math.log(100 / 99)) and len(study.LADDER) == 17 and len(study.supported(3600)) == 11

@@ -100,3 +100,22 @@ def test_ledgers(spark):
     assert {r["month"] for r in store.months_to_fetch(wanted, ledger).collect()} == {2, 3}
     runs = spark.createDataFrame([("a", i) for i in range(5)], "source string, started int").withColumn("x", F.lit(1))
     assert {r["started"] for r in store.keep_latest(runs, "source", "started", 2).collect()} == {0, 1, 2}
+
+
+def test_pages_go_on_to_the_next_marker(spark):
+    page = 'days: [oops; days: no array; days: [1, [2]] tail'
+    got = feeds.embedded_arrays(spark.createDataFrame([(page,)], "page string"), "days:").first()
+    assert got["payload"] == "[1, [2]]"
+
+
+def test_parts_are_replaced_and_logs_grow(spark, tmp_path):
+    path, log = str(tmp_path / "curves"), str(tmp_path / "log")
+    frame = lambda rows: spark.createDataFrame(rows, "version string, indicator int, n int")
+    store.replace_parts(frame([("a", 1, 1), ("a", 1, 2), ("a", 2, 3)]), path, ["version", "indicator"])
+    store.replace_parts(frame([("a", 1, 9), ("b", 1, 4)]), path, ["version", "indicator"])
+    got = spark.read.parquet(path).collect()
+    assert sorted((r["version"], r["indicator"], r["n"]) for r in got) == [("a", 1, 9), ("a", 2, 3), ("b", 1, 4)]
+    for n in (1, 2):
+        store.append_log(frame([("a", n, n)]), log)
+    assert sorted(r["n"] for r in spark.read.parquet(log).collect()) == [1, 2]
+    assert [r["sample"] for r in store.preview(frame([("b", 2, None), ("a", 1, 1)]), ["version"]).collect()] == ['{"version":"a","indicator":1,"n":1}', '{"version":"b","indicator":2,"n":null}']

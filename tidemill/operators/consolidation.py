@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions import text
 from tidemill.functions.literals import literal_table
 from tidemill.functions.text import jaccard, normalise_name, tokens
 
@@ -213,3 +217,56 @@ def fused_releases(observations: DataFrame) -> DataFrame:
     pid, actual = F.get_json_object("raw_json", "$.payload.id"), F.get_json_object("raw_json", "$.payload.actual")
     seen = observations.groupBy("release_id").agg(F.count_distinct(pid).alias("ids"), F.count_distinct(actual).alias("actuals"))
     return seen.where("ids > 1 and actuals > 1")
+
+
+#: The columns of figures, the grades that come from a comparison with price, severities by weight.
+FIGURES = ("actual_first_print", "actual_current", "forecast_point_in_time", "forecast_stored", "previous", "revised_previous")
+VOL_GRADED = ("confirmed", "confirmed_hour", "offset", "no_spike", "confounded")
+SEVERITIES = ["blocking", "warning", "info", "ok"]
+
+
+def findings(releases: DataFrame, indicators: DataFrame, aliases: DataFrame, observations: DataFrame, coverage: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The fourteen checks: code, severity, count, total; a check that finds nothing is ok.
+
+    releases: id, indicator, release_ts, scheduled_ts, reference_period, period_start, cross_source, vol_check and
+    FIGURES. indicators: indicator, currency, name, canonical_code, mapping_status. aliases: indicator (null where
+    it points nowhere). observations as for fused_releases. coverage: expected, gap_count. verdicts: status. The
+    releases are read once for all their counts, and each part is summed before the parts are put together.
+    """
+    c = F.col
+    figures = [x for x in FIGURES if x in releases.columns]
+    some = lambda test: reduce(or_, [F.coalesce(test(c(x)), F.lit(False)) for x in figures], F.lit(False))
+    timeless = c("release_ts").isNull() & c("scheduled_ts").isNull()
+    provisional = F.coalesce(text.is_provisional(c("reference_period")), F.lit(False))
+    graded, unanswered = F.count_if(c("vol_check").isin(*VOL_GRADED)), F.count_if(c("vol_check") == "uncheckable")
+    left = F.greatest(F.count("release_ts") - graded - unanswered, F.lit(0))
+    total = F.count("*")
+
+    def part(df: DataFrame, *checks: tuple[str, Column | str, Column, Column]) -> DataFrame:
+        named = [F.struct(F.lit(k).alias("code"), (F.lit(s) if isinstance(s, str) else s).alias("weight"), n.cast("long").alias("count"), t.cast("long").alias("total")) for k, s, n, t in checks]
+        return df.agg(F.array(*named).alias("f")).select(F.inline("f"))
+
+    day = F.to_date(F.coalesce("release_ts", "scheduled_ts"))
+    same_day = releases.where(provisional & day.isNotNull()).groupBy("indicator", day.alias("day")).agg((F.count("*") - 1).alias("n"))
+    named = indicators.groupBy("currency", text.normalise_name(c("name")).alias("name")).agg(F.count("*").alias("n"), F.count_if(c("canonical_code").isNull() & ~c("mapping_status").eqNullSafe("ignored")).alias("open"))
+    known = releases.select("indicator").union(aliases.select("indicator")).distinct()
+    lone = indicators.join(known, "indicator", "left_anti").agg(F.count("*").alias("n")).union(aliases.agg(F.count_if(c("indicator").isNull()).alias("n")))
+    zero, all_of = F.lit(0), lambda x: F.coalesce(F.sum(x), F.lit(0))
+    fused = fused_releases(observations).agg(F.count("*").alias("n")).crossJoin(releases.agg(total.alias("all")))
+    parts = [
+        part(
+            releases, ("no_timestamp", "warning", F.count_if(timeless), total), ("provisional_period", "warning", F.count_if(provisional), total),
+            ("cross_source", "info", F.count_if(c("cross_source") == "disagree"), total), ("long_min_sentinel", "blocking", F.count_if(some(is_sentinel)), total),
+            ("absurd_values", "warning", F.count_if(some(is_absurd)), total), ("missing_period_start", "info", F.count_if(c("period_start").isNull()), total),
+            ("vol_check", F.when(graded == 0, "warning").otherwise("info"), left, total),
+        ),
+        part(same_day, ("provisional_duplicates", "warning", all_of("n"), zero)),
+        part(named, ("duplicate_indicators", "warning", all_of(c("n") - 1), all_of("n")), ("unmapped_indicators", "warning", all_of("open"), all_of("n"))),
+        part(fused, ("fused_releases", "warning", F.max("n"), F.max("all"))),
+        part(lone, ("orphans", "info", all_of("n"), zero)),
+        part(verdicts, ("timestamp_offsets", "warning", F.count_if(c("status") == "offset_clock"), zero)),
+        part(coverage, ("price_gaps", "warning", F.count_if((c("expected") > 0) & (c("gap_count") > 0)), total)),
+    ]
+    every = reduce(DataFrame.unionByName, parts)
+    # the price check keeps its weight when nothing is left: it says whether any was made
+    return every.select("code", F.when((c("count") > 0) | (c("code") == "vol_check"), c("weight")).otherwise("ok").alias("severity"), "count", "total")

@@ -130,3 +130,52 @@ def drawdown(trades: DataFrame, by: list[str], order: list[str], start: float =
 def lots_for_risk(risk: Column, stop_pips: Column, pip_value: Column) -> Column:
     """Lots, in hundredths rounded down, that lose at most risk at the stop."""
     return F.floor(risk / F.nullif(stop_pips * pip_value, F.lit(0.0)) * 100) / 100
+
+
+#: The smallest and the largest size in lots.
+MIN_LOTS, MAX_LOTS = 0.01, 100.0
+
+
+def stop_pips(entry: Column, stop: Column, pip: Column) -> Column:
+    """Distance in pips, to a tenth."""
+    return F.round(F.abs(entry - stop) / pip, 1)
+
+
+def gross(side: Column, entry: Column, exit_price: Column, lots: Column, contract: Column, rate: Column) -> Column:
+    """Gain in the account's currency; side 1 buys, -1 sells, rate is the account's currency for one of the quote."""
+    return side * (exit_price - entry) * lots * contract * rate
+
+
+def margin(lots: Column, price: Column, contract: Column, rate: Column, leverage: Column, base_is_account: Column) -> Column:
+    """What an open position sets aside; the price does not matter where the base is the account's currency."""
+    return F.when(base_is_account, lots * contract / leverage).otherwise(lots * contract * price * rate / leverage)
+
+
+def refusals(requests: DataFrame) -> DataFrame:
+    """requests with refused: why an order is not accepted, the first reason that holds; null for accepted ones.
+
+    requests: side (1 buys, -1 sells), kind, price, stop, target (prices, may be null), lots, bid, ask, needed (its
+    margin) and free (margin left).
+    """
+    c = F.col
+    buys = c("side") > 0
+    waits = c("kind") != "market"
+    entry = F.when(waits, c("price")).otherwise(F.when(buys, c("ask")).otherwise(c("bid")))
+    # a position leaves at the other side of the market
+    loss_from = F.when(waits, c("price")).otherwise(F.when(buys, c("bid")).otherwise(c("ask")))
+    market_price = F.when(buys, c("ask")).otherwise(c("bid"))
+    below = buys == (c("kind") == "limit")  # buy limits and sell stops lie below the market
+    lots = F.round("lots", 2)
+    reasons = [
+        (~F.coalesce(c("side").isin(1, -1), F.lit(False)), "side"),
+        (~F.coalesce(c("kind").isin("market", "limit", "stop"), F.lit(False)), "type"),
+        (c("bid").isNull() | c("ask").isNull(), "no price yet"),
+        (waits & (c("price").isNull() | (c("price") <= 0)), "needs a price"),
+        (waits & below & ~(c("price") < market_price), "must be below the market"),
+        (waits & ~below & ~(c("price") > market_price), "must be above the market"),
+        (c("stop").isNotNull() & ~F.when(buys, c("stop") < loss_from).otherwise(c("stop") > loss_from), "stop loss on the wrong side"),
+        (c("target").isNotNull() & ~F.when(buys, c("target") > entry).otherwise(c("target") < entry), "target on the wrong side"),
+        (c("lots").isNull(), "needs a size"), (lots < MIN_LOTS, "size too small"), (lots > MAX_LOTS, "size too large"),
+        (c("needed") > c("free"), "not enough margin"),
+    ]
+    return requests.withColumn("refused", F.coalesce(*[F.when(cond, reason) for cond, reason in reasons]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import statistics
 from tidemill.functions.literals import literal_table
-from tidemill.operators import bars, study, validation
+from tidemill.operators import bars, study, summaries, validation
 from tidemill.plans.markets import d1, h1
 from tidemill.plans.registry import D1, H1, PAIRS, RELEASES, TICKS, query, rounded
 from tidemill.sources import tables
@@ -211,6 +211,29 @@ def decay_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(out, 6, "mean_abnormal", "std_error", "hit_rate", "mean_abs_excess", "abs_ratio", "detectability_floor"), 5, "abs_p_value", "abs_p_fdr")
 
 
+_GATED = _POOL + """, c AS (SELECT indicator, symbol, horizon, days * 86400 AS seconds, n, CASE WHEN n >= 20 THEN me END AS eff, CASE WHEN n >= 20 THEN q END AS q, CASE WHEN n >= 20 THEN ratio END AS ratio FROM cv)"""
+
+
+@query(_GATED + """, m AS (SELECT *, max(seconds) FILTER (seconds > 0 AND q < 0.05) OVER (PARTITION BY indicator, symbol) AS last FROM c)
+SELECT indicator, symbol, max(n) AS n, arg_max(horizon, eff) FILTER (seconds > 0 AND eff IS NOT NULL) AS peak, round(max(eff) FILTER (seconds > 0), 6) AS peak_effect, round(arg_max(ratio, eff) FILTER (seconds > 0 AND eff IS NOT NULL), 6) AS peak_ratio,
+ arg_max(horizon, seconds) FILTER (seconds > 0 AND q < 0.05) AS last_significant, arg_min(horizon, seconds) FILTER (seconds > last) AS first_insignificant,
+ arg_max(horizon, seconds) FILTER (seconds < 0 AND q < 0.05 AND eff < 0) AS quiet_before, round(arg_max(ratio, seconds) FILTER (seconds < 0 AND q < 0.05 AND eff < 0), 6) AS quiet_ratio,
+ coalesce(bool_or(seconds > 0 AND q < 0.05), false) AS any_effect FROM m GROUP BY indicator, symbol""")
+def curve_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = summaries.curve_summary(study.decay_curve(_impacts(spark, sf_dir), ["indicator", "symbol"]), ["indicator", "symbol"])
+    return rounded(out, 6, "peak_effect", "peak_ratio", "quiet_ratio")
+
+
+@query(_GATED + """, a AS (SELECT indicator, symbol, horizon, avg(abs(ret)) / 0.0001::DOUBLE AS mean FROM im GROUP BY ALL)
+SELECT im.indicator, im.symbol, im.horizon, im.ts, round(abs(im.ret) / 0.0001::DOUBLE, 4) AS move, round(mean - eff / 0.0001::DOUBLE, 4) AS normal
+FROM im JOIN a USING (indicator, symbol, horizon) LEFT JOIN c USING (indicator, symbol, horizon) WHERE im.horizon = '+1d'""")
+def event_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The moves of a day after each release, in pips, beside the normal level."""
+    found, by = _impacts(spark, sf_dir), ["indicator", "symbol", "horizon"]
+    out = summaries.event_scatter(found.where("horizon = '+1d'"), study.decay_curve(found, ["indicator", "symbol"]), by, 0.0001)
+    return rounded(out.drop("is_outlier"), 4, "move", "normal")
+
+
 _CHANGE = f"""WITH {RELEASES}, c AS (SELECT indicator, ts, (actual - previous)::DOUBLE AS ch FROM releases),
 z AS (SELECT indicator, ts, CASE WHEN count(ch) OVER w >= 8 AND stddev_samp(ch) OVER w > 0 THEN ch / stddev_samp(ch) OVER w END AS z FROM c WHERE ch IS NOT NULL
   WINDOW w AS (PARTITION BY indicator ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"""

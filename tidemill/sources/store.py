@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ def upsert_months(spark: SparkSession, path: str, frame: DataFrame) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         merged = canonical_bars(new)
-    staged = f"{path.rstrip('/')}.staged"
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"  # a folder of its own: writers do not meet
     merged.write.mode("overwrite").parquet(staged)  # a store cannot be read and replaced in one job
     again = spark.read.schema(merged.schema).parquet(staged)
     again.repartition(*PARTS).sortWithinPartitions("bar_ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*PARTS).parquet(path)
@@ -75,3 +77,19 @@ def keep_latest(runs: DataFrame, by: str, started: str, n: int) -> DataFrame:
     """Payloads beyond the latest n of each source, which may be deleted."""
     w = Window.partitionBy(by).orderBy(F.col(started).desc())
     return runs.withColumn("__n", F.row_number().over(w)).where(F.col("__n") > n).drop("__n")
+
+
+def replace_parts(frame: DataFrame, path: str, parts: list[str]) -> None:
+    """Writes the frame in place of those partitions that it has rows of, such as a version and an indicator, or a
+    day of candles; others stay. The frame must not be read from the same path."""
+    frame.repartition(*parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
+def append_log(frame: DataFrame, path: str) -> None:
+    """Adds rows to a log that is never rewritten (observations, revisions), by the day of writing."""
+    frame.withColumn("logged_on", F.current_date()).write.mode("append").partitionBy("logged_on").parquet(path)
+
+
+def preview(frame: DataFrame, order: list[str], rows: int = 25) -> DataFrame:
+    """The first rows in order, each as one JSON text; the limit is what a preview is for."""
+    return frame.orderBy(*order).limit(rows).select(F.to_json(F.struct(*frame.columns), {"ignoreNullFields": "false"}).alias("sample"))
