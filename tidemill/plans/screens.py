@@ -181,7 +181,8 @@ _CUT = "regexp_replace(round({0}, {1})::DECIMAL(30,{1})::VARCHAR, '\\.?0+$', '')
 
 
 def _powers_sql(places: int, cond: str, rest: str) -> str:
-    cut = lambda power: _CUT.format(f"v / {10**power}", places)
+    # decimals on both sides: a quotient of doubles lies to either side of a tie
+    cut = lambda power: _CUT.format(f"(v * 0.{'0' * (power - 1)}1::DECIMAL({power + 1},{power}))", places)
     return f"CASE WHEN {cond} abs(v) >= 1000000 THEN {cut(6)} || 'M' WHEN {cond} abs(v) >= 1000 THEN {cut(3)} || 'K' ELSE {rest} END"
 
 
