@@ -80,3 +80,19 @@ def only_ids(rows: DataFrame, ids: DataFrame, id_col: str, how: str, most: int =
     name = free_name("__id", rows.columns)
     ids = ids.select(F.col("id").alias(name))
     return rows.join(F.broadcast(ids) if ids.count() <= most else ids, F.col(id_col) == F.col(name), how)
+
+
+#: Up to so many rows of a small table with one row for each key are broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def joined_by(rows: DataFrame, values: DataFrame, key: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows with the columns of the row of values (one for each key) whose key is equal, nulls alike; rows must have such a row.
+
+    values is broadcast if a count shows it small. Else no key of rows is spread over more than its share: the join is one
+    that adaptive execution splits where a key is hot.
+    """
+    name = free_name("__key", [*rows.columns, *values.columns])
+    values = values.withColumnRenamed(key, name)
+    few = values.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(values) if few else values, rows[key].eqNullSafe(values[name])).drop(name)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import (
     bpe,
+    collocations,
     decontamination,
     language_id,
     lsh_forest,
@@ -17,6 +18,7 @@ from tidemill.llm import (
     secret_scan,
     token_tables,
     url_filter,
+    vector_codes,
     warc,
     winnowing,
 )
@@ -123,6 +125,64 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM d),
+s AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT lang, ws, i, unnest([1, 2, 3]) AS m FROM s),
+f AS MATERIALIZED (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS c FROM g WHERE i + m - 1 <= len(ws) GROUP BY ALL),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY 1),
+c AS MATERIALIZED (SELECT lang, m, phrase, c AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND c >= 10),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+b AS (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS lp, array_to_string(ws[k + 1:m], ' ') AS rp FROM k),
+cut AS (SELECT b.lang, b.phrase, a, k, x.c AS l, y.c AS r, (1000000::HUGEINT * a * a) // (x.c::HUGEINT * y.c) AS score
+        FROM b JOIN f x ON x.lang = b.lang AND x.phrase = lp JOIN f y ON y.lang = b.lang AND y.phrase = rp),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM c WHERE m = 3),
+most AS (SELECT lang, phrase, max(a) AS b FROM inner_ GROUP BY 1, 2),
+kept AS (SELECT best.* FROM best LEFT JOIN most ON most.lang = best.lang AND most.phrase = best.phrase WHERE b IS NULL OR 100 * b < 50 * best.a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept JOIN n ON n.lang = kept.lang QUALIFY rank <= 2000
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+    digest = F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256")
+    coded = vector_codes.with_label_errors(codes)
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", digest)
+
+
+OP13_SQL = """
+WITH v AS (SELECT row_number() OVER () AS i, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT i, part, x[part * (len(x) // 16) + 1:(part + 1) * (len(x) // 16)] AS x FROM v, (SELECT unnest(range(16)) AS part)),
+f AS (SELECT i, row_number() OVER (ORDER BY vec_id, x) - 1 AS e FROM v QUALIFY e < 64),
+b0 AS (SELECT part, e, x FROM p JOIN f USING (i)),
+a1 AS (SELECT p.i, p.part, any_value(p.x) AS x, min({'d': list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}) AS n
+       FROM p JOIN b0 b USING (part) GROUP BY 1, 2),
+s1 AS (SELECT part, n.e AS e, j, sum(x[j])::BIGINT AS s, count(*) AS c FROM a1, unnest(range(1, len(x) + 1)) AS t(j) GROUP BY ALL),
+m1 AS (SELECT part, e, list((s - ((s % c + c) % c)) // c ORDER BY j) AS x FROM s1 GROUP BY 1, 2),
+b1 AS (SELECT b0.part, b0.e, coalesce(m1.x, b0.x) AS x FROM b0 LEFT JOIN m1 ON m1.part = b0.part AND m1.e = b0.e),
+a2 AS (SELECT p.i, p.part, any_value(p.x) AS x, min({'d': list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}) AS n
+       FROM p JOIN b1 b USING (part) GROUP BY 1, 2),
+s2 AS (SELECT part, n.e AS e, j, sum(x[j])::BIGINT AS s, count(*) AS c FROM a2, unnest(range(1, len(x) + 1)) AS t(j) GROUP BY ALL),
+m2 AS (SELECT part, e, list((s - ((s % c + c) % c)) // c ORDER BY j) AS x FROM s2 GROUP BY 1, 2),
+b2 AS (SELECT b1.part, b1.e, coalesce(m2.x, b1.x) AS x FROM b1 LEFT JOIN m2 ON m2.part = b1.part AND m2.e = b1.e),
+a3 AS (SELECT p.i, p.part, min({'d': list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}) AS n
+       FROM p JOIN b2 b USING (part) GROUP BY 1, 2),
+r AS (SELECT i, string_agg(printf('%02x', n.e), '' ORDER BY part) AS code, sum(n.d)::BIGINT AS error FROM a3 GROUP BY 1),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS digest FROM b2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256
+FROM r JOIN v USING (i), h
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_near_duplicates": op2_near_duplicates,
@@ -134,5 +194,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
+    "op12_collocations": op12_collocations,
+    "op13_vector_codes": op13_vector_codes,
 }
-ORACLES: dict[str, str] = {"op2_near_duplicates": OP2_SQL, "op6_url_filter": OP6_SQL}
+ORACLES: dict[str, str] = {"op2_near_duplicates": OP2_SQL, "op6_url_filter": OP6_SQL, "op12_collocations": OP12_SQL, "op13_vector_codes": OP13_SQL}
