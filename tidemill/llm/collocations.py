@@ -34,7 +34,9 @@ from tidemill.llm.common import joined_by, written
 ROWS = 2
 LEAST_BITS, MOST_BITS = 16, 27
 SLICE = 1 << 16
-_CUT = 1 << 22
+_CUT = 1 << 19
+#: So many stretches are counted together before their phrases leave a task.
+_TOGETHER = 8
 _BREAK = re.compile(rb"[.,;:!?\n-\r]")
 _KINDS = np.zeros(256, np.uint8)
 _KINDS[list(b" \t")] = 1
@@ -71,8 +73,9 @@ def _seed(lang: str) -> int:
 class Words:
     """The words of a stretch of bytes that begins and ends at the bounds of pieces, with their hashes."""
 
-    def __init__(self, data: bytes, seeds: np.ndarray, bounds: np.ndarray, offset: int) -> None:
-        """seeds: a number for each text; bounds: the byte after which each text ends, counted from offset before data."""
+    def __init__(self, data: bytes, seeds: np.ndarray, bounds: np.ndarray, offset: int, first: int) -> None:
+        """seeds: a number for each text; bounds: the byte after which each text ends, counted from offset before data;
+        first: the number of the first text."""
         self.data = data
         codes = np.frombuffer(data, np.uint8)
         kinds = _KINDS[codes]
@@ -85,9 +88,10 @@ class Words:
         sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(_byte_values()[codes] * up[: len(codes)], out=sums[1:])
         own = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        self.text = np.searchsorted(bounds, self.starts + offset, side="right")
+        text = np.searchsorted(bounds, self.starts + offset, side="right")
+        self.text = text + first
         self.piece = np.cumsum(kinds == 2, dtype=np.int32)[self.starts]
-        self.hashes = _mixed(own ^ seeds[self.text])
+        self.hashes = _mixed(own ^ seeds[text])
 
     def sequences(self, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each number of words up to most: the first words of the sequences within pieces, and their hashes."""
@@ -106,16 +110,22 @@ class Words:
 
 
 def stretches(texts: list[str | None], langs: list[str]) -> Iterator[Words]:
-    """The words of whole texts in stretches of some megabytes, cut at the bounds of pieces."""
-    parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    bounds = np.cumsum([len(p) + 1 for p in parts])
-    seeds = np.array([_seed(x) for x in langs], np.uint64)
-    data, done = b"\n".join(parts), 0
-    while done < len(data):
-        found = _BREAK.search(data, min(done + _CUT, len(data)))
-        end = found.end() if found else len(data)
-        yield Words(data[done:end], seeds, bounds, done)
-        done = end
+    """The words of whole texts in stretches of about _CUT bytes: short texts together, long ones cut at the bounds of pieces."""
+    own: list[bytes] = []
+    first = size = 0
+    for i, t in enumerate(texts):
+        own.append((t or "").encode("utf-8", "surrogatepass").lower())
+        size += len(own[-1]) + 1
+        if size >= _CUT or i + 1 == len(texts):
+            data, done = b"\n".join(own), 0
+            bounds = np.cumsum([len(p) + 1 for p in own])
+            seeds = np.array([_seed(x) for x in langs[first : i + 1]], np.uint64)
+            while done < len(data):
+                found = _BREAK.search(data, min(done + 2 * _CUT, len(data)))
+                end = found.end() if found else len(data)
+                yield Words(data[done:end], seeds, bounds, done, first)
+                done = end
+            own, first, size = [], i + 1, 0
 
 
 def places(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -218,16 +228,26 @@ def phrase_counts(docs: DataFrame, max_words: int, least: int, bits: np.ndarray)
     and for each language a row of no words with the number of all words."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
+    def summed(group: list[Words], langs: np.ndarray) -> Iterator[pd.DataFrame]:
+        per = pd.Series(langs[np.concatenate([w.text for w in group])]).value_counts()
+        yield pd.DataFrame({"lang": per.index.astype(object), "words": 0, "phrase": "", "n": per.to_numpy()})
+        for same in zip(*[survivors(w, max_words, shared.value) for w in group], strict=True):
+            m, at, h = same[0][0], np.concatenate([x[1] for x in same]), np.concatenate([x[2] for x in same])
+            owner = np.repeat(np.arange(len(group)), [len(x[1]) for x in same])
+            _, first, n = np.unique(h, return_index=True, return_counts=True)
+            places = list(zip(owner[first].tolist(), at[first].tolist(), strict=True))
+            yield pd.DataFrame({"lang": [langs[group[g].text[i]] for g, i in places], "words": m, "phrase": [group[g].phrase(i, m) for g, i in places], "n": n})
+
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            langs = batch["lang"].to_numpy(object)
+            langs, group = batch["lang"].to_numpy(object), []
             for words in stretches(batch["text"].tolist(), langs.tolist()):
-                per = pd.Series(langs[words.text]).value_counts()
-                yield pd.DataFrame({"lang": per.index.astype(object), "words": 0, "phrase": "", "n": per.to_numpy()})
-                for m, at, h in survivors(words, max_words, shared.value):
-                    _, first, n = np.unique(h, return_index=True, return_counts=True)
-                    at = at[first]
-                    yield pd.DataFrame({"lang": langs[words.text[at]], "words": m, "phrase": [words.phrase(i, m) for i in at.tolist()], "n": n})
+                group.append(words)
+                if len(group) == _TOGETHER:
+                    yield from summed(group, langs)
+                    group = []
+            if group:
+                yield from summed(group, langs)
 
     found = docs.mapInPandas(counted, "lang string, words int, phrase string, n long")
     return found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("words") == 0) | (F.col("n") >= least))

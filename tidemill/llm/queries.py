@@ -17,6 +17,7 @@ from tidemill.llm import (
     quality,
     secret_scan,
     token_tables,
+    toxicity,
     url_filter,
     vector_codes,
     warc,
@@ -125,6 +126,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where(id_remainder("doc_id", 4) != 2)
+    scored = toxicity.judged(docs, toxicity.fit(docs, labels), keep=["doc_id"])
+    return scored.select(
+        "doc_id",
+        F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+        "spans",
+    )
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents"))
 
@@ -194,6 +208,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
+    "op11_toxicity": op11_toxicity,
     "op12_collocations": op12_collocations,
     "op13_vector_codes": op13_vector_codes,
 }
