@@ -20,11 +20,11 @@ of toxic rows for every text, 0 if there are none.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -58,15 +58,35 @@ def beginnings(word: str) -> list[str]:
     return ["=" + w, *("^" + w[:k] for k in PREFIXES if len(w) >= k)]
 
 
+_DIGIT = re.compile(r"\d")
+#: The first places are for what has few values: bias, case, length, digits.
+_FEW = 64
+
+
 def features(word: str) -> list[int]:
-    """The active features of a word by itself; the last is the one that its neighbours see."""
+    """The active features of a word by itself; the last is the one that its neighbours see.
+
+    Beginnings of two to seven bytes, ends of three and four and the lower-cased word are hashed, each kind from another start.
+    """
     w = word.lower()
-    case = "a" if word == w else "A" if word.isupper() else "Aa" if word[1:] == w[1:] else "aA"
-    names = [
-        "bias", "case=" + case, f"length={min(len(w), 15)}", f"digits={any(c.isdigit() for c in w)}",
-        *(f"^{w[:k]}" for k in (2, *PREFIXES) if len(w) >= k), *(f"{w[-k:]}$" for k in (3, 4) if len(w) >= k), "=" + w,
-    ]
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % FEATURES for n in names]
+    case = 1 if word == w else 2 if word.isupper() else 3 if word[1:] == w[1:] else 4
+    made = [0, case, 5 + min(len(w), 15)]
+    if _DIGIT.search(w):
+        made.append(21)
+    data = w.encode("utf-8", "surrogatepass")
+    size = len(data)
+    crc = crc32(data[:2], 1)
+    crcs = [crc]
+    for k in range(2, min(size, PREFIXES[-1])):
+        crc = crc32(data[k : k + 1], crc)
+        crcs.append(crc)
+    if size >= 3:
+        crcs.append(crc32(data[-3:], 2))
+        if size >= 4:
+            crcs.append(crc32(data[-4:], 3))
+    crcs.append(crc32(data, 4))
+    made += [_FEW + c % (FEATURES - _FEW) for c in crcs]
+    return made
 
 
 class WordTable(dict):
@@ -252,7 +272,7 @@ def labelled_windows(text: str | None, toxic: int, cues: set[str]) -> Iterator[t
             hit |= known[w]
             running = OUT if not (toxic and known[w]) else INSIDE if running != OUT else BEGIN
             tags.append(running)
-        if hit or zlib.crc32(" ".join(own).encode("utf-8", "surrogatepass")) % 20 == 0:
+        if hit or crc32(" ".join(own).encode("utf-8", "surrogatepass")) % 20 == 0:
             yield own, tags
 
 
