@@ -33,6 +33,8 @@ from tidemill.llm.common import joined_by, written
 
 ROWS = 2
 LEAST_BITS, MOST_BITS = 16, 27
+#: Phrases are counted in so many buckets at least, one for each 32 MB of text.
+LEAST_BUCKETS = 48
 SLICE = 1 << 16
 _CUT = 1 << 19
 #: So many stretches are counted together before their phrases leave a task.
@@ -105,8 +107,8 @@ class Words:
             h = _mixed(h[whole] * np.uint64(_STEP) + self.hashes[at + m - 1])
             yield m, at, h
 
-    def phrase(self, first: int, words: int) -> str:
-        return b" ".join(self.data[self.starts[i] : self.ends[i]] for i in range(first, first + words)).decode("utf-8", "surrogatepass")
+    def phrase(self, first: int, words: int) -> bytes:
+        return b" ".join(self.data[self.starts[i] : self.ends[i]] for i in range(first, first + words))
 
 
 def stretches(texts: list[str | None], langs: list[str]) -> Iterator[Words]:
@@ -223,34 +225,71 @@ def survivors(words: Words, max_words: int, bits: np.ndarray) -> Iterator[tuple[
         alive[at] = True
 
 
-def phrase_counts(docs: DataFrame, max_words: int, least: int, bits: np.ndarray) -> DataFrame:
+def packed(group: list[Words], langs: np.ndarray, max_words: int, bits: np.ndarray, buckets: int) -> pd.DataFrame:
+    """bucket, lang, phrases and counts: the survivors of some stretches, summed, sorted and packed by bucket and language."""
+    found: dict[tuple[int, str], dict[bytes, int]] = {}
+    for lang, n in pd.Series(langs[np.concatenate([w.text for w in group])]).value_counts().items():
+        found[0, lang] = {b"": n}  # all words of the language
+    for same in zip(*[survivors(w, max_words, bits) for w in group], strict=True):
+        m, at, h = same[0][0], np.concatenate([x[1] for x in same]), np.concatenate([x[2] for x in same])
+        owner = np.repeat(np.arange(len(group)), [len(x[1]) for x in same])
+        _, first, n = np.unique(h, return_index=True, return_counts=True)
+        rows = zip(owner[first].tolist(), at[first].tolist(), n.tolist(), (h[first] % np.uint64(buckets)).tolist(), strict=True)
+        for g, i, k, bucket in rows:
+            w = group[g]
+            own = found.setdefault((bucket, langs[w.text[i]]), {})
+            phrase = w.phrase(i, m)
+            own[phrase] = own.get(phrase, 0) + k
+    out = []
+    for (bucket, lang), own in found.items():
+        phrases = sorted(own)
+        counts = np.array([own[x] for x in phrases], "<u8").tobytes()
+        out.append((bucket, lang, zlib.compress(b"\n".join(phrases), 6), zlib.compress(counts, 1)))
+    return pd.DataFrame(out, columns=["bucket", "lang", "phrases", "counts"])
+
+
+def phrase_counts(docs: DataFrame, max_words: int, least: int, bits: np.ndarray, buckets: int = LEAST_BUCKETS) -> DataFrame:
     """lang, words, phrase and n of every sequence of up to max_words words that occurs least times or more, exactly;
-    and for each language a row of no words with the number of all words."""
+    and for each language a row of no words with the number of all words.
+
+    Phrases are dealt to buckets by their hash. They travel in sorted packs, a few bytes each; a task adds up the packs of one
+    bucket and language after another. A frequent phrase is in as many packs as there are tasks, at most one of each.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def summed(group: list[Words], langs: np.ndarray) -> Iterator[pd.DataFrame]:
-        per = pd.Series(langs[np.concatenate([w.text for w in group])]).value_counts()
-        yield pd.DataFrame({"lang": per.index.astype(object), "words": 0, "phrase": "", "n": per.to_numpy()})
-        for same in zip(*[survivors(w, max_words, shared.value) for w in group], strict=True):
-            m, at, h = same[0][0], np.concatenate([x[1] for x in same]), np.concatenate([x[2] for x in same])
-            owner = np.repeat(np.arange(len(group)), [len(x[1]) for x in same])
-            _, first, n = np.unique(h, return_index=True, return_counts=True)
-            places = list(zip(owner[first].tolist(), at[first].tolist(), strict=True))
-            yield pd.DataFrame({"lang": [langs[group[g].text[i]] for g, i in places], "words": m, "phrase": [group[g].phrase(i, m) for g, i in places], "n": n})
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             langs, group = batch["lang"].to_numpy(object), []
             for words in stretches(batch["text"].tolist(), langs.tolist()):
                 group.append(words)
                 if len(group) == _TOGETHER:
-                    yield from summed(group, langs)
+                    yield packed(group, langs, max_words, shared.value, buckets)
                     group = []
             if group:
-                yield from summed(group, langs)
+                yield packed(group, langs, max_words, shared.value, buckets)
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key: tuple[int, str] | None = None
+        total: dict[bytes, int] = {}
+
+        def done() -> pd.DataFrame:
+            rows = [(key[1], x.count(b" ") + 1 if x else 0, x.decode("utf-8", "surrogatepass"), n) for x, n in total.items() if n >= least or not x]
+            return pd.DataFrame(rows, columns=["lang", "words", "phrase", "n"])
+
+        for batch in batches:
+            for bucket, lang, phrases, counts in batch.itertuples(index=False):
+                if key != (bucket, lang):
+                    if key is not None:
+                        yield done()
+                    key, total = (bucket, lang), {}
+                own = np.frombuffer(zlib.decompress(counts), "<u8").tolist()
+                for x, n in zip(zlib.decompress(phrases).split(b"\n"), own, strict=True):
+                    total[x] = total.get(x, 0) + n
+        if key is not None:
+            yield done()
 
-    found = docs.mapInPandas(counted, "lang string, words int, phrase string, n long")
-    return found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("words") == 0) | (F.col("n") >= least))
+    packs = docs.mapInPandas(sent, "bucket int, lang string, phrases binary, counts binary")
+    return packs.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInPandas(added, "lang string, words int, phrase string, n long")
 
 
 def _with_count(rows: DataFrame, part: str, out: str, hot: DataFrame, cold: DataFrame) -> DataFrame:
@@ -322,10 +361,11 @@ def collocations(
     bits: the sketch has 2**bits counters a row; by default one for each 32 bytes of text, within bounds.
     """
     plain = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where("text is not null")
+    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if bits is None:
-        size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = min(max((size // 32).bit_length(), LEAST_BITS), MOST_BITS)
-    counts = written(phrase_counts(plain, max_words, least, frequent_bits(plain, max_words, least, bits)), "phrase-counts")
+    buckets = max(LEAST_BUCKETS, size >> 25)
+    counts = written(phrase_counts(plain, max_words, least, frequent_bits(plain, max_words, least, bits), buckets), "phrase-counts")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = not_inside(scored(counts), percent).withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
     words = counts.where("words = 0").select("lang", "n")

@@ -200,8 +200,12 @@ def emissions(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
     return emit
 
 
+#: Less likely words are left out of a text's sum: else a long clean text would add up to a toxic one.
+LEAST_LIKELY = 0.1
+
+
 def aggregates(p: np.ndarray) -> np.ndarray:
-    total = float(p.sum())
+    total = float(p[p >= LEAST_LIKELY].sum())
     return np.array([1.0, np.log1p(total), float(p.max(initial=0.0)), np.sqrt(total / max(len(p), 1))])
 
 
