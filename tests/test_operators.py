@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.functions import clock, statistics, text
-from tidemill.operators import asof, bars, consolidation, execution, market, study, validation
+from tidemill.operators import asof, bars, baseline, consolidation, execution, market, study, validation
 from tidemill.streaming import live
 
 T0 = datetime(2024, 9, 6, 12, 30)
@@ -183,7 +183,7 @@ def test_event_study_finds_a_step(spark):
     releases = spark.createDataFrame([("i", at)], "indicator string, ts timestamp_ntz")
     pairs = spark.createDataFrame([("X", "i")], "symbol string, indicator string")
     b = flat_days(spark, 800, 0.01, at + timedelta(days=1))
-    rows = study.matched_baseline(b, releases, pairs, study.event_windows(b, releases, pairs))
+    rows = baseline.matched_baseline(b, releases, pairs, study.event_windows(b, releases, pairs))
     got = {r["horizon"]: r for r in rows.collect()}
     assert got["+1d"]["ret"] == pytest.approx(0.01) and got["-1d"]["ret"] == pytest.approx(0.0)
     assert got["+1d"]["baseline_n"] == 12 and got["+1d"]["baseline_mean"] == pytest.approx(0.0)
@@ -198,7 +198,7 @@ def test_weekly_series_is_not_its_own_baseline(spark):
     rows = [("X", datetime(2023, 1, 2) + timedelta(days=d), 1.0, 1.0, 1.0, 1.05 if (datetime(2023, 1, 2) + timedelta(days=d)) in weekly else 1.0) for d in range(430)]
     b = spark.createDataFrame(rows, "symbol string, bar_ts timestamp_ntz, open double, high double, low double, close double")
     ladder = {"-1d": -86400, "+1d": 86400}
-    got = study.matched_baseline(b, releases, pairs, study.event_windows(b, releases, pairs, ladder), ladder).where("horizon = '+1d'")
+    got = baseline.matched_baseline(b, releases, pairs, study.event_windows(b, releases, pairs, ladder)).where("horizon = '+1d'")
     r = got.where(F.col("ts") == F.lit(weekly[50])).first()
     assert r["baseline_n"] == 12 and r["baseline_abs_mean"] == pytest.approx(0.0)
 

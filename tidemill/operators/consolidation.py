@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import text
 from tidemill.functions.literals import literal_table
 from tidemill.functions.text import jaccard, normalise_name, tokens
+from tidemill.operators.shared import shared_dir
 
 # Which source is best for a field, from the best on.
 PRIORITY: dict[str, list[str]] = {
@@ -164,13 +165,7 @@ def components(pairs: DataFrame, most_rounds: int = 30) -> DataFrame:
 
     Lineage is cut in each round by a checkpoint in the session's shared folder.
     """
-    sc = pairs.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
+    shared_dir(pairs.sparkSession)
     both = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
     for _ in range(most_rounds):

@@ -31,8 +31,8 @@ def _extremes(ticks: DataFrame) -> DataFrame:
     return minutes.select("*", F.inline(F.array(*spots))).groupBy("symbol", "level", "block", "in_block").agg(*again)
 
 
-def first_touch(asked: DataFrame, ticks: DataFrame) -> DataFrame:
-    """id, ts, bid and ask of the first tick at or after from_ts at which a price reaches a level.
+def first_touch(asked: DataFrame, ticks: DataFrame, strict: bool = False) -> DataFrame:
+    """id, ts, bid and ask of the first tick at or after from_ts at which a price reaches a level (strict: passes it).
 
     asked: id, symbol, from_ts, of ("bid" or "ask"), below and above (either may be null). Blocks of time are
     searched by their extremes: the rest of the minute, of the hour, of the day and of the month, then later
@@ -42,7 +42,8 @@ def first_touch(asked: DataFrame, ticks: DataFrame) -> DataFrame:
     key = ["id", "symbol", "from_ts", "of", "below", "above"]
     blocks = _extremes(ticks)
     low, high = F.when(F.col("of") == "bid", F.col("bid_low")).otherwise(F.col("ask_low")), F.when(F.col("of") == "bid", F.col("bid_high")).otherwise(F.col("ask_high"))
-    reached = F.coalesce(low <= F.col("below"), F.lit(False)) | F.coalesce(high >= F.col("above"), F.lit(False))
+    meets = lambda low, high: F.coalesce(low < F.col("below") if strict else low <= F.col("below"), F.lit(False)) | F.coalesce(high > F.col("above") if strict else high >= F.col("above"), F.lit(False))
+    reached = meets(low, high)
     own = [_block("from_ts", s) for s in BLOCKS]
     spots = [F.struct(F.lit(n).alias("level"), o.alias("own"), (own[n + 1] if n + 1 < len(own) else F.lit(0).cast("long")).alias("in_block")) for n, o in enumerate(own)]
     met = asked.select(*key, F.inline(F.array(*spots))).join(blocks, ["symbol", "level", "in_block"], "left")
@@ -58,8 +59,7 @@ def first_touch(asked: DataFrame, ticks: DataFrame) -> DataFrame:
     minute = best.select(*key, F.explode(F.array_distinct(F.array_compact(F.array("block", own[0])))).alias("block"))
     at = ticks.select("symbol", "ts", F.col("id").alias("tick"), "bid", "ask", _block("ts", BLOCKS[0]).alias("block"))
     price = F.when(F.col("of") == "bid", F.col("bid")).otherwise(F.col("ask"))
-    there = F.coalesce(price <= F.col("below"), F.lit(False)) | F.coalesce(price >= F.col("above"), F.lit(False))
-    met = minute.join(at, ["symbol", "block"]).where((F.col("ts") >= F.col("from_ts")) & there)
+    met = minute.join(at, ["symbol", "block"]).where((F.col("ts") >= F.col("from_ts")) & meets(price, price))
     first = met.groupBy("id").agg(F.min_by(F.struct("ts", "bid", "ask"), F.struct("ts", "tick")).alias("t"))
     return first.select("id", "t.ts", "t.bid", "t.ask")
 

@@ -7,8 +7,6 @@ Only the highest and lowest price of a window need the bars themselves: a bounde
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,25 +31,13 @@ def supported(step: int, ladder: dict[str, int] = LADDER) -> dict[str, int]:
 DAY_LADDER = supported(DAY)
 #: Squares are summed exactly: a difference of running sums of doubles leaves noise where it should be 0.
 SQUARES = "decimal(24,18)"
-SHIFTS = (0, -1, 1, -2, 2)
 MIN_COVERAGE, MIN_POOL, POWER = 0.6, 20, 2.8
 
 
-@dataclass(frozen=True)
-class BaselineRule:
-    weeks: int = 12
-    lookback: int = 48
-    least: int = 3
-
-
 def slot_of(ts: Column, step: int = DAY) -> Column:
     return F.floor(clock.epoch(ts) / step).cast("int")
 
 
-def day_number(ts: Column) -> Column:
-    return slot_of(ts)
-
-
 def grid(bars: DataFrame, reach: int, step: int = DAY) -> DataFrame:
     """symbol, slot (number of the step), open and close of the last bar at or before it, and running sums.
 
@@ -130,24 +116,6 @@ def returns_by_slot(slots: DataFrame, ladder: dict[str, int], step: int = DAY, a
     )
 
 
-def releases_by_slot(releases: DataFrame, pairs: DataFrame, ladder: dict[str, int], reach: int) -> DataFrame:
-    """How many releases of an indicator the window of each horizon holds at every slot."""
-    own = releases.select("indicator", day_number(F.col("ts")).alias("slot")).groupBy("indicator", "slot").agg(F.count("*").alias("k"))
-    span = own.groupBy("indicator").agg(F.min("slot").alias("a"), F.max("slot").alias("b"))
-    slots = span.select("indicator", F.explode(F.sequence(F.col("a") - reach, F.col("b") + reach)).alias("slot"))
-    w = Window.partitionBy("indicator").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    upto = slots.join(own, ["indicator", "slot"], "left").select("indicator", "slot", F.coalesce(F.sum("k").over(w), F.lit(0)).alias("upto"), F.coalesce("k", F.lit(0)).alias("here"))
-    asked = upto.crossJoin(ladder_table(upto, ladder)).withColumn("days", (F.col("seconds") / DAY).cast("int"))
-    # after the release both ends count; before it the window ends where the release's own bar opens
-    asked = asked.withColumn("hi", F.when(F.col("days") >= 0, F.col("slot") + F.col("days")).otherwise(F.col("slot") - 1))
-    asked = asked.withColumn("lo", F.when(F.col("days") >= 0, F.col("slot") - 1).otherwise(F.col("slot") + F.col("days") - 1))
-    high = upto.select("indicator", F.col("slot").alias("hi"), F.col("upto").alias("u_hi"))
-    low = upto.select("indicator", F.col("slot").alias("lo"), F.col("upto").alias("u_lo"))
-    met = asked.join(high, ["indicator", "hi"], "left").join(low, ["indicator", "lo"], "left")
-    held = F.coalesce("u_hi", F.lit(0)) - F.coalesce("u_lo", F.lit(0))
-    return met.select("indicator", "slot", "horizon", held.alias("held"), F.when(F.col("days") >= 0, F.col("here")).otherwise(0).alias("own"))
-
-
 def event_windows(bars: DataFrame, releases: DataFrame, pairs: DataFrame, ladder: dict[str, int] = DAY_LADDER, step: int = DAY) -> DataFrame:
     """One row per release, symbol and horizon: ret, n_bars, bars_expected, realized_vol, mfe, mae, usable.
 
@@ -172,51 +140,8 @@ def event_windows(bars: DataFrame, releases: DataFrame, pairs: DataFrame, ladder
     )
 
 
-def matched_baseline(
-    bars: DataFrame, releases: DataFrame, pairs: DataFrame, windows: DataFrame, ladder: dict[str, int] = DAY_LADDER, rule: BaselineRule = BaselineRule()
-) -> DataFrame:
-    """windows with baseline_mean, baseline_sd, baseline_abs_mean and baseline_n of each usable row.
-
-    The same weekday of the preceding weeks, at most ``weeks`` of them from ``lookback``. A slot that holds
-    more of the indicator's releases than the event's own window does is replaced by the same hour one day
-    before or after, then two (not on weekends); no slot's window reaches the event.
-    """
-    reach = max(abs(s) for s in ladder.values()) // DAY + 1
-    measured = returns_by_slot(grid(bars, reach), ladder).where("ret is not null").select("symbol", "slot", "horizon", "ret")
-    held = releases_by_slot(releases, pairs, ladder, 7 * rule.lookback + 3 + reach)
-    candidates = held.join(F.broadcast(pairs), "indicator").join(measured, ["symbol", "slot", "horizon"])
-    # the five stand-ins of a slot as one array, in the order in which they are tried
-    shift = F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(s).alias("shift")) for i, s in enumerate(SHIFTS)]))
-    spread = candidates.select("indicator", "symbol", "horizon", "slot", "held", "ret", shift.alias("s"))
-    weekend = F.pmod(F.col("slot") + 3, F.lit(7)) >= 5
-    spread = spread.where((F.col("s.shift") == 0) | ~weekend).withColumn("week_slot", F.col("slot") - F.col("s.shift"))
-    stand_ins = spread.groupBy("indicator", "symbol", "horizon", "week_slot").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("s.turn").alias("turn"), "slot", "held", "ret"))).alias("c")
-    )
-    own = held.select("indicator", "slot", "horizon", (F.col("held") - F.col("own")).alias("allowed"))
-    asked = windows.where("usable").join(own, ["indicator", "slot", "horizon"], "left")
-    asked = asked.select("indicator", "symbol", "slot", "horizon", "seconds", F.coalesce("allowed", F.lit(0)).alias("allowed"))
-    weeks = asked.withColumn("week", F.explode(F.sequence(F.lit(1), F.lit(rule.lookback))))
-    met = weeks.withColumn("week_slot", F.col("slot") - 7 * F.col("week")).join(stand_ins, ["indicator", "symbol", "horizon", "week_slot"])
-    far = F.greatest(F.lit(0), F.col("seconds") / DAY).cast("int")
-    fits = F.filter("c", lambda x: (x["slot"] + far < F.col("slot")) & (x["held"] <= F.col("allowed")))
-    found = met.withColumn("v", F.get(fits, F.lit(0))["ret"]).where("v is not null")
-    nearest = F.slice(F.sort_array(F.collect_list(F.struct("week", "v"))), 1, rule.weeks)
-    taken = found.groupBy("indicator", "symbol", "slot", "horizon").agg(F.transform(nearest, lambda x: x["v"]).alias("v"))
-    n = F.size("v")
-    total = lambda f: F.aggregate("v", F.lit(0.0), lambda a, x: a + f(x))
-    mean = total(lambda x: x) / n
-    taken = taken.withColumn("m", mean).withColumn("ss", F.aggregate("v", F.lit(0.0), lambda a, x: a + (x - F.col("m")) * (x - F.col("m"))))
-    enough = n >= rule.least
-    stats = taken.select(
-        "indicator", "symbol", "slot", "horizon", n.alias("baseline_n"), F.when(enough, F.col("m")).alias("baseline_mean"),
-        F.when(enough, F.sqrt(F.col("ss") / (n - 1))).alias("baseline_sd"), F.when(enough, total(F.abs) / n).alias("baseline_abs_mean"),
-    )
-    return windows.join(stats, ["indicator", "symbol", "slot", "horizon"], "left").withColumn("baseline_n", F.coalesce("baseline_n", F.lit(0)))
-
-
-def impacts(baselined: DataFrame, shocks: DataFrame) -> DataFrame:
-    """abnormal_ret, abs_excess, abs_ratio, standardised, is_outlier and outlier_reason of each usable row."""
+def impacts(baselined: DataFrame, shocks: DataFrame, step: int = DAY) -> DataFrame:
+    """abnormal_ret, abs_excess, abs_ratio, standardised, is_outlier and outlier_reason of each usable row; step is the bars' length."""
     rows = baselined.where("usable").select(
         "*",
         F.abs("ret").alias("abs_ret"),
@@ -226,11 +151,11 @@ def impacts(baselined: DataFrame, shocks: DataFrame) -> DataFrame:
         ((F.col("ret") - F.col("baseline_mean")) / F.nullif("baseline_sd", F.lit(0.0))).alias("standardised"),
     )
     flagged = mad_outliers(rows, "abnormal_ret", ["indicator", "symbol", "horizon"], "far")
-    days = (F.col("seconds") / DAY).cast("int")
+    slots = (F.col("seconds") / step).cast("int")
     # shocks are a handful, named by hand: all of them stand beside each row, in order
-    known = shocks.select(F.struct(day_number(F.col("shock_ts")).alias("slot"), "label").alias("s")).agg(F.sort_array(F.collect_list("s")).alias("shocks"))
+    known = shocks.select(F.struct(slot_of(F.col("shock_ts"), step).alias("slot"), "label").alias("s")).agg(F.sort_array(F.collect_list("s")).alias("shocks"))
     # windows are widened to whole bars
-    first, last = F.least(F.col("slot"), F.col("slot") + days), F.greatest(F.col("slot"), F.col("slot") + days)
+    first, last = F.least(F.col("slot"), F.col("slot") + slots), F.greatest(F.col("slot"), F.col("slot") + slots)
     met = F.get(F.filter("shocks", lambda s: (s["slot"] >= first) & (s["slot"] <= last)), F.lit(0))["label"]
     hit = flagged.crossJoin(F.broadcast(known)).withColumn("label", met)
     reason = F.when(F.col("label").isNotNull(), F.concat(F.lit("window contains: "), "label")).when(F.col("far"), "far from the median")

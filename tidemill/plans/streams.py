@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.operators.shared import new_folder
 from tidemill.plans.registry import H1, TICKS, query, rounded
 from tidemill.sources import tables
 from tidemill.streaming import live
 
 
-def _folder(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
-        base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 #: When the tick comes that closes all windows before it.
 CLOSING_TS = "2200-01-01 00:00:00"
 
@@ -43,7 +30,7 @@ def _stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
 @query(f"WITH {H1} SELECT symbol, bar_ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, tick_count FROM h1")
 def stream_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly candles, from the stream alone."""
-    folder = _folder(spark)
+    folder = new_folder(spark, "stream")
     closed = live.run_available(live.closed_candles(_stream(spark, sf_dir, folder), "1 hour"), f"{folder}/out", f"{folder}/state")
     return rounded(closed, 6, "open", "high", "low", "close")
 
@@ -56,7 +43,7 @@ SELECT symbol, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM c GRO
 @query(_SESSIONS)
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches without three minutes of silence, from the stream alone."""
-    folder = _folder(spark)
+    folder = new_folder(spark, "stream")
     return live.run_available(live.sessions(_stream(spark, sf_dir, folder)), f"{folder}/out", f"{folder}/state")
 
 

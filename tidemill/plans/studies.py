@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import statistics
 from tidemill.functions.literals import literal_table
-from tidemill.operators import bars, study, summaries, validation
+from tidemill.operators import bars, baseline, study, summaries, validation
 from tidemill.plans.markets import d1, h1
 from tidemill.plans.registry import D1, H1, PAIRS, RELEASES, TICKS, query, rounded
 from tidemill.sources import tables
@@ -100,7 +100,17 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.drop("slot", "seconds", "mfe", "mae"), 6, "ret", "realized_vol")
 
 
-def _inner_sql(step: int, rungs: dict[str, int]) -> str:
+#: Validation on events: an indicator is an event type, its releases are the user's large events, all thirty days are used.
+_GRADE_PAIRS = [("click", "click"), ("view", "view"), ("purchase", "purchase"), ("signup", "signup"), ("error", "error")]
+
+
+def _alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.table(spark, sf_dir, "events")
+    mark = F.get_json_object("props", "$.k").cast("int")
+    return e.where(mark >= 90).select(F.col("event_type").alias("indicator"), "ts", (F.col("user_id") % 3).cast("int").alias("importance"), "event_id")
+
+
+def _inner_ctes(step: int, rungs: dict[str, int]) -> str:
     """Windows by their definition: bars of the closed interval, prices as of its ends."""
     from tidemill.plans.markets import _open_seconds
 
@@ -113,8 +123,11 @@ e1 AS (SELECT e0.*, a.open AS a_open FROM e0 ASOF LEFT JOIN b a ON a.symbol = e0
 e2 AS (SELECT e1.*, o.open AS o_open, o.close AS o_close FROM e1 ASOF LEFT JOIN b o ON o.symbol = e1.symbol AND e1.far >= o.bar_ts),
 n AS (SELECT e0.symbol, e0.ts, e0.horizon, count(b.symbol) AS n_bars, max(high) AS top, min(low) AS bottom, sqrt(sum(ln(close / open) ** 2)) AS rv FROM e0 LEFT JOIN b ON b.symbol = e0.symbol AND b.bar_ts BETWEEN t1 AND t2 GROUP BY ALL),
 w AS (SELECT e2.*, n_bars, top, bottom, rv, greatest(1, ({_open_seconds('t2')} - {_open_seconds('t1')}) // {step})::BIGINT AS bars_expected, CASE WHEN seconds >= 0 THEN ln(o_close / a_open) ELSE ln(a_open / o_open) END AS r FROM e2 JOIN n USING (symbol, ts, horizon)),
-u AS (SELECT *, coalesce(r IS NOT NULL AND n_bars >= 0.6 * bars_expected, false) AS usable FROM w)
-SELECT indicator, symbol, ts, horizon, n_bars, bars_expected, CASE WHEN usable THEN round(r, 6) END AS ret, CASE WHEN usable AND n_bars > 1 THEN round(rv, 6) END AS realized_vol,
+u AS (SELECT *, coalesce(r IS NOT NULL AND n_bars >= 0.6 * bars_expected, false) AS usable FROM w)"""
+
+
+def _inner_sql(step: int, rungs: dict[str, int]) -> str:
+    return _inner_ctes(step, rungs) + """ SELECT indicator, symbol, ts, horizon, n_bars, bars_expected, CASE WHEN usable THEN round(r, 6) END AS ret, CASE WHEN usable AND n_bars > 1 THEN round(rv, 6) END AS realized_vol,
 CASE WHEN usable AND n_bars > 0 THEN round(ln(top / a_open), 6) END AS mfe, CASE WHEN usable AND n_bars > 0 THEN round(ln(bottom / a_open), 6) END AS mae, usable FROM u"""
 
 
@@ -143,7 +156,7 @@ def event_windows_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _baselined(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, r, p = d1(spark, sf_dir), tables.releases(spark, sf_dir), _pairs(spark)
-    return study.matched_baseline(b, r, p, study.event_windows(b, r, p))
+    return baseline.matched_baseline(b, r, p, study.event_windows(b, r, p))
 
 
 _BASE = _study_sql(""", rs AS (SELECT indicator, (epoch(ts)::BIGINT // 86400) AS slot FROM releases),
@@ -179,14 +192,19 @@ def _impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.impacts(_baselined(spark, sf_dir), shocks)
 
 
-_IMPACTS = _BASE + """, im0 AS (SELECT *, ret0 AS ret, ret0 - bm AS ab, abs(ret0) - ba AS ae FROM bl WHERE usable),
+def _impacts_sql(step: int, shocks: list[tuple[str, str]]) -> str:
+    named = ", ".join(f"(epoch(TIMESTAMP '{t}')::BIGINT // {step}, '{label}')" for t, label in shocks)
+    return """, im0 AS (SELECT *, ret0 AS ret, ret0 - bm AS ab, abs(ret0) - ba AS ae FROM bl WHERE usable),
 md AS (SELECT indicator, symbol, horizon, quantile_cont(ab, 0.5) AS m FROM im0 GROUP BY ALL), aw AS (SELECT im0.*, abs(ab - m) AS d FROM im0 JOIN md USING (indicator, symbol, horizon)),
 mm AS (SELECT indicator, symbol, horizon, quantile_cont(d, 0.5) * 1.4826 AS s, count(d) AS nd FROM aw GROUP BY ALL),
-sh(sslot, label) AS (VALUES (epoch(TIMESTAMP '1997-03-17')::BIGINT // 86400, 'floor removed'), (epoch(TIMESTAMP '1999-08-02')::BIGINT // 86400, 'flash crash')),
+sh(sslot, label) AS (VALUES """ + named + """),
 im AS (SELECT aw.*, (SELECT first('window contains: ' || label ORDER BY sslot) FROM sh WHERE sslot BETWEEN least(slot, slot + days) AND greatest(slot, slot + days)) AS shock,
   coalesce(nd >= 5 AND d / nullif(s, 0) > 10, false) AS far FROM aw JOIN mm USING (indicator, symbol, horizon))"""
 
 
+_IMPACTS = _BASE + _impacts_sql(study.DAY, tables.SHOCKS)
+
+
 @query(_IMPACTS + """ SELECT indicator, symbol, ts, horizon, round(ab, 6) + 0.0::DOUBLE AS abnormal_ret, round(ae, 6) + 0.0::DOUBLE AS abs_excess, round(ab / nullif(bsd, 0), 4) + 0.0::DOUBLE AS standardised,
   coalesce(shock, CASE WHEN far THEN 'far from the median' END) AS outlier_reason FROM im""")
 def event_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,23 +212,84 @@ def event_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(out, 6, "abnormal_ret", "abs_excess"), 4, "standardised")
 
 
-_POOL = _IMPACTS + """, pl AS (SELECT indicator, symbol, horizon, days, count(*) AS n, quantile_cont(nullif(baseline_n, 0), 0.5)::INT AS baseline_n, avg(ab) AS ma, stddev_samp(ab) AS sd, avg((ab > 0)::INT) AS hr,
+_POOLED = """, pl AS (SELECT indicator, symbol, horizon, days, count(*) AS n, floor(quantile_cont(nullif(baseline_n, 0), 0.5))::INT AS baseline_n, avg(ab) AS ma, stddev_samp(ab) AS sd, avg((ab > 0)::INT) AS hr,
   avg(ae) AS me, stddev_samp(ae) AS sde, sum(abs(ret)) FILTER (ba <> 0) / nullif(sum(ba) FILTER (ba <> 0), 0) AS ratio FROM im WHERE ab IS NOT NULL GROUP BY ALL),
 pt AS (SELECT *, CASE WHEN n >= 2 AND sd > 0 THEN sd / sqrt(n) END AS se, CASE WHEN n >= 2 AND sde > 0 THEN sde / sqrt(n) END AS ase FROM pl),
 pv AS (SELECT *, (SELECT """ + _P + """ FROM (SELECT me / ase AS t, (n - 1)::INT AS v)) AS ap FROM pt),
 rk AS (SELECT *, row_number() OVER (PARTITION BY indicator, symbol ORDER BY ap) AS k, count(ap) OVER (PARTITION BY indicator, symbol) AS m FROM pv),
 cv AS (SELECT *, least(1, min(ap * m / k) OVER (PARTITION BY indicator, symbol ORDER BY k DESC)) AS q FROM rk)"""
+_POOL = _IMPACTS + _POOLED
 
 
-@query(_POOL + """ SELECT indicator, symbol, horizon, n, baseline_n, round(CASE WHEN n >= 20 THEN ma END, 6) AS mean_abnormal, round(CASE WHEN n >= 20 THEN se END, 6) AS std_error,
+def _curve_sql(step: int) -> str:
+    return f""" SELECT indicator, symbol, horizon, n, baseline_n, round(CASE WHEN n >= 20 THEN ma END, 6) AS mean_abnormal, round(CASE WHEN n >= 20 THEN se END, 6) AS std_error,
   round(CASE WHEN n >= 20 THEN hr END, 6) AS hit_rate, round(CASE WHEN n >= 20 THEN me END, 6) AS mean_abs_excess, round(CASE WHEN n >= 20 THEN ap END, 5) AS abs_p_value,
   round(CASE WHEN n >= 20 THEN q END, 5) AS abs_p_fdr, round(CASE WHEN n >= 20 THEN ratio END, 6) AS abs_ratio, round(2.8 * se, 6) AS detectability_floor,
-  CASE WHEN abs(days) * 24 <= 4 THEN 'high' WHEN abs(days) * 24 <= 72 THEN 'medium' ELSE 'low' END AS attribution FROM cv""")
+  CASE WHEN abs(days) * {step} <= 4 * 3600 THEN 'high' WHEN abs(days) * {step} <= 72 * 3600 THEN 'medium' ELSE 'low' END AS attribution FROM cv"""
+
+
+@query(_POOL + _curve_sql(study.DAY))
 def decay_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = study.decay_curve(_impacts(spark, sf_dir), ["indicator", "symbol"]).drop("seconds", "p_value", "abs_std_error")
+    return _curve(_impacts(spark, sf_dir))
+
+
+def _curve(found: DataFrame) -> DataFrame:
+    out = study.decay_curve(found, ["indicator", "symbol"]).drop("seconds", "p_value", "abs_std_error")
     return rounded(rounded(out, 6, "mean_abnormal", "std_error", "hit_rate", "mean_abs_excess", "abs_ratio", "detectability_floor"), 5, "abs_p_value", "abs_p_fdr")
 
 
+#: A shock among the events, which lie in one month.
+_EVENT_SHOCKS = [("2024-01-17 12:00:00", "outage")]
+
+
+def _fine_base(step: int, rungs: dict[str, int]) -> str:
+    """The matched baseline by its definition, on bars of ``step`` seconds: weeks from the nearest, stand-ins of a week in order."""
+    held = "len(list_filter(l, lambda x: x >= least({m}, {m} + seconds * INTERVAL 1 SECOND) AND CASE WHEN seconds < 0 THEN x < {m} ELSE x <= {m} + seconds * INTERVAL 1 SECOND END{own}))"
+    return _inner_ctes(step, rungs) + f""", rs AS (SELECT indicator, list(ts ORDER BY ts) AS l FROM ev GROUP BY 1), fb AS (SELECT symbol, min(bar_ts) AS t FROM b GROUP BY 1),
+us AS (SELECT u.*, {held.format(m='ts', own=' AND x <> ts')} AS allowed, fb.t AS first_bar FROM u JOIN rs USING (indicator) JOIN fb USING (symbol) WHERE usable),
+tq AS MATERIALIZED (SELECT us.*, wk, turn, shift, ts - wk * INTERVAL 7 DAY + shift * INTERVAL 1 DAY AS m FROM us CROSS JOIN range(1, 49) t(wk) CROSS JOIN (VALUES (0, 0), (1, -1), (2, 1), (3, -2), (4, 2)) s(turn, shift)
+  WHERE ts - wk * INTERVAL 7 DAY + shift * INTERVAL 1 DAY + least(seconds, 0) * INTERVAL 1 SECOND >= first_bar),
+tm AS (SELECT tq.* FROM tq JOIN rs USING (indicator) WHERE (shift = 0 OR isodow(m) < 6) AND m + greatest(seconds, 0) * INTERVAL 1 SECOND < ts AND {held.format(m='m', own='')} <= allowed),
+t1 AS (SELECT tm.*, m + seconds * INTERVAL 1 SECOND AS mf, a.open AS ma FROM tm ASOF JOIN b a ON a.symbol = tm.symbol AND tm.m >= a.bar_ts),
+tr AS (SELECT t1.*, CASE WHEN seconds >= 0 THEN ln(o.close / ma) ELSE ln(ma / o.open) END AS v FROM t1 ASOF JOIN b o ON o.symbol = t1.symbol AND t1.mf >= o.bar_ts),
+tk AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY indicator, symbol, ts, horizon, wk ORDER BY turn) = 1),
+tn AS (SELECT *, row_number() OVER (PARTITION BY indicator, symbol, ts, horizon ORDER BY wk) AS n FROM tk),
+bs AS (SELECT indicator, symbol, ts, horizon, count(*) AS bn, avg(v) AS bm, stddev_samp(v) AS bsd, avg(abs(v)) AS ba FROM tn WHERE n <= 12 GROUP BY ALL),
+bl AS (SELECT u.indicator, u.symbol, u.ts, u.horizon, u.seconds, epoch(u.ts)::BIGINT // {step} AS slot, (u.seconds // {step})::INT AS days, usable, r AS ret0, coalesce(bn, 0)::INT AS baseline_n,
+  CASE WHEN bn >= 3 THEN bm END AS bm, CASE WHEN bn >= 3 THEN bsd END AS bsd, CASE WHEN bn >= 3 THEN ba END AS ba FROM u LEFT JOIN bs USING (indicator, symbol, ts, horizon))"""
+
+
+def _fine_baselined(spark: SparkSession, sf_dir: str, step: int, rungs: dict[str, int]) -> DataFrame:
+    b = bars.ticks_to_bars(tables.ticks(spark, sf_dir), step)
+    r = _alarms(spark, sf_dir).select("indicator", "ts").distinct()
+    pairs = literal_table(spark, _GRADE_PAIRS, ["indicator", "symbol"], ["string", "string"])
+    return baseline.matched_baseline(b, r, pairs, study.event_windows(b, r, pairs, rungs, step))
+
+
+def _fine_impacts(spark: SparkSession, sf_dir: str, step: int, rungs: dict[str, int]) -> DataFrame:
+    shocks = literal_table(spark, _EVENT_SHOCKS, ["shock_ts", "label"], ["timestamp_ntz", "string"])
+    return study.impacts(_fine_baselined(spark, sf_dir, step, rungs), shocks, step)
+
+
+@query(_fine_base(study.HOUR, _HOUR_RUNGS) + " SELECT indicator, symbol, ts, horizon, baseline_n, round(bm, 6) AS baseline_mean, round(bsd, 6) AS baseline_sd, round(ba, 6) AS baseline_abs_mean FROM bl")
+def matched_baseline_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normal of every rung that hourly bars can answer, for moments within the hour."""
+    out = _fine_baselined(spark, sf_dir, study.HOUR, _HOUR_RUNGS).select("indicator", "symbol", "ts", "horizon", "baseline_n", "baseline_mean", "baseline_sd", "baseline_abs_mean")
+    return rounded(out, 6, "baseline_mean", "baseline_sd", "baseline_abs_mean")
+
+
+@query(_fine_base(study.HOUR, _HOUR_RUNGS) + _impacts_sql(study.HOUR, _EVENT_SHOCKS) + _POOLED + _curve_sql(study.HOUR))
+def decay_curve_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curve of the rungs from an hour on, on hourly bars."""
+    return _curve(_fine_impacts(spark, sf_dir, study.HOUR, _HOUR_RUNGS))
+
+
+@query(_fine_base(study.MINUTE, _MINUTE_RUNGS) + _impacts_sql(study.MINUTE, _EVENT_SHOCKS) + _POOLED + _curve_sql(study.MINUTE))
+def decay_curve_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curve of the rungs below an hour, on minute bars."""
+    return _curve(_fine_impacts(spark, sf_dir, study.MINUTE, _MINUTE_RUNGS))
+
+
 _GATED = _POOL + """, c AS (SELECT indicator, symbol, horizon, days * 86400 AS seconds, n, CASE WHEN n >= 20 THEN me END AS eff, CASE WHEN n >= 20 THEN q END AS q, CASE WHEN n >= 20 THEN ratio END AS ratio FROM cv)"""
 
 
@@ -267,16 +346,6 @@ def direction_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("indicator", "symbol", "horizon", "n", "n_up", "n_down", "beta", "r_squared", "std_error", "beta_up", "beta_down"), 5, "beta", "r_squared", "std_error", "beta_up", "beta_down")
 
 
-#: Validation on events: an indicator is an event type, its releases are the user's large events, all thirty days are used.
-_GRADE_PAIRS = [("click", "click"), ("view", "view"), ("purchase", "purchase"), ("signup", "signup"), ("error", "error")]
-
-
-def _alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = tables.table(spark, sf_dir, "events")
-    mark = F.get_json_object("props", "$.k").cast("int")
-    return e.where(mark >= 90).select(F.col("event_type").alias("indicator"), "ts", (F.col("user_id") % 3).cast("int").alias("importance"), "event_id")
-
-
 def _grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _alarms(spark, sf_dir)
     pairs = r.select("indicator", F.col("indicator").alias("symbol")).distinct()
