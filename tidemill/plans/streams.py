@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.operators.bars import ticks_to_bars
 from tidemill.operators.shared import new_folder
 from tidemill.plans.registry import H1, TICKS, query, rounded
 from tidemill.sources import tables
 from tidemill.streaming import live
+from tidemill.streaming.days import Days, added_up
+from tidemill.streaming.tail import GrowingCsv
 
 
 #: When the tick comes that closes all windows before it.
@@ -61,3 +64,48 @@ def candles_at_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a replay shows at a moment."""
     shown = live.forming(tables.ticks(spark, sf_dir), "2024-01-15 12:30:00", 3600)
     return rounded(shown.select("symbol", "bar_ts", "close", "tick_count", "complete"), 6, "close")
+
+
+_H1_ROWS = f"WITH {H1} SELECT symbol, bar_ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, tick_count FROM h1"
+
+
+@query(_H1_ROWS)
+def stream_growing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly candles from lines that a feed appends: half a month's files, a run of the stream, the rest, and the stream again."""
+    folder = new_folder(spark, "growing")
+    spark.dataSource.register(GrowingCsv)
+    ticks = tables.ticks(spark, sf_dir).select("id", "symbol", F.unix_micros(F.to_timestamp_ltz("ts")).alias("ts_us"), "bid", "ask")
+    middle = ticks.agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("z")).select(((F.col("a") + F.col("z")) / 2).cast("long").alias("m")).first()["m"]
+    schema = "id long, symbol string, ts_us long, bid double, ask double"
+    for half in (F.col("ts_us") < middle, F.col("ts_us") >= middle):
+        ticks.where(half).write.mode("append").option("header", True).csv(f"{folder}/live")
+        lines = spark.readStream.format("growing_csv").schema(schema).load(f"{folder}/live")
+        read = live.run_available(lines, f"{folder}/out", f"{folder}/state")
+    seen = read.withColumn("ts", F.timestamp_micros("ts_us").cast("timestamp_ntz"))
+    candles = ticks_to_bars(seen, 3600).select("symbol", "bar_ts", "open", "high", "low", "close", "tick_count")
+    return rounded(candles, 6, "open", "high", "low", "close")
+
+
+def _late_days(spark: SparkSession, sf_dir: str) -> Days:
+    """The ticks in an order that has nothing to do with time, in four files, one a batch."""
+    folder = new_folder(spark, "days")
+    ticks = tables.ticks(spark, sf_dir)
+    ticks.repartition(4, F.xxhash64("id")).write.parquet(f"{folder}/in")
+    table = Days(spark, f"{folder}/days", 3600)
+    stream = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    writer = stream.writeStream.foreachBatch(table.apply).option("checkpointLocation", f"{folder}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return table
+
+
+@query(_H1_ROWS)
+def stream_late_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly candles, each day replaced by every batch that brings ticks of it."""
+    candles = _late_days(spark, sf_dir).candles()
+    return rounded(candles.drop("day"), 6, "open", "high", "low", "close")
+
+
+@query(_H1_ROWS)
+def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the frames: only candles that a batch has changed leave it, and the last of each is the table."""
+    return rounded(added_up(_late_days(spark, sf_dir).frames()), 6, "open", "high", "low", "close")
