@@ -81,3 +81,31 @@ def test_late_ticks_replace_their_day_once(spark, tmp_path):
     assert sorted(map(tuple, table.candles().select(*days.CANDLE).collect())) == want
     assert sorted(map(tuple, days.added_up(table.frames()).select(*days.CANDLE).collect())) == want
     assert sizes[2] == 0 and all(sizes[n] for n in (0, 1, 3))
+
+
+def test_months_are_computed_again_only_when_they_change(spark, tmp_path):
+    from tidemill.sources.months import MonthStore
+
+    rows = [(f"2024-0{m}", k, float(k * m)) for m in (1, 2, 3) for k in range(20)] + [(None, 1, 1.0)]
+    kind = "m string, k int, v double"
+    store, runs = MonthStore(spark, str(tmp_path / "months")), []
+
+    def derive(own):
+        runs.append(sorted({r["m"] for r in own.select("m").distinct().collect()}))
+        return own.groupBy(F.col("m").alias("month")).agg(F.sum("v").alias("total"))
+
+    def refresh(data):
+        return store.refresh(spark.createDataFrame(data, kind), F.col("m"), derive)
+
+    read = lambda: {r["month"]: r["total"] for r in store.read("total double").collect()}
+    assert store.read("total double").count() == 0 and refresh([]) == []
+    assert refresh(rows) == ["2024-01", "2024-02", "2024-03"] and store.latest() == 1
+    files = sorted(p for p in (tmp_path / "months").rglob("*") if p.is_file())
+    assert refresh(rows[::-1]) == [] and files == sorted(p for p in (tmp_path / "months").rglob("*") if p.is_file())  # in another order: nothing to do
+    rows[25] = ("2024-02", 5, 11.5)
+    assert refresh(rows) == ["2024-02"] and runs[-1] == ["2024-02"]
+    assert read() == {m: sum(v for x, _, v in rows if x == m) for m in ("2024-01", "2024-02", "2024-03")}
+    assert store.sweep() == 1 and store.sweep() == 0 and len(read()) == 3
+    assert refresh([r for r in rows if r[0] != "2024-01"]) == [] and sorted(read()) == ["2024-02", "2024-03"]
+    (tmp_path / "months" / "manifest" / "n=9").mkdir()  # a manifest that was never finished
+    assert sorted(read()) == ["2024-02", "2024-03"]

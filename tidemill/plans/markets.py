@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import clock
 from tidemill.functions.literals import literal_table
 from tidemill.operators import asof, bars, execution, market
-from tidemill.plans.registry import D1, FROM_NY, H1, NY, TICKS, query, rounded
+from tidemill.operators.shared import new_folder, settled
+from tidemill.plans.registry import D1, FROM_NY, H1, NY, ORACLES, TICKS, query, rounded
 from tidemill.sources import tables
+from tidemill.sources.months import MonthStore
 
 
 def h1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -465,3 +467,25 @@ SELECT symbol, bar_ts, CASE WHEN lag(side) OVER (PARTITION BY symbol ORDER BY ba
 def structure_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breaks of structure on hourly bars."""
     return rounded(market.structure(h1(spark, sf_dir)), 6, "level")
+
+
+def _strength_of(spark: SparkSession, hourly: DataFrame) -> DataFrame:
+    pairs = literal_table(spark, CURRENCIES, ["symbol", "base", "quote"], ["string"] * 3)
+    found = market.strength(market.period_moves(hourly, clock.fx_day_start(F.col("bar_ts"))), pairs)
+    return found.withColumn("month", _fx_month())
+
+
+def _fx_month() -> Column:
+    """The month of the market day's start: a day and its strength lie in one month."""
+    return F.date_format(clock.fx_day_start(F.col("bar_ts")), "yyyy-MM")
+
+
+@query(ORACLES["strength_day"])
+def strength_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strength over the market day, from a store that is filled up to the middle of the ticks and then brought up to date."""
+    store = MonthStore(spark, new_folder(spark, "strength"))
+    hourly = settled(h1(spark, sf_dir))
+    middle = hourly.agg(F.min("bar_ts").alias("a"), F.max("bar_ts").alias("z")).select(F.timestamp_seconds((clock.epoch(F.col("a")) + clock.epoch(F.col("z"))) / 2).cast("timestamp_ntz").alias("m")).first()["m"]
+    for rows in (hourly.where(F.col("bar_ts") < F.lit(middle)), hourly):
+        store.refresh(rows, _fx_month(), lambda own: _strength_of(spark, own))
+    return rounded(store.read("bar_ts timestamp_ntz, currency string, won long, played long, strength double").drop("month"), 6, "strength")
