@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions import clock
 from tidemill.operators.asof import asof_backward
 
 #: A later source counts only if it is more current by more than this.
@@ -54,6 +55,39 @@ def co_timed(releases: DataFrame, most: int = 6) -> DataFrame:
     return n.withColumn("place", place).where(F.col("place") <= most)
 
 
+def neighbours_at_offset(grades: DataFrame, verdicts: DataFrame, releases: DataFrame, least: int = 2, most: int = 6) -> DataFrame:
+    """Per indicator with a modal offset: the other indicators whose releases of at least that importance fall into the hours in
+    which its spikes land, by their number, ties by name.
+
+    The hours are those of its releases that were graded with that offset, moved by it. A neighbour is counted once for each of
+    its releases, however many spikes share its hour.
+    """
+    hour = lambda ts, minutes=F.lit(0): F.floor((clock.epoch(ts) + minutes * 60) / 3600)
+    modal = verdicts.where("modal_offset <> 0").select("indicator", "modal_offset")
+    spikes = grades.where("status = 'offset'").join(modal, "indicator").where("offset_min = modal_offset")
+    hours = spikes.select("indicator", hour(F.col("ts"), F.col("modal_offset")).alias("hour")).distinct()
+    others = releases.where(F.col("importance") >= least).select(F.col("indicator").alias("neighbour"), hour(F.col("ts")).alias("hour"))
+    n = hours.join(others, "hour").where("indicator <> neighbour").groupBy("indicator", "neighbour").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("indicator").orderBy(F.col("n").desc(), "neighbour"))
+    return n.withColumn("place", place).where(F.col("place") <= most)
+
+
+def source_at(ticks: DataFrame, clocks: DataFrame, order: list[str]) -> DataFrame:
+    """For each clock (clock_id, symbol, clock_ts) the source whose last tick at or before it counts, and that tick's time.
+
+    ticks: symbol, source, ts. Sources are taken as listed: a later one wins if it is more current by more than five minutes, and
+    once the chosen one has a tick in the clock's market day no later one is looked at. A clock without a tick has no row.
+    """
+    each = clocks.select("clock_id", "symbol", "clock_ts", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(s).alias("source")) for i, s in enumerate(order)])).alias("s")).select("clock_id", "symbol", "clock_ts", "s.*")
+    met = asof_backward(each, ticks.select("symbol", "source", "ts"), ["symbol", "source"], "clock_ts", "ts", ["ts"]).where("ts is not null")
+    listed = met.groupBy("clock_id", "symbol", "clock_ts").agg(F.sort_array(F.collect_list(F.struct("rank", "source", "ts"))).alias("s"))
+    opened = clock.epoch_micros(clock.fx_day_start(F.col("clock_ts")))
+    micros = lambda x: F.unix_micros(F.to_timestamp_ltz(x["ts"]))
+    keep = lambda held, x: F.when((micros(held) < opened) & (micros(x) > micros(held) + SAME_TIME * 1_000_000), x).otherwise(held)
+    best = listed.withColumn("b", F.aggregate(F.slice("s", 2, len(order)), F.col("s")[0], keep))
+    return best.select("clock_id", "symbol", "clock_ts", F.col("b.source").alias("source"), F.col("b.ts").alias("last_ts"))
+
+
 def last_of(rows: DataFrame, key: list[str], unit: str, ts: str, tie: str, take: list[str]) -> DataFrame:
     """The last row of each key and unit of time."""
     at = F.date_trunc(unit, F.col(ts)).cast("timestamp_ntz").alias("unit_ts")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.functions import statistics
+from tidemill.functions import clock, statistics
 from tidemill.functions.literals import literal_table
 from tidemill.operators import bars, baseline, study, summaries, validation
 from tidemill.plans.markets import d1, h1
@@ -383,10 +383,51 @@ def blocked_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.blocked_offsets(_alarms(spark, sf_dir)).distinct()
 
 
-@query()
+def _verdict_sql(by: str, named: str) -> str:
+    tail = "round(least(1, coalesce(list_sum(list_transform(range({h}, n + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(1.0::DOUBLE / 7) + (n - k) * ln(6.0::DOUBLE / 7)))), 0)), 12)"
+    return _GRADE + f""", vt AS (SELECT {named}, status, ratio, CASE status WHEN 'confirmed_hour' THEN 0 WHEN 'offset' THEN offset_min END AS vote FROM gd),
+ct AS (SELECT {by}, vote, count(*) AS k FROM vt WHERE vote IS NOT NULL GROUP BY ALL),
+md AS (SELECT {by}, first(vote ORDER BY k DESC, abs(vote), vote) AS modal_offset, max(k) AS modal_n, sum(k)::BIGINT AS n, coalesce(sum(k) FILTER (vote = 0), 0)::BIGINT AS confirmed, max(k) FILTER (vote <> 0) AS best_off FROM ct GROUP BY ALL),
+rt2 AS (SELECT {by}, count_if(status = 'no_spike')::BIGINT AS no_spike, count_if(status = 'confounded')::BIGINT AS confounded, quantile_cont(ratio, 0.5) FILTER (vote IS NOT NULL OR status = 'no_spike') AS median_ratio FROM vt GROUP BY ALL),
+v0 AS (SELECT rt2.*, modal_offset, coalesce(n, 0) AS spiked, coalesce(confirmed, 0) AS confirmed, modal_n / n AS modal_share, coalesce(n, 0) + no_spike AS attributable,
+  {tail.format(h='modal_n')} AS modal_p, CASE WHEN best_off > 0 THEN {tail.format(h='best_off')} END AS offset_p FROM rt2 LEFT JOIN md USING ({by})),
+v1 AS (SELECT *, CASE WHEN attributable < {validation.MIN_VERDICT} THEN 'insufficient' WHEN spiked / nullif(attributable, 0) < {validation.SILENT_SHARE} THEN 'silent'
+  WHEN modal_share < {validation.MODAL_SHARE} OR modal_p >= {validation.DECISIVE_P} THEN 'scattered' WHEN modal_offset = 0 THEN 'aligned' ELSE 'offset' END AS before FROM v0),
+f0 AS (SELECT *, row_number() OVER (PARTITION BY offset_p IS NULL ORDER BY offset_p) AS fk, count(offset_p) OVER () AS fm FROM v1),
+f1 AS (SELECT *, CASE WHEN offset_p IS NOT NULL THEN least(1, min(offset_p * fm / fk) OVER (PARTITION BY offset_p IS NULL ORDER BY fk DESC)) END AS offset_p_fdr FROM f0),
+vd AS (SELECT {by}, no_spike, confounded, median_ratio, modal_offset, spiked, confirmed, modal_share, attributable, modal_p, offset_p, offset_p_fdr, before,
+  CASE WHEN before = 'offset' AND coalesce(offset_p_fdr, 1) >= {validation.DECISIVE_P} THEN 'scattered' ELSE before END AS status FROM f1)"""
+
+
+_VERDICT_COLUMNS = """no_spike, confounded, round(median_ratio, 6) AS median_ratio, modal_offset, spiked, confirmed, round(modal_share, 6) AS modal_share, attributable, round(modal_p, 6) AS modal_p, round(offset_p, 6) AS offset_p"""
+
+
+@query(_verdict_sql("indicator", "indicator") + f" SELECT indicator, {_VERDICT_COLUMNS}, round(offset_p_fdr, 6) AS offset_p_fdr, status FROM vd")
 def vol_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts per indicator after the sweep's correction; held against a plain version in the tests."""
-    return rounded(validation.sweep(validation.verdicts(_grades(spark, sf_dir), ["indicator"])), 6, "median_ratio", "modal_share", "modal_p", "offset_p", "offset_p_fdr")
+    """Verdicts per indicator after the sweep's correction."""
+    found = validation.sweep(validation.verdicts(_grades(spark, sf_dir), ["indicator"]))
+    return rounded(found, 6, "median_ratio", "modal_share", "modal_p", "offset_p", "offset_p_fdr")
+
+
+_SUMMER = "epoch(timezone('America/New_York', timezone('UTC', ts)))::BIGINT - epoch(ts)::BIGINT = -14400"
+
+
+@query(_verdict_sql("indicator, summer", f"indicator, {_SUMMER} AS summer") + f" SELECT indicator, summer, {_VERDICT_COLUMNS}, before AS status FROM vd")
+def vol_verdicts_by_season(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for summer and winter time in New York apart: a clock that is an hour off in one of them looks scattered when pooled."""
+    graded = _grades(spark, sf_dir).withColumn("summer", clock.is_summer_time(F.col("ts")))
+    return rounded(validation.verdicts(graded, ["indicator", "summer"]), 6, "median_ratio", "modal_share", "modal_p", "offset_p")
+
+
+@query(_GRADE + """, oc AS (SELECT indicator, offset_min, count(*) AS k FROM gd WHERE status = 'offset' GROUP BY ALL), om AS (SELECT indicator, first(offset_min ORDER BY k DESC, abs(offset_min), offset_min) AS m FROM oc GROUP BY 1),
+mo AS (SELECT DISTINCT gd.indicator, floor((epoch(ts) + m * 60) / 3600)::BIGINT AS hour FROM gd JOIN om USING (indicator) WHERE status = 'offset' AND offset_min = m),
+nb AS (SELECT mo.indicator, r.indicator AS neighbour, count(*) AS n FROM mo JOIN rl r ON r.hour = mo.hour AND r.indicator <> mo.indicator AND r.importance >= 2 GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY indicator ORDER BY n DESC, neighbour) AS place FROM nb QUALIFY place <= 6""")
+def offset_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What else is released in the hours in which an indicator's spikes land, at its most frequent offset."""
+    graded = _grades(spark, sf_dir)
+    moved = validation.verdicts(graded.where("status = 'offset'"), ["indicator"])
+    return summaries.neighbours_at_offset(graded, moved, _alarms(spark, sf_dir))
 
 
 #: Concept, importance and release group of each indicator.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import text
 from tidemill.operators import bars, summaries
-from tidemill.plans.registry import CLAIMS, H1, PAIRS, RELEASES, TICKS, query, rounded
+from tidemill.plans.registry import CLAIMS, FROM_NY, H1, NY, PAIRS, RELEASES, TICKS, query, rounded
 from tidemill.sources import tables
 
 CLOCK = "2024-01-15 12:30:00"
@@ -65,6 +65,22 @@ def best_source_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.best_source(days, ["symbol", "day"], ["first", "second", "third"])
 
 
+@query(f"""WITH {TICKS}, ck AS (SELECT DISTINCT symbol, ts::DATE + INTERVAL 15 HOUR AS clock_ts FROM ticks),
+l AS (SELECT ck.symbol, clock_ts, max(ts) FILTER (id % 3 = 0) AS a, max(ts) FILTER (id % 3 = 1) AS b, max(ts) FILTER (id % 3 = 2) AS c FROM ck JOIN ticks ON ticks.symbol = ck.symbol AND ts <= clock_ts GROUP BY ALL),
+o AS (SELECT *, {FROM_NY.format("(date_trunc('day', " + NY.format("clock_ts") + " - INTERVAL 17 HOUR) + INTERVAL 17 HOUR)")}::TIMESTAMP AS opened FROM l),
+x AS (SELECT *, a IS NULL OR (a < opened AND b > a + INTERVAL 5 MINUTE) AS two FROM o),
+y AS (SELECT *, CASE WHEN two AND b IS NOT NULL THEN b ELSE a END AS m, CASE WHEN two AND b IS NOT NULL THEN 'second' ELSE 'first' END AS s FROM x),
+z AS (SELECT *, m IS NULL OR (m < opened AND c > m + INTERVAL 5 MINUTE) AS three FROM y)
+SELECT symbol, clock_ts, CASE WHEN three AND c IS NOT NULL THEN 'third' ELSE s END AS source, CASE WHEN three AND c IS NOT NULL THEN c ELSE m END AS last_ts FROM z""")
+def source_at_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed that a replay would follow at 15:00 of each day, in listed order, with a stop at the first that is in the current market day."""
+    names = F.array(F.lit("first"), F.lit("second"), F.lit("third"))
+    t = tables.ticks(spark, sf_dir).withColumn("source", F.get(names, (F.col("id") % 3).cast("int")))
+    clocks = t.select("symbol", F.timestamp_add("HOUR", F.lit(15), F.date_trunc("day", "ts").cast("timestamp_ntz")).alias("clock_ts")).distinct()
+    clocks = clocks.withColumn("clock_id", F.concat_ws("@", "symbol", F.col("clock_ts").cast("string")))
+    return summaries.source_at(t, clocks, ["first", "second", "third"]).drop("clock_id")
+
+
 @query("""SELECT c_custkey AS session, count(o_orderkey) AS trades, coalesce(sum(o_totalprice::DECIMAL(18,2)), 0)::DOUBLE AS profit, max(o_orderdate) AS newest
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
 def session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
