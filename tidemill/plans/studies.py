@@ -421,13 +421,14 @@ def vol_verdicts_by_season(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_GRADE + """, oc AS (SELECT indicator, offset_min, count(*) AS k FROM gd WHERE status = 'offset' GROUP BY ALL), om AS (SELECT indicator, first(offset_min ORDER BY k DESC, abs(offset_min), offset_min) AS m FROM oc GROUP BY 1),
 mo AS (SELECT DISTINCT gd.indicator, floor((epoch(ts) + m * 60) / 3600)::BIGINT AS hour FROM gd JOIN om USING (indicator) WHERE status = 'offset' AND offset_min = m),
-nb AS (SELECT mo.indicator, r.indicator AS neighbour, count(*) AS n FROM mo JOIN rl r ON r.hour = mo.hour AND r.indicator <> mo.indicator AND r.importance >= 2 GROUP BY ALL)
+nb AS (SELECT mo.indicator, r.indicator AS neighbour, count(*) AS n FROM mo JOIN rl r ON r.hour = mo.hour AND r.indicator <> mo.indicator AND r.importance >= 1 GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY indicator ORDER BY n DESC, neighbour) AS place FROM nb QUALIFY place <= 6""")
 def offset_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What else is released in the hours in which an indicator's spikes land, at its most frequent offset."""
     graded = _grades(spark, sf_dir)
     moved = validation.verdicts(graded.where("status = 'offset'"), ["indicator"])
-    return summaries.neighbours_at_offset(graded, moved, _alarms(spark, sf_dir))
+    # the events' importances run from 0 to 2
+    return summaries.neighbours_at_offset(graded, moved, _alarms(spark, sf_dir), least=1)
 
 
 #: Concept, importance and release group of each indicator.
