@@ -37,8 +37,9 @@ def search(releases: DataFrame, words: str | None = None, fields: tuple[str, ...
     return out
 
 
-def page(rows: DataFrame, order: str, key: str, number: int, size: int = 50, descending: bool = True) -> DataFrame:
-    """One page of rows in a stable order, nulls last either way."""
+def page(rows: DataFrame, order: str, key: str, number: int, size: int = 50, descending: bool = True, sorts: tuple[str, ...] = ()) -> DataFrame:
+    """One page of rows in a stable order, nulls last either way. sorts: the columns that may be asked for; any other orders by the first."""
+    order = order if not sorts or order in sorts else sorts[0]
     by = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last()
     return rows.orderBy(by, key).offset(size * (number - 1)).limit(size)
 

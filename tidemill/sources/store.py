@@ -35,6 +35,8 @@ def upsert_months(spark: SparkSession, path: str, frame: DataFrame) -> None:
     merged.write.mode("overwrite").parquet(staged)  # a store cannot be read and replaced in one job
     again = spark.read.schema(merged.schema).parquet(staged)
     again.repartition(*PARTS).sortWithinPartitions("bar_ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*PARTS).parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def read_range(spark: SparkSession, path: str, symbol: str, source: str, timeframe: str, start: str, end: str) -> DataFrame:
