@@ -1,4 +1,4 @@
-"""What price normally does at the hour of the week of a release: the matched baseline, for bars of any length.
+"""Windows around releases and what price normally does at their hour of the week, for bars of any length.
 
 Every symbol is cut into blocks of a year. A block gets the bars and releases that its look-ups can reach, and the last bar
 before them; inside it ordered arrays are searched week by week for all releases at once, and a release that has
@@ -87,6 +87,101 @@ def _reachable(seconds: Column, back: int, ahead: int) -> Column:
     return F.explode(F.sequence(F.floor((seconds - ahead) / BLOCK), F.floor((seconds + back) / BLOCK)))
 
 
+def range_tables(values: np.ndarray, longest: int, pick) -> list[np.ndarray]:
+    """Level j holds the extreme of the 2**j values from each place on, as far as windows of longest values need it."""
+    levels = [values]
+    while (2 << (len(levels) - 1)) <= min(longest, len(values)):
+        half = 1 << (len(levels) - 1)
+        levels.append(pick(levels[-1][:-half], levels[-1][half:]))
+    return levels
+
+
+def range_extreme(levels: list[np.ndarray], first: np.ndarray, last: np.ndarray, pick) -> np.ndarray:
+    """The extreme of the values from first to before last, NaN for empty stretches."""
+    out, n = np.full(len(first), np.nan), last - first
+    for j, level in enumerate(levels):
+        at = np.flatnonzero((n >= 1 << j) & ((n < 2 << j) | (j + 1 == len(levels))))
+        out[at] = pick(level[first[at]], level[last[at] - (1 << j)])
+    return out
+
+
+def _dealt(bars: DataFrame, asked: DataFrame, back: int, ahead: int, columns: list[str]) -> DataFrame:
+    """Bars and rows of asked (symbol, kind, t, indicator, seconds) by symbol and block of a year: the bars that look-ups reach, and the
+    last one before them. Kind 0 is a bar."""
+    null = [F.lit(None).cast("double").alias(c) for c in columns]
+    moments = asked.withColumn("block", F.explode(F.sequence(F.floor((F.col("t") / MICROS - F.col("ahead")) / BLOCK), F.floor((F.col("t") / MICROS + F.col("back")) / BLOCK))))
+    moments = moments.select("symbol", "block", "kind", "t", "indicator", "seconds", *null)
+    wanted = moments.where("kind = 2").select("symbol", "block").distinct()
+    plain = bars.select("symbol", "bar_ts", *[F.col(c).cast("double").alias(c) for c in columns])
+    at = clock.epoch(F.col("bar_ts"))
+    row = lambda block: (
+        "symbol", block.alias("block"), F.lit(0).alias("kind"), clock.epoch_micros(F.col("bar_ts")).alias("t"), F.lit(None).cast("string").alias("indicator"), F.lit(None).cast("int").alias("seconds"), *columns,
+    )
+    near = plain.select(*row(_reachable(at, back, ahead)))
+    starts = wanted.withColumn("from_ts", clock.at_seconds(F.col("block") * BLOCK - back))
+    last = asof.asof_backward(starts, plain, ["symbol"], "from_ts", "bar_ts", ["bar_ts", *columns], bucket_micros=30 * asof.DAY)
+    before = last.where("bar_ts is not null").select(*row(F.col("block")))
+    return near.union(before).union(moments.where("kind = 1")).join(wanted, ["symbol", "block"], "left_semi").union(moments.where("kind = 2"))
+
+
+def _groups(mixed: DataFrame):
+    """A group for each symbol and block, in as many tasks as a shuffle has: they compute much on few bytes, and adaptive execution would
+    put them together by their bytes."""
+    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return mixed.repartition(n, "symbol", "block").groupBy("symbol", "block")
+
+
+def _moments(rows: DataFrame, kind: int, seconds: Column, back: int = 0, ahead: int = 0) -> DataFrame:
+    return rows.select("symbol", F.lit(kind).alias("kind"), clock.epoch_micros(F.col("ts")).alias("t"), "indicator", seconds.cast("int").alias("seconds"), F.lit(back).alias("back"), F.lit(ahead).alias("ahead"))
+
+
+def _prices(group: pd.DataFrame) -> tuple[Prices, pd.DataFrame]:
+    bar = group[group.kind == 0].sort_values("t").drop_duplicates("t")
+    return Prices(bar.t.to_numpy() // MICROS, bar.open.to_numpy(), bar.close.to_numpy()), bar
+
+
+def measured(bars: DataFrame, asked: DataFrame, ladder: dict[str, int]) -> DataFrame:
+    """asked (indicator, symbol, ts; equal rows count each) with a row for every rung: horizon, seconds, ret, n_bars, realized_vol,
+    anchor, top and bottom of the closed window of bars.
+
+    ret is the log return from the price before the moment, or into it for rungs before. Moments before a symbol's first bar have no
+    anchor and no bars.
+    """
+    reach = max(abs(s) for s in ladder.values()) + 2 * DAY
+    mixed = _dealt(bars, _moments(asked.distinct(), 2, F.lit(None)), reach, reach, ["open", "high", "low", "close"])
+
+    def measure(group: pd.DataFrame) -> pd.DataFrame:
+        prices, bar = _prices(group)
+        starts = bar.t.to_numpy()
+        with np.errstate(invalid="ignore", divide="ignore"):
+            squares = np.log(bar.close.to_numpy() / bar.open.to_numpy()) ** 2
+        sums = np.concatenate([[0], np.cumsum(np.where(np.isfinite(squares), squares, 0).astype(np.longdouble))])
+        own = group[group.kind == 2]
+        t = own.t.to_numpy()
+        anchor = prices.asof(t // MICROS, prices.opens)
+        known = np.isfinite(anchor)
+        spans = {}
+        for name, seconds in ladder.items():
+            a, z = np.minimum(t, t + seconds * MICROS), np.maximum(t, t + seconds * MICROS)
+            first, last = np.searchsorted(starts, a, side="left"), np.searchsorted(starts, z, side="right")
+            spans[name] = first, np.where(known, last, first)
+        longest = max((int((z - a).max(initial=0)) for a, z in spans.values()), default=0)
+        tops, bottoms = range_tables(bar.high.to_numpy(), longest, np.maximum), range_tables(bar.low.to_numpy(), longest, np.minimum)
+        null = lambda x: pd.Series(x, index=own.index).astype(object).where(np.isfinite(x), None)
+        out = []
+        for name, (first, last) in spans.items():
+            out.append(pd.DataFrame({
+                "indicator": own.indicator, "symbol": own.symbol, "t": t, "horizon": name, "seconds": ladder[name], "ret": null(prices.returns(t, ladder[name])), "n_bars": last - first,
+                "realized_vol": np.sqrt(np.maximum((sums[last] - sums[first]).astype(float), 0.0)), "anchor": null(anchor),
+                "top": null(range_extreme(tops, first, last, np.maximum)), "bottom": null(range_extreme(bottoms, first, last, np.minimum)),
+            }))
+        return pd.concat(out)
+
+    kind = "indicator string, symbol string, t long, horizon string, seconds int, ret double, n_bars long, realized_vol double, anchor double, top double, bottom double"
+    found = _groups(mixed).applyInPandas(measure, kind)
+    return asked.withColumn("t", clock.epoch_micros(F.col("ts"))).join(found, ["indicator", "symbol", "t"]).drop("t")
+
+
 def matched_baseline(bars: DataFrame, releases: DataFrame, pairs: DataFrame, windows: DataFrame, rule: BaselineRule = BaselineRule()) -> DataFrame:
     """windows (indicator, symbol, ts, seconds, usable) with baseline_mean, baseline_sd, baseline_abs_mean and baseline_n.
 
@@ -96,27 +191,12 @@ def matched_baseline(bars: DataFrame, releases: DataFrame, pairs: DataFrame, win
     """
     reach = 31 * DAY
     back, ahead = (7 * rule.lookback + 3) * DAY + reach, reach
-    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    second = clock.epoch(F.col("ts"))
-    asked = windows.where("usable").select("symbol", "indicator", "ts", "seconds").distinct()
-    asked = asked.select("symbol", F.floor(second / BLOCK).alias("block"), F.lit(2).alias("kind"), clock.epoch_micros(F.col("ts")).alias("t"), "indicator", "seconds", none("open", "double"), none("close", "double"))
-    wanted = asked.select("symbol", "block").distinct()
-    known = releases.select("indicator", "ts").join(pairs.select("indicator", "symbol"), "indicator")
-    known = known.select("symbol", _reachable(second, back, ahead).alias("block"), F.lit(1).alias("kind"), clock.epoch_micros(F.col("ts")).alias("t"), "indicator", none("seconds", "int"), none("open", "double"), none("close", "double"))
-    plain = bars.select("symbol", "bar_ts", F.col("open").cast("double").alias("open"), F.col("close").cast("double").alias("close"))
-    at = clock.epoch(F.col("bar_ts"))
-    row = lambda block: (
-        "symbol", block.alias("block"), F.lit(0).alias("kind"), clock.epoch_micros(F.col("bar_ts")).alias("t"), none("indicator", "string"), none("seconds", "int"), "open", "close",
-    )
-    near = plain.select(*row(_reachable(at, back, ahead)))
-    starts = wanted.withColumn("from_ts", clock.at_seconds(F.col("block") * BLOCK - back))
-    last = asof.asof_backward(starts, plain, ["symbol"], "from_ts", "bar_ts", ["bar_ts", "open", "close"], bucket_micros=30 * asof.DAY)
-    before = last.where("bar_ts is not null").select(*row(F.col("block")))
-    mixed = near.union(before).union(known).join(wanted, ["symbol", "block"], "left_semi").union(asked)
+    asked = _moments(windows.where("usable").select("symbol", "indicator", "ts", "seconds").distinct(), 2, F.col("seconds"))
+    known = _moments(releases.select("indicator", "ts").join(pairs.select("indicator", "symbol"), "indicator"), 1, F.lit(None), back, ahead)
+    mixed = _dealt(bars, asked.union(known), back, ahead, ["open", "close"])
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        bar = group[group.kind == 0].sort_values("t").drop_duplicates("t")
-        prices = Prices(bar.t.to_numpy() // MICROS, bar.open.to_numpy(), bar.close.to_numpy())
+        prices, _ = _prices(group)
         times = {k: np.sort(g.t.to_numpy()) for k, g in group[group.kind == 1].groupby("indicator")}
         out = []
         for (indicator, seconds), g in group[group.kind == 2].groupby(["indicator", "seconds"]):
@@ -137,6 +217,6 @@ def matched_baseline(bars: DataFrame, releases: DataFrame, pairs: DataFrame, win
         return pd.concat(out) if out else pd.DataFrame(columns=["indicator", "symbol", "t", "seconds", "baseline_n", "baseline_mean", "baseline_sd", "baseline_abs_mean"])
 
     kind = "indicator string, symbol string, t long, seconds int, baseline_n int, baseline_mean double, baseline_sd double, baseline_abs_mean double"
-    stats = mixed.groupBy("symbol", "block").applyInPandas(search, kind)
+    stats = _groups(mixed).applyInPandas(search, kind)
     named = windows.withColumn("t", clock.epoch_micros(F.col("ts"))).join(stats, ["indicator", "symbol", "t", "seconds"], "left").drop("t")
     return named.withColumn("baseline_n", F.coalesce("baseline_n", F.lit(0)))

@@ -1,9 +1,4 @@
-"""Event study: how far price moves around releases against its matched normal.
-
-Bars lie on a fixed grid of days, hours or minutes, so that every "last bar at or before" becomes a look-up by
-symbol and slot in a forward-filled grid, and every count of bars or releases a difference of running counts.
-Only the highest and lowest price of a window need the bars themselves: a bounded frame of grid rows for each rung.
-"""
+"""Event study: how far price moves around releases against its matched normal."""
 
 from __future__ import annotations
 
@@ -12,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import clock
 from tidemill.functions.statistics import bh_adjust, mad_outliers, t_two_sided_p
-from tidemill.functions.literals import literal_table
+from tidemill.operators.baseline import measured
 
 DAY, HOUR, MINUTE = 86400, 3600, 60
 #: The ladder's rungs in seconds (fixed values).
@@ -29,8 +24,6 @@ def supported(step: int, ladder: dict[str, int] = LADDER) -> dict[str, int]:
 
 
 DAY_LADDER = supported(DAY)
-#: Squares are summed exactly: a difference of running sums of doubles leaves noise where it should be 0.
-SQUARES = "decimal(24,18)"
 MIN_COVERAGE, MIN_POOL, POWER = 0.6, 20, 2.8
 
 
@@ -38,103 +31,21 @@ def slot_of(ts: Column, step: int = DAY) -> Column:
     return F.floor(clock.epoch(ts) / step).cast("int")
 
 
-def grid(bars: DataFrame, reach: int, step: int = DAY) -> DataFrame:
-    """symbol, slot (number of the step), open and close of the last bar at or before it, and running sums.
-
-    The grid goes on for ``reach`` slots behind the last bar, where the last bar stands for itself.
-    """
-    at = slot_of(F.col("bar_ts"), step)
-    span = bars.groupBy("symbol").agg(F.min(at).alias("a"), F.max(at).alias("b"))
-    slots = span.select("symbol", F.explode(F.sequence(F.col("a"), F.col("b") + reach)).alias("slot"))
-    own = bars.select("symbol", at.alias("slot"), "open", "high", "low", "close")
-    upto = Window.partitionBy("symbol").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    move = F.log(F.col("close") / F.col("open"))
-    return slots.join(own, ["symbol", "slot"], "left").select(
-        "symbol",
-        "slot",
-        F.last("open", ignorenulls=True).over(upto).alias("open"),
-        F.last("close", ignorenulls=True).over(upto).alias("close"),
-        F.count("close").over(upto).alias("bars_upto"),
-        F.coalesce(F.sum((move * move).cast(SQUARES)).over(upto), F.lit(0).cast(SQUARES)).alias("squares_upto"),
-        "high",
-        "low",
-    )
-
-
-def ladder_table(df: DataFrame, ladder: dict[str, int]) -> DataFrame:
-    return F.broadcast(literal_table(df.sparkSession, list(ladder.items()), ["horizon", "seconds"], ["string", "int"]))
-
-
-def raw_return(anchor_open: Column, other_open: Column, other_close: Column, seconds: Column) -> Column:
-    """Log return after the anchor, or into it for windows before it; null for prices of zero or less."""
-    after = F.when((other_close > 0) & (anchor_open > 0), F.ln(other_close / anchor_open))
-    before = F.when((other_open > 0) & (anchor_open > 0), F.ln(anchor_open / other_open))
-    return F.when(seconds >= 0, after).otherwise(before)
-
-
-def returns_by_slot(slots: DataFrame, ladder: dict[str, int], step: int = DAY, at: DataFrame | None = None) -> DataFrame:
-    """ret, n_bars and realised variance of the window of each horizon at every slot of every symbol.
-
-    at: the symbols and slots asked for, with more columns: those of the window that starts inside its first slot, whose
-    bar lies before it (``_in``), and the highest and lowest price of either window, from frames of as many rows as
-    the rung has steps (leave long rungs to a coarser grid).
-    """
-    within = at is not None
-    prices = {}
-    for name, seconds in ladder.items() if within else ():
-        first, last = sorted((0, seconds // step))
-        order = Window.partitionBy("symbol").orderBy("slot")
-        for mark, start in (("", first), ("_in", first + 1)):
-            frame = order.rowsBetween(start, last)
-            prices[f"top{mark}{name}"], prices[f"bottom{mark}{name}"] = F.max("high").over(frame), F.min("low").over(frame)
-    slots = slots.withColumns(prices) if prices else slots
-    kinds = ("top", "bottom", "top_in", "bottom_in") if within else ()
-    rungs = [F.struct(F.lit(n).alias("horizon"), F.lit(s).alias("seconds"), *[F.col(f"`{k}{n}`").alias(k) for k in kinds]) for n, s in ladder.items()]
-    asked = slots.join(at.select("symbol", "slot").distinct(), ["symbol", "slot"], "left_semi") if within else slots
-    here = asked.select("symbol", "slot", "open", "close", "bars_upto", "squares_upto", F.inline(F.array(*rungs)))
-    here = here.withColumn("other", F.col("slot") + (F.col("seconds") / step).cast("int"))
-    far = slots.select(
-        "symbol", F.col("slot").alias("other"), F.col("open").alias("o_open"), F.col("close").alias("o_close"),
-        F.col("bars_upto").alias("o_bars"), F.col("squares_upto").alias("o_sq"),
-    )
-    both = here.join(far, ["symbol", "other"], "left")
-    # inclusive at both ends: the running value before the earlier end is one slot further back
-    prior = slots.select("symbol", F.col("slot").alias("start0"), F.col("bars_upto").alias("p_bars"), F.col("squares_upto").alias("p_sq"))
-    both = both.withColumn("start0", F.least("slot", "other") - 1).join(prior, ["symbol", "start0"], "left")
-    late, late_sq = F.greatest("bars_upto", "o_bars"), F.greatest("squares_upto", "o_sq")
-    vol = lambda before: F.sqrt(F.greatest(F.lit(0.0), (late_sq - F.coalesce(before, F.lit(0).cast(SQUARES))).cast("double")))
-    after = F.col("seconds") >= 0
-    inner = [
-        (late - F.coalesce(F.when(after, F.col("bars_upto")).otherwise(F.col("o_bars")), F.lit(0))).alias("n_bars_in"),
-        vol(F.when(after, F.col("squares_upto")).otherwise(F.col("o_sq"))).alias("realized_vol_in"), *kinds,
-    ]
-    return both.select(
-        "symbol", "slot", "horizon", "seconds",
-        raw_return(F.col("open"), F.col("o_open"), F.col("o_close"), F.col("seconds")).alias("ret"),
-        (late - F.coalesce("p_bars", F.lit(0))).alias("n_bars"), vol(F.col("p_sq")).alias("realized_vol"), F.col("open").alias("anchor"),
-        *(inner if within else []),
-    )
-
-
 def event_windows(bars: DataFrame, releases: DataFrame, pairs: DataFrame, ladder: dict[str, int] = DAY_LADDER, step: int = DAY) -> DataFrame:
     """One row per release, symbol and horizon: ret, n_bars, bars_expected, realized_vol, mfe, mae, usable.
 
     step is the bars' length in seconds; every rung is a multiple of it. mfe and mae are the log distances from the
     price before the release to the highest and the lowest price of the window. Null where the window is not usable.
     """
-    reach = max(abs(s) for s in ladder.values()) // step + 1
-    asked = releases.select("indicator", "ts", slot_of(F.col("ts"), step).alias("slot")).join(F.broadcast(pairs), "indicator")
-    measured = returns_by_slot(grid(bars, reach, step), ladder, step, at=asked)
-    met = asked.crossJoin(ladder_table(asked, ladder)).join(measured.drop("seconds"), ["symbol", "slot", "horizon"], "left")
+    asked = releases.select("indicator", "ts").join(pairs.select("indicator", "symbol"), "indicator")
+    met = measured(bars, asked, ladder).withColumn("slot", slot_of(F.col("ts"), step))
     shifted = F.timestamp_add("SECOND", F.col("seconds"), F.col("ts"))
     open_time = clock.open_seconds_between(F.least("ts", shifted), F.greatest("ts", shifted))
     met = met.withColumn("bars_expected", F.greatest(F.floor(open_time / step), F.lit(1)))
-    inside = clock.epoch_micros(F.col("ts")) > F.col("slot").cast("long") * step * 1_000_000
-    met = met.withColumns({c: F.when(inside, F.col(f"{c}_in")).otherwise(F.col(c)) for c in ("n_bars", "realized_vol", "top", "bottom")})
     usable = F.col("ret").isNotNull() & (F.col("n_bars") >= MIN_COVERAGE * F.col("bars_expected"))
     reach_of = lambda c: F.when(usable & (F.col("n_bars") > 0) & (F.col("anchor") > 0) & (F.col(c) > 0), F.ln(F.col(c) / F.col("anchor")))
     return met.select(
-        "indicator", "symbol", "ts", "slot", "horizon", "seconds", F.coalesce("n_bars", F.lit(0)).alias("n_bars"), "bars_expected",
+        "indicator", "symbol", "ts", "slot", "horizon", "seconds", "n_bars", "bars_expected",
         F.when(usable, F.col("ret")).alias("ret"), F.when(usable & (F.col("n_bars") > 1), F.col("realized_vol")).alias("realized_vol"),
         reach_of("top").alias("mfe"), reach_of("bottom").alias("mae"), F.coalesce(usable, F.lit(False)).alias("usable"),
     )

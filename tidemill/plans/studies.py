@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import clock, statistics
 from tidemill.functions.literals import literal_table
 from tidemill.operators import bars, baseline, study, summaries, validation
+from tidemill.operators.shared import settled
 from tidemill.plans.markets import d1, h1
 from tidemill.plans.registry import D1, H1, PAIRS, RELEASES, TICKS, query, rounded
 from tidemill.sources import tables
@@ -155,8 +156,8 @@ def event_windows_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _baselined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, r, p = d1(spark, sf_dir), tables.releases(spark, sf_dir), _pairs(spark)
-    return baseline.matched_baseline(b, r, p, study.event_windows(b, r, p))
+    b, r, p = settled(d1(spark, sf_dir)), tables.releases(spark, sf_dir), _pairs(spark)
+    return settled(baseline.matched_baseline(b, r, p, settled(study.event_windows(b, r, p))))
 
 
 _BASE = _study_sql(""", rs AS (SELECT indicator, (epoch(ts)::BIGINT // 86400) AS slot FROM releases),
@@ -260,10 +261,10 @@ bl AS (SELECT u.indicator, u.symbol, u.ts, u.horizon, u.seconds, epoch(u.ts)::BI
 
 
 def _fine_baselined(spark: SparkSession, sf_dir: str, step: int, rungs: dict[str, int]) -> DataFrame:
-    b = bars.ticks_to_bars(tables.ticks(spark, sf_dir), step)
+    b = settled(bars.ticks_to_bars(tables.ticks(spark, sf_dir), step))
     r = _alarms(spark, sf_dir).select("indicator", "ts").distinct()
     pairs = literal_table(spark, _GRADE_PAIRS, ["indicator", "symbol"], ["string", "string"])
-    return baseline.matched_baseline(b, r, pairs, study.event_windows(b, r, pairs, rungs, step))
+    return settled(baseline.matched_baseline(b, r, pairs, settled(study.event_windows(b, r, pairs, rungs, step))))
 
 
 def _fine_impacts(spark: SparkSession, sf_dir: str, step: int, rungs: dict[str, int]) -> DataFrame:
@@ -308,7 +309,7 @@ SELECT im.indicator, im.symbol, im.horizon, im.ts, round(abs(im.ret) / 0.0001::D
 FROM im JOIN a USING (indicator, symbol, horizon) LEFT JOIN c USING (indicator, symbol, horizon) WHERE im.horizon = '+1d'""")
 def event_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The moves of a day after each release, in pips, beside the normal level."""
-    found, by = _impacts(spark, sf_dir), ["indicator", "symbol", "horizon"]
+    found, by = settled(_impacts(spark, sf_dir)), ["indicator", "symbol", "horizon"]
     out = summaries.event_scatter(found.where("horizon = '+1d'"), study.decay_curve(found, ["indicator", "symbol"]), by, 0.0001)
     return rounded(out.drop("is_outlier"), 4, "move", "normal")
 
