@@ -8,7 +8,7 @@ is counted, never the result.
 
 Counters stop at the least count (all that is asked is whether it is reached), so they take four bits each where it is
 at most 15. The width grows with the input, to MOST_BITS; merged sketches are a bit a counter, 2 * 2**27 bits or
-32 MB at most, and only these reach the driver and go to all tasks. Beyond about 8 GB of text more and more infrequent
+32 MB at most, and only these reach the driver and go to all tasks. Beyond about 4 GB of text more and more infrequent
 sequences are counted exactly, a cost in shuffled rows but not in results.
 
 Texts are lower-cased (A-Z), split at ``. , ; : ! ?`` and line breaks into pieces, and those at blanks and tabs into
