@@ -391,7 +391,7 @@ ct AS (SELECT {by}, vote, count(*) AS k FROM vt WHERE vote IS NOT NULL GROUP BY
 md AS (SELECT {by}, first(vote ORDER BY k DESC, abs(vote), vote) AS modal_offset, max(k) AS modal_n, sum(k)::BIGINT AS n, coalesce(sum(k) FILTER (vote = 0), 0)::BIGINT AS confirmed, max(k) FILTER (vote <> 0) AS best_off FROM ct GROUP BY ALL),
 rt2 AS (SELECT {by}, count_if(status = 'no_spike')::BIGINT AS no_spike, count_if(status = 'confounded')::BIGINT AS confounded, quantile_cont(ratio, 0.5) FILTER (vote IS NOT NULL OR status = 'no_spike') AS median_ratio FROM vt GROUP BY ALL),
 v0 AS (SELECT rt2.*, modal_offset, coalesce(n, 0) AS spiked, coalesce(confirmed, 0) AS confirmed, modal_n / n AS modal_share, coalesce(n, 0) + no_spike AS attributable,
-  {tail.format(h='modal_n')} AS modal_p, CASE WHEN best_off > 0 THEN {tail.format(h='best_off')} END AS offset_p FROM rt2 LEFT JOIN md USING ({by})),
+  CASE WHEN n > 0 THEN {tail.format(h='modal_n')} END AS modal_p, CASE WHEN best_off > 0 THEN {tail.format(h='best_off')} END AS offset_p FROM rt2 LEFT JOIN md USING ({by})),
 v1 AS (SELECT *, CASE WHEN attributable < {validation.MIN_VERDICT} THEN 'insufficient' WHEN spiked / nullif(attributable, 0) < {validation.SILENT_SHARE} THEN 'silent'
   WHEN modal_share < {validation.MODAL_SHARE} OR modal_p >= {validation.DECISIVE_P} THEN 'scattered' WHEN modal_offset = 0 THEN 'aligned' ELSE 'offset' END AS before FROM v0),
 f0 AS (SELECT *, row_number() OVER (PARTITION BY offset_p IS NULL ORDER BY offset_p) AS fk, count(offset_p) OVER () AS fm FROM v1),
