@@ -4,7 +4,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemill.llm import decontamination, secret_scan, url_filter, warc, winnowing
+from tidemill.llm import decontamination, queries, secret_scan, url_filter, warc, winnowing
 from tidemill.llm.common import literal_rows, new_folder
 
 ITEMS = [
@@ -132,6 +132,14 @@ def test_url_rules(spark):
     assert len(nothing) == len(rows) and {r["verdict"] for r in nothing} == {"allow"}
 
 
+def test_url_query_applies_the_contracts_rules(spark, tmp_path):
+    urls = {"http://a.net/de/1": ("net/de/", "allow"), "http://a.example.net/de/81": ("example.net/de/8", "block"), "http://b.com/en/": ("com/en/", "block"),
+            "http://example.com/en/7": ("example.com/en/7", "allow"), "http://c.org/es/x?y": ("org/es/", "block"), "http://c.org/de/": (None, "allow")}
+    spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in queries.op6_url_filter(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(urls.values()))
+
+
 def test_winnowing_against_a_plain_version(spark, odd_docs):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p q r s t u v w"), (2, "x " * 100), (3, "one two")], "doc_id long, text string")
     h = {r["w"]: r["h"] for r in docs.select(F.explode(F.split("text", r"\s+")).alias("w")).select("w", F.xxhash64("w").alias("h")).distinct().collect()}
