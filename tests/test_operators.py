@@ -345,6 +345,24 @@ def test_no_look_ahead_and_restart(spark):
     assert [r["id"] for r in live.after_restart(same, same.where("id < 3")).collect()] == [3]
 
 
+def test_restart_counts_rounded_milliseconds_and_ticks_without_id(spark):
+    import duckdb
+
+    from tidemill.plans import ORACLES
+    from tidemill.streaming import live
+
+    micros = [760_563, 761_308, 760_499, 760_500, 761_499, 761_500, -1_500, -1_499, -500, -499, 499, 500]
+    rows = [(None if (i + j) % 4 == 0 else 10 * i + j, u) for i, u in enumerate(micros) for j in range(3)]
+    events = spark.createDataFrame(rows, "id long, us long").selectExpr("id", "'X' as symbol", "cast(timestamp_micros(us) as timestamp_ntz) as ts", "1D as bid", "2D as ask")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE e (event_id BIGINT, us BIGINT)")
+    con.executemany("INSERT INTO e VALUES (?, ?)", rows)
+    con.execute("CREATE VIEW events AS SELECT event_id, make_timestamp(us) AS ts, 'X' AS event_type, 0 AS value, '{\"k\": 1}' AS props FROM e")
+    want = con.execute(ORACLES["restart_dedupe"]).fetchall()
+    got = live.after_restart(events, events.where("id % 3 <> 0")).select("id", "symbol", "ts").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_summary_operators_on_odd_rows(spark):
     from tidemill.functions import text
     from tidemill.operators import summaries

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions import clock
+
 #: How long a live feed waits for late ticks.
 LAG = "2 seconds"
 
@@ -48,9 +50,12 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
 
 def after_restart(incoming: DataFrame, recorded: DataFrame, tie: str = "id") -> DataFrame:
     """The incoming ticks that are not recorded yet: of ticks of one symbol and millisecond as many are passed
-    over as were written. A plain distinct would lose ticks that are truly equal."""
-    ms = F.unix_millis(F.to_timestamp_ltz("ts"))
-    numbered = lambda df: df.withColumn("ms", ms).withColumn("seq", F.row_number().over(Window.partitionBy("symbol", "ms").orderBy(tie)))
+    over as were written. A plain distinct would lose ticks that are truly equal. Times go to the nearest millisecond
+    (halves away from 1970), as DuckDB's ``epoch_ms`` counts them; ticks without tie come last."""
+    us = clock.epoch_micros(F.col("ts"))
+    ms = F.when(us < 0, F.ceil((us - 500) / F.lit(1000))).otherwise(F.floor((us + 500) / F.lit(1000)))
+    order = Window.partitionBy("symbol", "ms").orderBy(F.asc_nulls_last(tie))
+    numbered = lambda df: df.withColumn("ms", ms).withColumn("seq", F.row_number().over(order))
     return numbered(incoming).join(numbered(recorded).select("symbol", "ms", "seq"), ["symbol", "ms", "seq"], "left_anti").drop("ms", "seq")
 
 
