@@ -345,6 +345,27 @@ def test_no_look_ahead_and_restart(spark):
     assert [r["id"] for r in live.after_restart(same, same.where("id < 3")).collect()] == [3]
 
 
+def test_ticks_cleaned_in_blocks_equal_windows(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from tidemill.operators import bars, blocks
+
+    draw = random.Random(5)
+    mids = [None if i % 97 == 0 else 100 + draw.gauss(0, 1) + (40 if i % 331 == 0 else 0) for i in range(2600)]
+    middle, deviation = bars.surroundings(np.array(mids, float))
+    for i in (0, 1, 97, 499, 500, 501, 1300, 2100, 2101, 2599):
+        w = [x for x in mids[max(0, i - 500) : i + 500] if x is not None]
+        assert abs(middle[i] - np.median(w)) < 1e-9 and abs(deviation[i] - np.std(w, ddof=1)) < 1e-9
+    rows = [(i, "S", 1_704_067_200_000_000 + i * 900_000 + (i % 7 == 0) * 5_000_000, None if m is None else m - 0.01, m) for i, m in enumerate(mids)]
+    ticks = spark.createDataFrame(rows, "id long, symbol string, us long, bid double, ask double").withColumn("ts", F.expr("cast(timestamp_micros(us) as timestamp_ntz)"))
+    whole = {r["id"]: r["flag"] for r in bars.clean_ticks(ticks).collect()}
+    monkeypatch.setattr(blocks, "SIZE", 512)
+    assert {r["id"]: r["flag"] for r in bars.clean_ticks(ticks).collect()} == whole and len(whole) == 2600
+    assert {i for i, f in whole.items() if f == bars.FLAG_JUMP} == {i for i in range(331, 2600, 331) if i % 97}
+
+
 def test_similar_names_of_large_classes_and_repeated_keys(spark, monkeypatch):
     from tidemill.operators import consolidation
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import clock
+from tidemill.operators import blocks
 
 STALE_SECONDS = 5
 # The flags of stored ticks.
@@ -93,35 +97,65 @@ def canonical(bars: DataFrame, by: list[str], ts: str, arrival: str) -> DataFram
     return bars.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+# The ticks before and behind one that its surroundings hold.
+BEFORE, BEHIND = 500, 499
+
+
+def surroundings(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Median and sample deviation of the BEFORE values before each, itself and the BEHIND values behind it; NaN values do not count."""
+    middle = pd.Series(values).rolling(BEFORE + BEHIND + 1, center=True, min_periods=1).median().to_numpy()
+    known = np.isfinite(values)
+    shifted = np.where(known, values - (np.median(values[known]) if known.any() else 0.0), 0.0).astype(np.longdouble)
+    at = np.arange(len(values))
+    first, last = np.maximum(at - BEFORE, 0), np.minimum(at + BEHIND + 1, len(values))
+    within = lambda x: (lambda c: c[last] - c[first])(np.concatenate([[0], np.cumsum(x)]))
+    n, total, squares = within(known.astype(np.int64)), within(shifted), within(shifted * shifted)
+    variance = np.maximum(squares - total * total / np.maximum(n, 1), 0) / np.maximum(n - 1, 1)
+    return middle, np.where(n > 1, np.sqrt(variance.astype(float)), np.nan)
+
+
+def _surrounded(block: pa.Table) -> pa.Table:
+    """The own rows of a block with micros since the tick before, and the median and deviation of the mids around them."""
+    block = block.sort_by("pos")
+    middle, deviation = surroundings(block["mid"].to_numpy(zero_copy_only=False).astype(float))
+    t = block["t"].to_numpy()
+    gap = np.concatenate([[np.nan], np.diff(t).astype(float)]) if len(t) else t.astype(float)
+    own = pa.array(~block["guest"].to_numpy(zero_copy_only=False))
+    for name, made in (("gap", gap), ("middle", middle), ("deviation", deviation)):
+        block = block.append_column(name, pa.array(made, from_pandas=True, type=pa.float64()))
+    return block.drop_columns(["pos", "t", "block", "guest"]).filter(own)
+
+
 def clean_ticks(ticks: DataFrame, wide: float = 10.0, sigmas: float = 5.0, tie: str = "id") -> DataFrame:
     """Flags per tick of a UTC day: a bad price; else a spread above ``wide`` times the median of the day's
     ticks that are not bad; else a gap of more than five seconds outside the weekend (Friday 22:00 to Sunday);
     else a mid further than ``sigmas`` deviations from the centred median of a thousand.
 
-    Of ticks at one moment the last stays, after the median is taken. Windows are a symbol's day.
+    Of ticks at one moment the last stays, after the median is taken. A symbol's day is cut into blocks of rows with
+    guests on either side; a block's medians slide over its ordered array.
     """
     finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
     bad = ~(finite("bid") & finite("ask") & (F.col("ask") >= F.col("bid")) & (F.col("ask") > 0) & (F.col("bid") > 0))
     spread = F.col("ask") - F.col("bid")
-    told = ticks.withColumn("day", F.to_date("ts")).withColumn("__bad", bad)
-    middle = told.groupBy("symbol", "day").agg(F.percentile(F.when(~F.col("__bad"), spread), 0.5).alias("__mid_spread"))
+    told = ticks.withColumn("day", F.to_date("ts")).withColumn("bad", bad)
+    middle = told.groupBy("symbol", "day").agg(F.percentile(F.when(~F.col("bad"), spread), 0.5).alias("mid_spread"))
     w_same = Window.partitionBy("symbol", "ts").orderBy(F.col(tie).desc())
-    kept = told.withColumn("__n", F.row_number().over(w_same)).where("__n = 1").drop("__n").join(middle, ["symbol", "day"])
+    kept = told.withColumn("__n", F.row_number().over(w_same)).where("__n = 1").drop("__n")
     mid = (F.col("ask") + F.col("bid")) / 2
-    kept = kept.withColumn("mid", F.when(finite("ask") & finite("bid"), mid))
-    order = Window.partitionBy("symbol", "day").orderBy("ts")
-    around = order.rowsBetween(-500, 499)
-    gap = clock.epoch_micros(F.col("ts")) - clock.epoch_micros(F.lag("ts").over(order))
+    kept = kept.select("id", "symbol", "day", "ts", "bid", "ask", "bad", F.when(finite("ask") & finite("bid"), mid).alias("mid"), clock.epoch_micros(F.col("ts")).alias("t"))
+    spread_out = blocks.dealt(blocks.numbered(kept, ["symbol", "day"], "ts", bucket_seconds=3600), BEFORE, BEHIND)
+    key, n = ["symbol", "day", "block"], int(ticks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = kept.drop("t").schema.add("gap", "double").add("middle", "double").add("deviation", "double")
+    around = spread_out.repartition(n, *key).groupBy(*key).applyInArrow(_surrounded, made).join(middle, ["symbol", "day"])
     weekend = (F.weekday("ts") >= 5) | ((F.weekday("ts") == 4) & (F.hour("ts") >= 22))
-    away = F.abs(F.col("mid") - F.percentile("mid", 0.5).over(around))
     flag = (
-        F.when(F.col("__bad"), FLAG_BAD)
-        .when(spread > wide * F.col("__mid_spread"), FLAG_WIDE)
-        .when((gap > STALE_SECONDS * 1_000_000) & ~weekend, FLAG_GAP)
-        .when(away > sigmas * F.stddev_samp("mid").over(around), FLAG_JUMP)
+        F.when(F.col("bad"), FLAG_BAD)
+        .when(spread > wide * F.col("mid_spread"), FLAG_WIDE)
+        .when((F.col("gap") > STALE_SECONDS * 1_000_000) & ~weekend, FLAG_GAP)
+        .when(F.abs(F.col("mid") - F.col("middle")) > sigmas * F.col("deviation"), FLAG_JUMP)
         .otherwise(FLAG_OK)
     )
-    return kept.select("id", "symbol", "day", "ts", "bid", "ask", flag.alias("flag"))
+    return around.select("id", "symbol", "day", "ts", "bid", "ask", flag.alias("flag"))
 
 
 def flag_counts(flagged: DataFrame) -> DataFrame:
