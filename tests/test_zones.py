@@ -266,3 +266,24 @@ def test_baseline_of_hours_looks_back_over_blocks(spark):
         assert row["baseline_n"] == len(taken)
         mean = sum(taken) / len(taken) if len(taken) >= 2 else None
         assert (row["baseline_mean"] is None) if mean is None else row["baseline_mean"] == pytest.approx(mean, abs=1e-12)
+
+
+def test_baseline_and_windows_by_parts_equal_those_of_whole_blocks(spark, monkeypatch):
+    start = datetime(2023, 1, 2)
+    b = spark.range(24 * 150).selectExpr(
+        "'X' as symbol", f"timestamp_ntz '{start}' + make_dt_interval(0, id) as bar_ts", "100D + (id * 7919 % 101) / 50 as open", "103D as high", "99D as low", "100D + (id * 104729 % 97) / 50 as close"
+    )
+    r = spark.range(90).selectExpr("concat('i', id % 2) as indicator", f"timestamp_ntz '{start}' + make_dt_interval(100 + id div 2, id % 24, 7 * id % 60) as ts")
+    pairs = spark.createDataFrame([("i0", "X"), ("i1", "X")], "indicator string, symbol string")
+    asked = r.join(pairs, "indicator").select("indicator", "symbol", "ts")
+    windows = asked.selectExpr("*", "explode(array(3600, -7200, 86400)) as seconds", "true as usable")
+
+    def both():
+        found = baseline.matched_baseline(b, r, pairs, windows), baseline.measured(b, asked, {"h": 3600, "-d": -86400})
+        return [sorted(map(str, df.collect())) for df in found]
+
+    whole = both()
+    sizes = lambda: [n["n"] for n in baseline._dealt(b, baseline._moments(asked, 2, F.lit(None)), 0, 0, ["open"], baseline.MOMENTS).where("kind = 2").groupBy("symbol", "block", "part").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes()) > 40
+    monkeypatch.setattr(baseline, "MOMENTS", 8)
+    assert both() == whole and max(sizes()) < 30

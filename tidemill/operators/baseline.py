@@ -2,8 +2,8 @@
 
 Every symbol is cut into blocks of a year. A block gets the bars and releases that its look-ups can reach, and the last bar
 before them; inside it ordered arrays are searched week by week for all releases at once, and a release that has
-its weeks drops out of the search. So no window is spread over its 48 weeks, and a task's size depends on the bars of
-two years, not on a symbol's history.
+its weeks drops out of the search. So no window is spread over its 48 weeks, and a task's size depends on the bars and
+release times of two years and a bounded number of moments, not on a symbol's history.
 """
 
 from __future__ import annotations
@@ -63,15 +63,18 @@ def samples(prices: Prices, releases: np.ndarray, moments: np.ndarray, seconds:
     found, n = np.full((len(moments), rule.weeks), np.nan), np.zeros(len(moments), int)
     own = np.searchsorted(releases, moments, side="right") - np.searchsorted(releases, moments, side="left")
     allowed = held(releases, moments, seconds) - (own if seconds >= 0 else 0)
+    first = prices.starts[0] * MICROS if len(prices.starts) else np.iinfo(np.int64).max
     for week in range(1, rule.lookback + 1):
-        open_ = np.flatnonzero(n < rule.weeks)
+        # moments before the first bar have no price, whatever their shift
+        open_ = np.flatnonzero((n < rule.weeks) & (moments + (max(SHIFTS) - 7 * week) * DAY * MICROS >= first))
         if not len(open_):
             break
         for shift in SHIFTS:
             m = moments[open_] + (shift - 7 * week) * DAY * MICROS
-            fits = (m + max(seconds, 0) * MICROS < moments[open_]) & (held(releases, m, seconds) <= allowed[open_])
+            fits = (m + max(seconds, 0) * MICROS < moments[open_]) & (m + min(seconds, 0) * MICROS >= first)
             if shift:
                 fits &= (m // (DAY * MICROS) + 3) % 7 < 5
+            fits[fits] = held(releases, m[fits], seconds) <= allowed[open_[fits]]
             value = np.full(len(m), np.nan)
             value[fits] = prices.returns(m[fits], seconds)
             hit = np.isfinite(value)
@@ -105,30 +108,40 @@ def range_extreme(levels: list[np.ndarray], first: np.ndarray, last: np.ndarray,
     return out
 
 
-def _dealt(bars: DataFrame, asked: DataFrame, back: int, ahead: int, columns: list[str]) -> DataFrame:
-    """Bars and rows of asked (symbol, kind, t, indicator, seconds) by symbol and block of a year: the bars that look-ups reach, and the
-    last one before them. Kind 0 is a bar."""
+#: Rows that a group answers.
+MOMENTS = 200_000
+
+
+def _dealt(bars: DataFrame, asked: DataFrame, back: int, ahead: int, columns: list[str], most: int) -> DataFrame:
+    """Bars and rows of asked (symbol, kind, t, indicator, seconds) by symbol, block of a year and part: the bars that look-ups reach, and
+    the last one before them. Kind 0 is a bar; kind 1 is a day of an indicator's releases, in ``times``. Moments (kind 2) of a block are
+    dealt to parts of about ``most`` rows, and each part gets the block's bars and releases."""
     null = [F.lit(None).cast("double").alias(c) for c in columns]
+    no_times = F.lit(None).cast("array<bigint>").alias("times")
     moments = asked.withColumn("block", F.explode(F.sequence(F.floor((F.col("t") / MICROS - F.col("ahead")) / BLOCK), F.floor((F.col("t") / MICROS + F.col("back")) / BLOCK))))
-    moments = moments.select("symbol", "block", "kind", "t", "indicator", "seconds", *null)
-    wanted = moments.where("kind = 2").select("symbol", "block").distinct()
+    wanted = moments.where("kind = 2").groupBy("symbol", "block").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    own = moments.where("kind = 2").join(wanted, ["symbol", "block"])
+    own = own.select("symbol", "block", "kind", "t", "indicator", "seconds", *null, no_times, F.pmod(F.xxhash64("indicator", "t", "seconds"), F.col("parts")).cast("int").alias("part"))
+    known = moments.where("kind = 1").groupBy("symbol", "block", "kind", "indicator", F.floor(F.col("t") / (DAY * MICROS)).alias("day")).agg(F.collect_list("t").alias("times"))
+    known = known.select("symbol", "block", "kind", F.lit(0).cast("long").alias("t"), "indicator", F.lit(None).cast("int").alias("seconds"), *null, "times")
     plain = bars.select("symbol", "bar_ts", *[F.col(c).cast("double").alias(c) for c in columns])
     at = clock.epoch(F.col("bar_ts"))
     row = lambda block: (
-        "symbol", block.alias("block"), F.lit(0).alias("kind"), clock.epoch_micros(F.col("bar_ts")).alias("t"), F.lit(None).cast("string").alias("indicator"), F.lit(None).cast("int").alias("seconds"), *columns,
+        "symbol", block.alias("block"), F.lit(0).alias("kind"), clock.epoch_micros(F.col("bar_ts")).alias("t"), F.lit(None).cast("string").alias("indicator"), F.lit(None).cast("int").alias("seconds"), *columns, no_times,
     )
     near = plain.select(*row(_reachable(at, back, ahead)))
-    starts = wanted.withColumn("from_ts", clock.at_seconds(F.col("block") * BLOCK - back))
+    starts = wanted.select("symbol", "block", clock.at_seconds(F.col("block") * BLOCK - back).alias("from_ts"))
     last = asof.asof_backward(starts, plain, ["symbol"], "from_ts", "bar_ts", ["bar_ts", *columns], bucket_micros=30 * asof.DAY)
     before = last.where("bar_ts is not null").select(*row(F.col("block")))
-    return near.union(before).union(moments.where("kind = 1")).join(wanted, ["symbol", "block"], "left_semi").union(moments.where("kind = 2"))
+    shared = near.union(before).union(known).join(wanted, ["symbol", "block"])
+    return shared.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").unionByName(own)
 
 
 def _groups(mixed: DataFrame):
-    """A group for each symbol and block, in as many tasks as a shuffle has: they compute much on few bytes, and adaptive execution would
-    put them together by their bytes."""
-    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartition(n, "symbol", "block").groupBy("symbol", "block")
+    """A group for each symbol, block and part, in as many tasks as a shuffle has: they compute much on few bytes, and adaptive execution
+    would put them together by their bytes."""
+    n, key = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["symbol", "block", "part"]
+    return mixed.repartition(n, *key).groupBy(*key)
 
 
 def _moments(rows: DataFrame, kind: int, seconds: Column, back: int = 0, ahead: int = 0) -> DataFrame:
@@ -148,7 +161,7 @@ def measured(bars: DataFrame, asked: DataFrame, ladder: dict[str, int]) -> DataF
     anchor and no bars.
     """
     reach = max(abs(s) for s in ladder.values()) + 2 * DAY
-    mixed = _dealt(bars, _moments(asked.distinct(), 2, F.lit(None)), reach, reach, ["open", "high", "low", "close"])
+    mixed = _dealt(bars, _moments(asked.distinct(), 2, F.lit(None)), reach, reach, ["open", "high", "low", "close"], max(1, MOMENTS // len(ladder)))
 
     def measure(group: pd.DataFrame) -> pd.DataFrame:
         prices, bar = _prices(group)
@@ -193,11 +206,11 @@ def matched_baseline(bars: DataFrame, releases: DataFrame, pairs: DataFrame, win
     back, ahead = (7 * rule.lookback + 3) * DAY + reach, reach
     asked = _moments(windows.where("usable").select("symbol", "indicator", "ts", "seconds").distinct(), 2, F.col("seconds"))
     known = _moments(releases.select("indicator", "ts").join(pairs.select("indicator", "symbol"), "indicator"), 1, F.lit(None), back, ahead)
-    mixed = _dealt(bars, asked.union(known), back, ahead, ["open", "close"])
+    mixed = _dealt(bars, asked.union(known), back, ahead, ["open", "close"], MOMENTS)
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         prices, _ = _prices(group)
-        times = {k: np.sort(g.t.to_numpy()) for k, g in group[group.kind == 1].groupby("indicator")}
+        times = {k: np.sort(np.concatenate(g.times.to_list())) for k, g in group[group.kind == 1].groupby("indicator")}
         out = []
         for (indicator, seconds), g in group[group.kind == 2].groupby(["indicator", "seconds"]):
             moments = g.t.to_numpy()
