@@ -80,6 +80,20 @@ def test_outliers_need_spread_and_five_values(spark):
     assert [(r["g"], r["v"]) for r in got.where("is_outlier").collect()] == [("a", 1000.0)]
 
 
+def test_medians_are_exact_and_no_task_gets_a_group(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [("a", rng.gauss(0, 1e6)) for _ in range(3001)] + [("b", float(rng.randint(0, 3))) for _ in range(1000)] + [("c", None)] * 3 + [("d", 2.0), ("d", None), ("d", 5.0), (None, 7.0)]
+    rows += [("e", float(x)) for x in [1] * 500 + [9] * 500] + [("f", float("nan")), ("f", 1.0), ("f", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["m"], r["__n"]) for r in statistics.medians(df, "v", ["g"], "m").collect()}
+    want = {r["g"]: (r["m"], r["n"]) for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("m"), F.count("v").alias("n")).collect()}
+    assert got == want
+    plan = statistics.mad_outliers(df, "v", ["g"])._jdf.queryExecution().toString().lower()
+    assert "broadcasthashjoin" in plan and "sortmergejoin" not in plan and " percentile(" not in plan
+
+
 @pytest.mark.parametrize(
     ("raw", "value"),
     [("227K", 227000), ("3.2%", 3.2), ("-0.1%", -0.1), ("<0.1", 0.1), ("$52.3B", 52.3e9), ("1,234", 1234), ("", None), ("-", None), ("N/A", None), ("abc", None), (None, None), ("~5m", 5e6)],

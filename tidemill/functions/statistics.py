@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators.shared import settled
+
 Z95 = 1.959964
 MAD_TO_SIGMA = 1.4826
 
@@ -85,11 +87,58 @@ def bh_adjust(df: DataFrame, p: str, out: str, by: list[str] | None = None) -> D
     return scaled.withColumn(out, F.when(known, adjusted)).drop("__rank", "__m", "__q")
 
 
+#: Groups up to which a table of one row a group is broadcast.
+MOST_GROUPS = 100_000
+
+
+def _per_group(rows: DataFrame) -> DataFrame:
+    """One row a group, computed once; broadcast where a count proves it small, so that no task gets all rows of a group."""
+    kept = settled(rows)
+    return F.broadcast(kept) if kept.count() <= MOST_GROUPS else kept
+
+
+def medians(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
+    """One row for each group of by: the exact median of value (null without values) and ``__n``, how many values there are.
+
+    A sketch gives two bounds close to the middle; they part a group's values into those below, between and above, whose counts
+    tell where the middle ranks lie. Only that part's values are ordered, as distinct values with counts. However poor the bounds, the
+    median is exact; equal values are counted before they meet in one task.
+    """
+    counts = df.groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__k"))
+    bounds = _per_group(df.groupBy(*by).agg(F.percentile_approx(value, [0.4995, 0.5005], 10_000).alias("__b"), F.count(value).alias("__n")))
+    same = lambda other: [F.col(f"l.{c}").eqNullSafe(F.col(f"{other}.{c}")) for c in by]
+    v, b = F.col("__v"), F.col("__b")
+    part = F.when(v <= b[0], 0).when(v <= b[1], 1).otherwise(2)
+    met = counts.where(v.isNotNull()).alias("l").join(bounds.alias("b"), same("b"))
+    parted = met.select("l.*", part.alias("__part"))
+    sizes = parted.groupBy(*by).agg(*[F.coalesce(F.sum(F.when(F.col("__part") < p, F.col("__k"))), F.lit(0)).alias(f"__before{p}") for p in (1, 2)])
+    known = bounds.alias("l").join(sizes.alias("s"), same("s")).select(*[F.col(f"l.{c}").alias(c) for c in by], "__n", "__b", "__before1", "__before2")
+    low, high = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)  # ranks from 0
+    of = lambda rank: F.when(rank < F.col("__before1"), 0).when(rank < F.col("__before2"), 1).otherwise(2)
+    known = _per_group(known.select(*by, "__b", low.alias("__low"), high.alias("__high"), of(low).alias("__from"), of(high).alias("__to"), "__before1", "__before2"))
+    # the middle lies in one part, or between two of them
+    ends = parted.groupBy(*by, "__part").agg(F.min("__v").alias("__first"), F.max("__v").alias("__last"))
+    near = counts.where(v.isNotNull()).alias("l").join(known.alias("m"), same("m")).select("l.*", *[F.col(f"m.{c}") for c in ("__low", "__high", "__from", "__to", "__before1", "__before2")], part.alias("__part"))
+    inside = near.where((F.col("__part") == F.col("__from")) & (F.col("__from") == F.col("__to")))
+    start = F.when(F.col("__part") == 0, 0).when(F.col("__part") == 1, F.col("__before1")).otherwise(F.col("__before2"))
+    through = start + F.sum("__k").over(Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = inside.withColumn("__through", through)
+    at = lambda rank: F.min(F.when(F.col("__through") > F.col(rank), v))
+    within = ranked.groupBy(*by).agg(at("__low").alias("__a"), at("__high").alias("__z"))
+    split = known.where("__from < __to").alias("l")
+    between = (
+        split.join(ends.alias("e"), same("e")).groupBy(*[F.col(f"l.{c}").alias(c) for c in by])
+        .agg(F.max(F.when(F.col("__part") == F.col("__from"), F.col("__last"))).alias("__a"), F.max(F.when(F.col("__part") == F.col("__to"), F.col("__first"))).alias("__z"))
+    )
+    middle = within.unionByName(between).select(*by, (F.col("__a") * F.lit(0.5) + F.col("__z") * F.lit(0.5)).alias(out))
+    return _per_group(bounds.alias("l").join(middle.alias("m"), same("m"), "left").select(*[F.col(f"l.{c}").alias(c) for c in by], out, "__n"))
+
+
 def mad_outliers(df: DataFrame, value: str, by: list[str], out: str = "is_outlier", z: float = 10.0, least: int = 5) -> DataFrame:
     """Marks values further than z robust deviations from their group's median; never where MAD is 0."""
-    mid = df.groupBy(*by).agg(F.percentile(value, 0.5).alias("__mid"))
+    mid = medians(df, value, by, "__mid").drop("__n")
     away = df.join(mid, by).withColumn("__away", F.abs(F.col(value) - F.col("__mid")))
-    spread = away.groupBy(*by).agg(F.percentile("__away", 0.5).alias("__mad"), F.count("__away").alias("__n"))
+    spread = medians(away, "__away", by, "__mad")
     far = F.col("__away") / F.nullif(F.col("__mad") * MAD_TO_SIGMA, F.lit(0.0)) > z
     flagged = away.join(spread, by).withColumn(out, F.coalesce((F.col("__n") >= least) & far, F.lit(False)))
     return flagged.drop("__mid", "__away", "__mad", "__n")
