@@ -6,8 +6,8 @@ features of the whole text, and Viterbi decodes the best sequence of the whole l
 bounded sample of texts whose secrets the fixed patterns mark, by maximum likelihood (forward and backward sums).
 
 That a token looks like a key (eight characters with a digit and a letter, or six behind a cue word) is a feature
-and no more. Lines are decoded side by side; a token whose score for outside is so high that no path through
-another tag can win parts its line in two, which leaves the best path as it is.
+and no more. Lines are decoded side by side; a token around which no stretch of other tags can outweigh outside parts
+its line in two, which leaves the best path as it is.
 """
 
 from __future__ import annotations
@@ -45,7 +45,9 @@ SAMPLE_TEXTS = 1500
 #: secret is left out.
 SAMPLE_RUNS, RUN_TOKENS, MARKED_FIRST = 4, 256, 20
 #: Characters that are decoded at once (lines are never parted) and tokens whose scores a worker remembers.
-SLICE_CHARS, REMEMBERED = 1 << 20, 200_000
+SLICE_CHARS, REMEMBERED = 1 << 19, 200_000
+#: Rows that a worker judges at once.
+LOT_ROWS = 1000
 
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+|[^\sA-Za-z0-9+/_.=-]")
 #: Tokens and line ends; what lies between them is blank.
@@ -55,6 +57,8 @@ _CUE_WORDS = "pass|secret|token|key|auth|cred|pwd|bearer|private"
 #: What holds a fixed span, near enough to draw texts by.
 _MARKED = """(?i:(password|passwd|secret|token|api_?key)["']?\\x20*[:=]\\x20*["']?[A-Za-z0-9+/_.=-]{6})|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
 _CUES = re.compile(_CUE_WORDS, re.I | re.A)
+_LOWER, _UPPER, _NUMBERS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+_SHAPES = str.maketrans(_LOWER + _UPPER + _NUMBERS, "a" * 26 + "A" * 26 + "9" * 10)
 _SIGNS = re.compile("[0-9]|" + _CUE_WORDS, re.I | re.A)
 
 
@@ -82,11 +86,17 @@ def _shape(token: str) -> str:
     return "".join(out[:12])
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 14)
 def _place(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % FEATURES
 
 
+def _places(names: list[str]) -> np.ndarray:
+    """The places of many names."""
+    raw = b"".join([hashlib.blake2b(n.encode("utf-8", "surrogatepass"), digest_size=4).digest() for n in names])
+    return (np.frombuffer(raw, "<u4") % FEATURES).astype(np.int64)
+
+
 def _own(t: str) -> list[str]:
     """Features of a token by itself."""
     shape = _shape(t)
@@ -99,7 +109,7 @@ def _own(t: str) -> list[str]:
     ]
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 14)
 def _own_places(t: str) -> tuple[int, ...]:
     return tuple(_place(n) for n in _own(t))
 
@@ -117,6 +127,23 @@ def _cue(t: str) -> str:
     return m[0].lower() if m else ""
 
 
+def _first_cues(tokens: list[str]) -> Iterator[tuple[int, str]]:
+    """The number and the cue word of each token that has one, found in all of them at once. A line end may only be a token by itself."""
+    ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1)
+    met = list(_CUES.finditer("\n".join(tokens)))
+    numbers, first = np.unique(np.searchsorted(ends, [m.start() for m in met], "right"), return_index=True)
+    yield from ((n, met[i][0].lower()) for n, i in zip(numbers.tolist(), first.tolist()))
+
+
+def _alike(t: str) -> object:
+    """What is equal for tokens that share their own features, but for the cue, and what they are to the token on their left."""
+    if len(t) < 3 or not t.isascii():
+        return t
+    pattern = t.translate(_SHAPES)
+    first = pattern[:4]
+    return pattern, t[:4] if "A" in first and "a" not in first else "", not t.strip("0123456789abcdef") or not t.strip("0123456789ABCDEF")
+
+
 def _cued(cue: str, t: str) -> list[str]:
     """The cue word before a token, by itself and with whether the token is long enough for a key."""
     return ["cue=" + cue, f"cued={bool(cue)} {len(t) >= LEAST_CHARS_CUED}"]
@@ -216,13 +243,19 @@ class SecretModel:
     def decode(self, emit: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Best tags of lines that follow each other in emit; ends marks the line ends, which are no tokens.
 
-        If a path has another tag than outside at a token, putting outside there (and a beginning for an inside behind it) changes
-        three moves, and the scores of two tokens. Where the token's score alone outweighs all that, it is outside.
+        A stretch of other tags must score more than outside throughout it. A token of it gains at most its best other score over that
+        of outside and the best move between other tags over that between two outside; entering and leaving the stretch adds a
+        constant. Where no stretch around a token can gain, the token is outside. The largest gain around each token comes from
+        running sums and their extremes; stretches across line ends only make it larger.
         """
-        allowed = np.delete(self.move.ravel(), OUT * 3 + INSIDE)
-        behind = np.zeros(len(emit))
-        behind[:-1] = np.maximum(emit[1:, INSIDE] - emit[1:, BEGIN], 0)
-        sure = ends | (emit[:, OUT] - emit[:, 1:].max(axis=1) > 3 * (allowed.max() - allowed.min()) + behind)
+        m = self.move
+        step = m[1:, 1:].max() - m[OUT, OUT]
+        border = m[OUT, 1:].max() + m[1:, OUT].max() - 2 * m[OUT, OUT] - step
+        gain = np.where(ends, -1e3, emit[:, 1:].max(axis=1) - emit[:, OUT] + step)
+        total = np.cumsum(gain)
+        before = total - gain
+        most = total - np.minimum.accumulate(before) + np.maximum.accumulate(total[::-1])[::-1] - before - gain
+        sure = ends | (most + border < -1e-6)
         edge = np.diff(np.concatenate([[True], sure, [True]]).astype(np.int8))
         return self.best_tags(emit, np.flatnonzero(edge == -1), np.flatnonzero(edge == 1))
 
@@ -246,47 +279,51 @@ class Tagger:
 
     def _forget(self) -> None:
         # a line end: to its left stands a last token, to its right a first one
-        self.known: dict[str, int] = {"\n": 0}
-        self.table = np.concatenate([np.zeros(3), self._sum([_left("^")]), self._sum([_right("$")]), [0, 0]])[None, :]
-        self.alike: dict[object, tuple[float, ...]] = {}
-
-    def _row(self, t: str) -> tuple[float, ...]:
-        cue = _cue(t)
-        # lower-case words of like length share all features of their own
-        kind = (min(len(t) // 4, 12), cue, not t.strip("abcdef")) if t.isalpha() and t.islower() else t
-        own = self.alike.get(kind)
-        if own is None:
-            own = tuple(self._sum(_own(t)))
-            if kind is not t:
-                self.alike[kind] = own
-        after = _right(t)
-        right = self.alike.get(after)
-        if right is None:
-            right = self.alike[after] = tuple(self._sum([after]))
-        return (*own, *self.model.emit[_place(_left(t))].tolist(), *right, self.cue_of[cue], len(t) >= LEAST_CHARS_CUED)
+        self.known: dict[str, int] = {"\n": _place(_left("^"))}
+        self.alike: dict[object, int] = {}
+        self.kinds = np.concatenate([np.zeros(3), self._sum([_right("$")]), [0, 0]])[None, :]
+
+    def _learn(self, tokens: list[str]) -> None:
+        """Numbers tokens by what they share with others and the place of what they are to the token on their right.
+
+        Tokens that are alike have the same score of their own, score as what stands on the right, cue, and whether they are long
+        enough behind one: these are summed once for all of them."""
+        cues, rows, numbers = dict(_first_cues(tokens)), [], []
+        for n, t in enumerate(tokens):
+            kind = (_alike(t), cues.get(n, ""))
+            number = self.alike.get(kind)
+            if number is None:
+                number = self.alike[kind] = len(self.kinds) + len(rows)
+                rows.append(np.concatenate([self._sum(_own(t)), self._sum([_right(t)]), [self.cue_of[kind[1]], len(t) >= LEAST_CHARS_CUED]]))
+            numbers.append(number)
+        if rows:
+            self.kinds = np.concatenate([self.kinds, rows])
+        self.known.update(zip(tokens, (np.array(numbers) * FEATURES + _places([_left(t) for t in tokens])).tolist(), strict=True))
 
     def _numbers(self, tokens: list[str]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
             self._forget()
         new = list(set(tokens).difference(self.known))
         if new:
-            self.known.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, np.array([self._row(t) for t in new])])
+            self._learn(new)
         return np.fromiter(map(self.known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
     def scores(self, tokens: list[str], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores of each token's three tags, and which tokens are line ends; the first and the last one are. marks: what the
         features of the whole text add to each token."""
         numbers = self._numbers(tokens)
-        ends, table = numbers == 0, self.table
-        emit = table[numbers, :3] + marks
-        emit[1:] += table[numbers[:-1], 3:6]
-        emit[:-1] += table[numbers[1:], 6:9]
-        cues, long = table[numbers, 9].astype(np.int8), table[numbers, 10].astype(np.int8)
+        kinds, places = numbers // FEATURES, numbers % FEATURES
+        ends = kinds == 0
+        emit = self.kinds[:, :3][kinds] + marks
+        emit[1:] += self.model.emit[places[:-1]]
+        emit[:-1] += self.kinds[:, 3:6][kinds[1:]]
+        cues, long = self.kinds[:, 6].astype(np.int8)[kinds], self.kinds[:, 7].astype(np.int8)[kinds]
         line, cue = np.cumsum(ends), np.zeros(len(tokens), dtype=np.int8)
+        held = np.flatnonzero(cues)
         for back in range(CUE_REACH, 0, -1):  # the furthest cue word in reach counts
-            held = (cue[back:] == 0) & (line[back:] == line[:-back])
-            cue[back:][held] = cues[:-back][held]
+            at = held[held + back < len(tokens)] + back
+            at = at[(cue[at] == 0) & (line[at] == line[at - back])]
+            cue[at] = cues[at - back]
         return emit + self.cue_score[long, cue], ends
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
@@ -297,22 +334,22 @@ class Tagger:
         return found
 
     def _tag(self, texts: list[str], lot: list[tuple[int, int, int]], found: list[list[tuple[int, int, str]]]) -> None:
-        tokens, starts, lengths, whose, marks = ["\n"], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros((1, 3))]
+        tokens, pieces, counts, marks = ["\n"], [], [1], [np.zeros(3)]
         for n, a, b in lot:
             parts = _PARTS.split(texts[n][a:b])
-            sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-            at = np.cumsum(sizes) - sizes + a
+            pieces.append(parts)
             tokens += parts[1::2]
             tokens.append("\n")
-            starts += [at[1::2], [b]]
-            lengths += [sizes[1::2], [0]]
-            count = len(parts) // 2 + 1
-            whose.append(np.full(count, n))
-            marks.append(np.tile(self._sum(["file=" + m for m in file_marks(texts[n])]), (count, 1)))
-        tags = self.model.decode(*self.scores(tokens, np.concatenate(marks)))
-        at, size, whose_text = np.concatenate(starts), np.concatenate(lengths), np.concatenate(whose)
-        for i in np.flatnonzero(tags):
-            held, start, end = found[whose_text[i]], int(at[i]), int(at[i] + size[i])
+            counts.append(len(parts) // 2 + 1)
+            marks.append(self._sum(["file=" + m for m in file_marks(texts[n])]))
+        tags = self.model.decode(*self.scores(tokens, np.repeat(marks, counts, axis=0)))
+        tagged, firsts, last = np.flatnonzero(tags), np.cumsum(counts), -1
+        for i, which in zip(tagged.tolist(), (np.searchsorted(firsts, tagged, "right") - 1).tolist()):
+            n, a, _ = lot[which]
+            if which != last:
+                ends, last = np.cumsum(np.fromiter(map(len, pieces[which]), dtype=np.int64, count=len(pieces[which]))) + a, which
+            at = 2 * (i - firsts[which])
+            held, start, end = found[n], int(ends[at]), int(ends[at + 1])
             if tags[i] == BEGIN:
                 held.append((start, end, "crf"))
             else:
@@ -420,7 +457,6 @@ def _values(text: str) -> list[tuple[int, int, str]]:
 
 #: What stands before made-up keys, and what they are made of.
 _PHRASES = ("{} ", "password is {} ", "Bearer {} ", "pwd={} ", "auth: {} ", "the key is {} ", "credentials {} ", "private key {} ", '"{}" ', "secret {} ")
-_LOWER, _UPPER, _NUMBERS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _MADE_OF = (_LOWER + _NUMBERS, _UPPER + _NUMBERS, *3 * (_LOWER + _UPPER + _NUMBERS,), _LOWER + _UPPER + _NUMBERS + "+/", _LOWER + _UPPER + _NUMBERS + "-_.")
 _PREFIXES = ("", "", "", "sk_", "ghp_", "xoxb-", "eyJ")
 
@@ -489,6 +525,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
                     for rows, tags in lines for i in range(0, len(tags), RUN_TOKENS)
                 ]
                 yield pd.DataFrame(made, columns=["rows", "tags", "secret"])
+        _place.cache_clear()
+        _own_places.cache_clear()
 
     turn = F.pmod(F.xxhash64("rows", "tags"), F.lit(1_000_003)) * F.when(F.col("secret"), 1).otherwise(MARKED_FIRST)
     drawn = sample.mapInPandas(runs, "rows binary, tags binary, secret boolean").orderBy(turn, "rows", "tags").limit(SAMPLE_RUNS * sample_texts).collect()
@@ -543,14 +581,16 @@ def scan(docs: DataFrame, model: SecretModel, text_col: str = "text", prefix: st
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tagger = Tagger(shared.value)
         for batch in texts:
-            rows = []
-            for t, (base, every) in zip(batch, scan_texts([t or "" for t in batch], tagger), strict=True):
-                kinds = [s[2] for s in base]
-                rows.append(
-                    (*(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every),
-                     t if t is None or not every else redacted(t, every))
-                )
-            yield pd.DataFrame(rows, columns=new)
+            for a in range(0, len(batch), LOT_ROWS):
+                lot, rows = batch.iloc[a : a + LOT_ROWS], []
+                for t, (base, every) in zip(lot, scan_texts([t or "" for t in lot], tagger), strict=True):
+                    kinds = [s[2] for s in base]
+                    rows.append(
+                        (*(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every),
+                         t if t is None or not every else redacted(t, every))
+                    )
+                yield pd.DataFrame(rows, columns=new)
+        _place.cache_clear()
 
     kind = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string"
     rest = [c for c in docs.columns if c not in {prefix + n for n in new}]
