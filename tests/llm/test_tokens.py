@@ -125,3 +125,23 @@ def test_query_digests(spark, sf_dir, documents):
     sst = queries.op5_token_tables(spark, sf_dir).orderBy("doc_id").collect()
     assert [r["doc_id"] for r in sst] == sorted(documents.doc_id)
     assert sst[0]["ids_crc32"] == zlib.crc32(np.array(Tokenizer.from_file(WORDS).encode(documents.set_index("doc_id").text[sst[0]["doc_id"]], add_special_tokens=False).ids + [1], dtype="<u4").tobytes())
+
+
+def test_plain_words_are_encoded_together(monkeypatch):
+    words = [f"{a}{b}{c}\xe9{d}" for a in ("th", "qu", "st") for b in ("an", "er", "zzx") for c in ("ing", "ß", "ly") for d in ("tion", "y", "")]
+    odd = ["", "don't", "it's,", "x<|y", "a\nB c\td", "İstanbul—ok 12½", "ét\xe9", "Å", "ﬁne", "9th.\n\nNext", "  two  blanks ", "日本語 text", "\xa0 \x85x", "ªº"]
+    texts = [*odd, *words, " ".join(words + odd)]
+    calls, made = [], []
+    library = token_tables._tokenizer(WORDS)
+
+    class Counted:
+        def encode_batch_fast(self, some, **kwargs):
+            calls.append(len(some))
+            return library.encode_batch_fast(some, **kwargs)
+
+    encode = token_tables.PieceEncoder(WORDS, 4)
+    monkeypatch.setattr(token_tables, "_tokenizer", lambda path: Counted())
+    for _ in range(2):
+        made = encode(texts)
+        assert made == [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert encode([None]) == [b""] and sum(calls) < len(words)

@@ -23,9 +23,12 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -39,6 +42,8 @@ BLOCK_BYTES = 128 * 1024
 SHARD_BYTES = 128 * 1024 * 1024
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 PIECE_CACHE = 700_000
+#: Words of letters that the library encodes in one text.
+WORDS_AT_ONCE = 1000
 
 _ENTRY, _INDEX, _FOOTER = struct.Struct("<BBI"), struct.Struct("<9sQIIQ"), struct.Struct("<8sQIQIQQB")
 
@@ -189,6 +194,18 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=1)
+def _word_ends(path: str) -> np.ndarray | None:
+    """Which ids mark the end of a word; None where the vocabulary has no such mark."""
+    mark = getattr(_tokenizer(path).model, "end_of_word_suffix", None)
+    if not mark:
+        return None
+    vocabulary = _tokenizer(path).get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
+    return ends
+
+
 # the tokenizer's own split for lower-case Latin-1, which its normaliser leaves as it is
 _LETTERS, _NUMBERS, _BLANKS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _LATIN_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
@@ -203,6 +220,20 @@ def parts_of(piece: str) -> list[str]:
     return [piece] if "<|" in piece else _LATIN_PARTS.findall(piece.lower())
 
 
+# letters of which the tokenizer makes one word
+_LATIN_WORD = re.compile(f"[{_LETTERS}]+")
+_PARTS_OR_BLANK = re.compile(f"{_LATIN_PARTS.pattern}| ")
+
+
+def all_parts(pieces: list[str]) -> dict[str, list[str]]:
+    """parts_of each of different pieces without blanks; those of ASCII are split together."""
+    plain = [p for p in pieces if p.isascii() and "<|" not in p]
+    found, out, a = _PARTS_OR_BLANK.findall(" ".join([*plain, ""]).lower()), {}, 0
+    for piece, b in zip(plain, [i for i, x in enumerate(found) if x == " "], strict=True):
+        out[piece], a = found[a:b], b + 1
+    return out | {p: parts_of(p) for p in pieces if p not in out}
+
+
 class PieceEncoder:
     """Encodes whole texts by pieces between blanks.
 
@@ -210,26 +241,50 @@ class PieceEncoder:
     within words only, so a text's ids are those of its pieces in turn, and a piece's those of its words and
     marks. The library encodes each of them that this worker hasn't met lately; caches are emptied when they
     have grown to their bound.
+
+    Words of Latin letters are encoded many in a text where the vocabulary marks the ends of words: such a
+    word has one token at most with the mark, its last, so that as many marks as words tell all words apart.
     """
 
     def __init__(self, path: str, id_bytes: int):
         self.path, self.kind, self.known, self.parts = path, "<u2" if id_bytes == 2 else "<u4", {}, {}
+        self.ends = _word_ends(path)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [(t or "").split(" ") for t in texts]
+        split = pc.split_pattern(pa.array([t or "" for t in texts], pa.string()), " ")
+        coded, bounds = split.flatten().dictionary_encode(), split.offsets.to_numpy().tolist()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         for cache in (self.known, self.parts):
             if len(cache) > PIECE_CACHE:
                 cache.clear()
         known, parts = self.known, self.parts
-        fresh = {p: parts_of(p) for pieces in split for p in pieces if p not in known}
-        words = list({w for found in fresh.values() for w in found if w not in parts})
+        held = list(map(known.get, pieces))
+        fresh = all_parts([p for p, ids in zip(pieces, held) if ids is None])
+        words = set(chain.from_iterable(fresh.values())).difference(parts)
+        self._encode_plain([w for w in words if _LATIN_WORD.fullmatch(w)] if self.ends is not None else [])
+        self._encode([w for w in words if w not in parts])
+        for piece, found in fresh.items():
+            known[piece] = parts[found[0]] if len(found) == 1 else b"".join(map(parts.__getitem__, found))
+        raws = [known[p] if ids is None else ids for p, ids in zip(pieces, held)]
+        which = coded.indices.to_numpy().tolist()
+        return [b"".join(map(raws.__getitem__, which[a:b])) for a, b in zip(bounds, bounds[1:])]
+
+    def _encode(self, words: list[str]) -> None:
         for a in range(0, len(words), 20_000):
             some = words[a : a + 20_000]
             for word, e in zip(some, _tokenizer(self.path).encode_batch_fast(some, add_special_tokens=False)):
-                parts[word] = np.array(e.ids, dtype=self.kind).tobytes()
-        for piece, found in fresh.items():
-            known[piece] = b"".join(map(parts.__getitem__, found))
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+                self.parts[word] = np.array(e.ids, dtype=self.kind).tobytes()
+
+    def _encode_plain(self, words: list[str]) -> None:
+        lots = [words[a : a + WORDS_AT_ONCE] for a in range(0, len(words), WORDS_AT_ONCE)]
+        for lot, e in zip(lots, _tokenizer(self.path).encode_batch_fast([" ".join(lot) for lot in lots], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype=self.kind)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(lot) or cuts[-1] != len(ids):
+                self._encode(lot)
+                continue
+            raw, cuts = ids.tobytes(), [0, *(cuts * ids.itemsize).tolist()]
+            self.parts.update(zip(lot, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
 
 
 @lru_cache(maxsize=2)
