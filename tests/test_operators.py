@@ -505,3 +505,17 @@ def test_journal_median_meets_in_no_single_task(spark):
     s = execution.journal_summary(t, ["k"])
     assert {r["k"]: (r["n"], r["median_r"]) for r in s.collect()} == {None: (2, -0.25), 2: (3, 5.5)}
     assert "percentile(" not in s._jdf.queryExecution().toString().replace("approx_percentile(", "")
+
+
+def test_grades_are_worked_out_once_for_each_hour(spark):
+    t0 = datetime(2024, 3, 4, 10)
+    bars = [("x", t0 - timedelta(weeks=w) + timedelta(hours=o), 1.0, 1.0 + 0.01 * (9 if (w, o) == (0, 1) else 1), 1.0, 1.0) for w in range(10) for o in range(-4, 5)]
+    bars = spark.createDataFrame(bars, "symbol string, bar_ts timestamp_ntz, open double, high double, low double, close double")
+    releases = spark.createDataFrame([("x", t0 + timedelta(seconds=s), 1) for s in range(300)], "indicator string, ts timestamp_ntz, importance int")
+    got = validation.grade(releases, bars, spark.createDataFrame([("x", "x")], "indicator string, symbol string"), least=2)
+    rows = got.collect()
+    assert len({r["ts"] for r in rows}) == len(rows) == 300 and {(r["status"], r["offset_min"]) for r in rows} == {("offset", 60)}
+    # the weeks of 7 hours are looked up, not those of 300 releases
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    weeks = next(n for n, line in enumerate(plan) if "Generate explode" in line and "week#" in line)
+    assert any("Aggregate" in line and "ts#" not in line for line in plan[weeks : weeks + 3])

@@ -41,25 +41,29 @@ def grade(
     """One row per release: status, ratio (own hour), best_ratio and offset_min.
 
     Every hour of the neighbourhood is compared with the median of the same hour of earlier weeks that hold
-    none of the indicator's releases. Of equal ratios the earliest hour counts.
+    none of the indicator's releases. Of equal ratios the earliest hour counts. All this rests on the hour alone: it is done once
+    for each hour of an indicator, and releases get the grade of their hour. Repeated releases repeat their weeks.
     """
     r = ranges(bars)
-    asked = releases.select("indicator", "ts", "importance", hour_number(F.col("ts")).alias("hour")).join(F.broadcast(pairs), "indicator")
+    timed = releases.groupBy("indicator", "ts").agg(F.least(F.count("*"), F.lit(weeks)).cast("int").alias("times")).withColumn("hour", hour_number(F.col("ts")))
+    asked = timed.select("indicator", "hour", "times").distinct().join(F.broadcast(pairs), "indicator")
     steps = F.explode(F.sequence(F.lit(-NEIGHBOURS), F.lit(NEIGHBOURS)))
-    spots = asked.select("indicator", "symbol", "ts", "hour", steps.alias("offset")).withColumn("at", F.col("hour") + F.col("offset"))
-    seen = spots.join(r.select("symbol", F.col("hour").alias("at"), F.col("range").alias("observed")), ["symbol", "at"], "left")
+    spots = asked.select("indicator", "symbol", "times", "hour", steps.alias("offset")).withColumn("at", F.col("hour") + F.col("offset"))
     taken = releases.select("indicator", hour_number(F.col("ts")).alias("past")).distinct()
-    back = seen.withColumn("week", F.explode(F.sequence(F.lit(1), F.lit(lookback)))).withColumn("past", F.col("at") - WEEK_HOURS * F.col("week"))
+    back = spots.select("indicator", "symbol", "times", "at").distinct()
+    back = back.withColumn("week", F.explode(F.sequence(F.lit(1), F.lit(lookback)))).withColumn("past", F.col("at") - WEEK_HOURS * F.col("week"))
     back = back.join(taken, ["indicator", "past"], "left_anti").join(r.select("symbol", F.col("hour").alias("past"), F.col("range").alias("r")), ["symbol", "past"])
+    back = back.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
     # the nearest clean weeks, at most so many: arrays of a dozen numbers
     near = F.slice(F.sort_array(F.collect_list(F.when(F.col("r").isNotNull(), F.struct("week", "r")))), 1, weeks)
-    normal = back.groupBy("indicator", "symbol", "ts", "offset").agg(F.sort_array(F.transform(near, lambda x: x["r"])).alias("s"))
+    normal = back.groupBy("indicator", "symbol", "times", "at").agg(F.sort_array(F.transform(near, lambda x: x["r"])).alias("s"))
     n = F.size("s")
     mid = (F.get("s", F.floor((n - 1) / 2).cast("int")) + F.get("s", F.floor(n / 2).cast("int"))) / 2
-    normal = normal.select("indicator", "symbol", "ts", "offset", F.when(n >= least, mid).alias("normal"))
-    rated = seen.join(normal, ["indicator", "symbol", "ts", "offset"], "left")
+    normal = normal.select("indicator", "symbol", "times", "at", F.when(n >= least, mid).alias("normal"))
+    seen = spots.join(r.select("symbol", F.col("hour").alias("at"), F.col("range").alias("observed")), ["symbol", "at"], "left")
+    rated = seen.join(normal, ["indicator", "symbol", "times", "at"], "left")
     rated = rated.withColumn("ratio", F.when(F.col("normal") > 0, F.col("observed") / F.col("normal")))
-    best = rated.groupBy("indicator", "symbol", "ts", "hour").agg(
+    best = rated.groupBy("indicator", "symbol", "times", "hour").agg(
         F.max(F.when(F.col("offset") == 0, F.col("ratio"))).alias("ratio"),
         F.max("ratio").alias("best_ratio"),
         F.max_by("offset", F.struct("ratio", -F.col("offset"))).alias("offset"),
@@ -77,6 +81,8 @@ def grade(
     best = best.withColumn("status", status)
     minutes = F.when(F.col("status") == "confirmed_hour", 0).when(F.col("status").isin("offset", "confounded"), F.col("offset") * 60)
     known = F.col("status") != "uncheckable"
+    timed = timed.select(F.col("indicator").alias("__i"), "ts", F.col("times").alias("__n"), F.col("hour").alias("__h"))
+    best = best.join(timed, (F.col("indicator") == F.col("__i")) & (F.col("times") == F.col("__n")) & F.col("hour").eqNullSafe(F.col("__h")))
     return best.select("indicator", "symbol", "ts", "status", "ratio", F.when(known, F.col("best_ratio")).alias("best_ratio"), minutes.alias("offset_min"))
 
 
