@@ -17,9 +17,10 @@ puts the bytes of each text together by position.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import written
+from tidemill.llm.common import released, written
 
 #: At most so many words, of at most HOT_LENGTH characters each, are broadcast.
 HOT_WORDS = 400_000
@@ -164,7 +165,7 @@ def word_counts(docs: DataFrame, least: int = HOT_IN_TASK) -> DataFrame:
         held.clear()
         pa.default_memory_pool().release_unused()
 
-    found = docs.select("text").mapInArrow(counted, "word string, n long")
+    found = docs.select("text").mapInArrow(released(counted), "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -190,21 +191,17 @@ def _encoded_words(words: DataFrame, path: str, pattern: str) -> tuple[pa.Array,
             ids = [encode(w) for w in batch.column("word").to_pylist()]
             yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
-    found = words.orderBy(F.desc("n"), "word").select("word").mapInArrow(encoded, "word string, ids array<int>").toArrow().combine_chunks()
+    found = words.orderBy(F.desc("n"), "word").select("word").mapInArrow(released(encoded), "word string, ids array<int>").toArrow().combine_chunks()
     if not len(found):
         return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int32)
     ids = found.column("ids").combine_chunks()
     return found.column("word").combine_chunks(), pc.list_value_length(ids).to_numpy().astype(np.int64), ids.flatten().to_numpy()
 
 
-def encode(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS
-) -> DataFrame:
-    """One row per row of docs: id, ids (array of int) and ids_bytes (the same, little-endian in 32 bits each).
-
-    The ids are those of the tokenizer library for the whole text without special tokens. Null and empty
-    texts have no ids. Repeated rows stay, null ids too. Other columns are not read.
-    """
+def _filled_slices(
+    docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, hot_words: int
+) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
+    """The slices with the ids of their words, and what makes of their batches such of id, ids and ids_bytes of each text."""
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counts = written(word_counts(plain), "bpe-counts")
     hot = docs.sparkSession.sparkContext.broadcast(_encoded_words(frequent_words(counts, hot_words), path, pattern))
@@ -231,7 +228,7 @@ def encode(
     cut_schema = f"slice long, counts binary, ranks binary, opens binary, id array<{kind}>, words binary"
     # both readers take all columns, so Spark shuffles the slices once and reuses the exchange
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slices = plain.mapInArrow(sliced, cut_schema).repartition(partitions, "slice")
+    slices = plain.mapInArrow(released(sliced), cut_schema).repartition(partitions, "slice")
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,8 +262,8 @@ def encode(
             yield pa.RecordBatch.from_pydict(dict(zip(("slice", "at", "n", "ids"), map(list, zip(*rows)))))
         pa.default_memory_pool().release_unused()
 
-    places = slices.mapInArrow(exploded, "slice long, at int, word string")
-    filled = places.repartition("word").sortWithinPartitions("word").mapInArrow(by_word, "slice long, at binary, n binary, ids binary")
+    places = slices.mapInArrow(released(exploded), "slice long, at int, word string")
+    filled = places.repartition("word").sortWithinPartitions("word").mapInArrow(released(by_word), "slice long, at binary, n binary, ids binary")
     filled = filled.groupBy("slice").agg(F.collect_list(F.struct("at", "n", "ids")).alias("filled"))
     met = slices.join(filled, "slice", "left")
 
@@ -299,10 +296,55 @@ def encode(
                     yield pa.RecordBatch.from_pydict({"id": own.slice(a, b - a), "ids": pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids)), "ids_bytes": raw})
                     a = b
 
-    encoded = met.mapInArrow(whole, f"id {kind}, ids array<int>, ids_bytes binary")
+    return met, whole
+
+
+def encode(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS
+) -> DataFrame:
+    """One row per row of docs: id, ids (array of int) and ids_bytes (the same, little-endian in 32 bits each).
+
+    The ids are those of the tokenizer library for the whole text without special tokens. Null and empty
+    texts have no ids. Repeated rows stay, null ids too. Other columns are not read.
+    """
+    met, whole = _filled_slices(docs, path, pattern, id_col, text_col, hot_words)
+    encoded = met.mapInArrow(released(whole), f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, ids_bytes binary")
     return encoded.withColumnRenamed("id", id_col)
 
 
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of batches of head and ids: lots of some million ids, with the distinct ones of each."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, a = np.cumsum(sizes), 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + LOT_IDS, "right")))
+            some = batch.slice(a, b - a)
+            ids = some.column("ids").flatten().to_numpy()
+            heads = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), some.column("head"))
+            parts = {"head": heads, "sizes": [sizes[a:b].astype("<u4").tobytes()], "ids": [ids.astype("<u4").tobytes()]}
+            yield pa.RecordBatch.from_pydict({**parts, "distinct": pa.array([np.flatnonzero(np.bincount(ids)).astype(np.int32)], pa.list_(pa.int32()))})
+            a = b
+
+
+def _lot_type(head: str) -> str:
+    return f"head array<struct<{head}>>, sizes binary, ids binary, distinct array<int>"
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], most: int = LOT_IDS) -> Iterator[pa.RecordBatch]:
+    """The rows of batches with lists of ids, as many batches in one as have at most so many ids, and at least one."""
+    held, size = [], 0
+    for batch in batches:
+        n = len(batch.column("ids").values)
+        if held and size + n > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def decode(encoded: DataFrame, path: str, keep: list[str], ids_col: str = "ids") -> DataFrame:
     """The kept columns and decoded (binary) of each row of encoded.
 
@@ -311,25 +353,15 @@ def decode(encoded: DataFrame, path: str, keep: list[str], ids_col: str = "ids")
     id that the table lacks ends the job. The join broadcasts the table and leaves rows in their order; the
     positions that come back are checked.
     """
-    ranks = read_ranks(path)
-    table = encoded.sparkSession.createDataFrame(pa.table({"__token": pa.array(ranks.values(), pa.int32()), "__bytes": pa.array(ranks.keys(), pa.binary())}))
     rows = encoded.select(F.struct(*[F.col(c).alias(f"k{n}") for n, c in enumerate(keep)]).alias("head"), F.col(ids_col).alias("ids"))
     head_type = ", ".join(f"k{n}: {encoded.schema[c].dataType.simpleString()}" for n, c in enumerate(keep))
+    return _decoded(rows.mapInArrow(released(_lots), _lot_type(head_type)), path, keep, head_type)
 
-    def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends, a = np.cumsum(sizes), 0
-            while a < batch.num_rows:
-                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + LOT_IDS, "right")))
-                some = batch.slice(a, b - a)
-                ids = some.column("ids").flatten().to_numpy()
-                heads = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), some.column("head"))
-                parts = {"head": heads, "sizes": [sizes[a:b].astype("<u4").tobytes()], "ids": [ids.astype("<u4").tobytes()]}
-                yield pa.RecordBatch.from_pydict({**parts, "distinct": pa.array([np.flatnonzero(np.bincount(ids)).astype(np.int32)], pa.list_(pa.int32()))})
-                a = b
 
-    packed = rows.mapInArrow(lots, f"head array<struct<{head_type}>>, sizes binary, ids binary, distinct array<int>")
+def _decoded(packed: DataFrame, path: str, keep: list[str], head_type: str) -> DataFrame:
+    """The kept columns and decoded of the rows that lots hold."""
+    ranks = read_ranks(path)
+    table = packed.sparkSession.createDataFrame(pa.table({"__token": pa.array(ranks.values(), pa.int32()), "__bytes": pa.array(ranks.keys(), pa.binary())}))
     # a lot's texts go along with its first id only
     tokens = packed.select(F.struct("head", "sizes", "ids").alias("lot"), F.posexplode_outer("distinct").alias("__at", "__token"))
     lot = F.when(F.coalesce("__at", F.lit(0)) == 0, F.col("lot")).alias("lot")
@@ -378,13 +410,25 @@ def decode(encoded: DataFrame, path: str, keep: list[str], ids_col: str = "ids")
         if lot is not None:
             yield from closed()
 
-    back = found.mapInArrow(joined, f"head struct<{head_type}>, decoded binary")
+    back = found.mapInArrow(released(joined), f"head struct<{head_type}>, decoded binary")
     return back.select(*[F.col(f"head.k{n}").alias(c) for n, c in enumerate(keep)], "decoded")
 
 
 def digests(spark: SparkSession, docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes, decodes, and gives id, n_tokens, ids_sha256 and decoded_sha256."""
-    encoded = encode(docs, path, pattern, id_col, text_col)
-    told = encoded.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_bytes", 256).alias("ids_sha256"), "ids")
-    back = decode(told, path, [id_col, "n_tokens", "ids_sha256"])
+    met, whole = _filled_slices(docs, path, pattern, id_col, text_col, HOT_WORDS)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole(batches):
+            ids = batch.column("ids")
+            sha = [hashlib.sha256(raw.as_buffer()).hexdigest() for raw in batch.column("ids_bytes")]
+            head = pa.StructArray.from_arrays([batch.column("id"), pc.list_value_length(ids).cast(pa.int64()), pa.array(sha, pa.string())], names=["k0", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([head, ids], names=["head", "ids"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _lots(_gathered(told(batches)))
+
+    # encoding and packing share a worker: each step of its own would keep one more for every core
+    head_type = f"k0: {docs.schema[id_col].dataType.simpleString()}, k1: bigint, k2: string"
+    back = _decoded(met.mapInArrow(released(packed), _lot_type(head_type)), path, [id_col, "n_tokens", "ids_sha256"], head_type)
     return back.select(id_col, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import released
+
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.6
@@ -197,7 +199,7 @@ def _judge(shared):
         for batch in texts:
             yield pd.Series([[dict(zip(names, x)) for x in shared.value.leaks(t)] for t in batch])
 
-    return judge
+    return released(judge)
 
 
 def with_leaks(docs: DataFrame, indexes: list[ItemIndex], text_col: str = "text", out_col: str = "leaks") -> DataFrame:

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import released
 from tidemill.llm.text_features import code_points, folded_letters
 
 PLACES = 1 << 15
@@ -160,7 +161,7 @@ def fit(
         yield pd.DataFrame({"place": np.append(at, -1).astype("int32"), "n": np.append(df[at], total)})
 
     # one row for each place and task, summed before and after the shuffle: 2**15 rows reach the driver
-    counted = rows.select("text").mapInPandas(frequencies, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    counted = rows.select("text").mapInPandas(released(frequencies), "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
     df, total = np.zeros(PLACES), 0
     for r in counted.collect():
         if r["place"] >= 0:
@@ -181,7 +182,7 @@ def fit(
     rate = F.lit(0.0)
     for lang, n in sizes.items():
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_per_language / n))).otherwise(rate)
-    drawn = rows.where(draw < rate).mapInPandas(sampled, "id long, lang string, places array<int>, counts array<int>")
+    drawn = rows.where(draw < rate).mapInPandas(released(sampled), "id long, lang string, places array<int>, counts array<int>")
     taken = sorted(drawn.orderBy(F.xxhash64("id", "lang", "places")).limit(2 * sample_per_language * len(languages)).collect(), key=lambda r: (r["id"], r["lang"]))
     number = {x: i for i, x in enumerate(languages)}
     made = [(number[r["lang"]], np.array(r["places"], np.int32), np.array(r["counts"])) for r in taken]
@@ -204,7 +205,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred
         for batch in texts:
             yield pd.DataFrame([shared.value.predict(t) for t in batch], columns=["lang", "score"])
 
-    judged = F.pandas_udf(judge, "lang string, score double")
+    judged = F.pandas_udf(released(judge), "lang string, score double")
     rest = [c for c in docs.columns if c not in (pred_col, score_col)]
     out = docs.select(*rest, judged(F.col(text_col)).alias("__judged"))
     return out.select(*rest, F.col("__judged.lang").alias(pred_col), F.col("__judged.score").alias(score_col))

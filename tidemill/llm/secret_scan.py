@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import released
+
 #: The fixed patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -114,6 +116,11 @@ def _own_places(t: str) -> tuple[int, ...]:
     return tuple(_place(n) for n in _own(t))
 
 
+def _forget_places() -> None:
+    _place.cache_clear()
+    _own_places.cache_clear()
+
+
 def _left(before: str) -> str:
     return "left=" + (before.lower() if len(before) < 12 else _shape(before))
 
@@ -525,11 +532,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
                     for rows, tags in lines for i in range(0, len(tags), RUN_TOKENS)
                 ]
                 yield pd.DataFrame(made, columns=["rows", "tags", "secret"])
-        _place.cache_clear()
-        _own_places.cache_clear()
 
     turn = F.pmod(F.xxhash64("rows", "tags"), F.lit(1_000_003)) * F.when(F.col("secret"), 1).otherwise(MARKED_FIRST)
-    drawn = sample.mapInPandas(runs, "rows binary, tags binary, secret boolean").orderBy(turn, "rows", "tags").limit(SAMPLE_RUNS * sample_texts).collect()
+    drawn = sample.mapInPandas(released(runs, _forget_places), "rows binary, tags binary, secret boolean").orderBy(turn, "rows", "tags").limit(SAMPLE_RUNS * sample_texts).collect()
     taken = sorted((bytes(r["rows"]), bytes(r["tags"])) for r in drawn)
     if not taken:
         empty = SecretModel(np.zeros((FEATURES, 3)), np.zeros((3, 3)))
@@ -590,9 +595,8 @@ def scan(docs: DataFrame, model: SecretModel, text_col: str = "text", prefix: st
                          t if t is None or not every else redacted(t, every))
                     )
                 yield pd.DataFrame(rows, columns=new)
-        _place.cache_clear()
 
     kind = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string"
     rest = [c for c in docs.columns if c not in {prefix + n for n in new}]
-    out = docs.select(*rest, F.pandas_udf(judge, kind)(F.col(text_col)).alias("__judged"))
+    out = docs.select(*rest, F.pandas_udf(released(judge, _forget_places), kind)(F.col(text_col)).alias("__judged"))
     return out.select(*rest, *[F.col(f"__judged.{n}").alias(prefix + n) for n in new])
